@@ -197,6 +197,7 @@ _SQL = {
     "keyword_prompt": f"SELECT id, {PROMPT} AS prompt FROM {{reviews}}",
     "unprocessed_reviews": "SELECT id, asin FROM {reviews} WHERE id NOT IN (SELECT id FROM {known_reviews})",
     "sentiment_score": scored("SELECT id, body FROM {reviews}", "r.id"),
+    "sentiment_score_middle_lexicon": scored("SELECT id, body FROM {reviews}", "r.id"),
     "sentiment_score_large_lexicon": scored("SELECT id, body FROM {reviews}", "r.id"),
     "enrich_fast": scored(
         f"""SELECT *, {row_hash('id', 'asin', 'body', 'stars', 'verified_purchase', 'found_helpful')} AS row_hash

@@ -16,28 +16,43 @@ KEYWORD_INSTRUCTION = (
 # What Python's own str.strip takes away.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-_LONGEST_SENTINEL = max(map(len, NULL_SENTINELS))
-
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space; SQL's own trim takes spaces only."""
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def is_missing(text: Column) -> Column:
-    """Null, blank or one of the spellings of "missing"."""
-    bare = strip(text)
-    # The length test keeps long texts from being upper-cased for nothing.
-    return text.isNull() | ((F.length(bare) <= _LONGEST_SENTINEL) & F.upper(bare).isin(*NULL_SENTINELS))
+def is_empty(text: Column) -> Column:
+    """Not null, and nothing but white space."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == ""
+
+
+def is_missing(text: Column, sentinels: tuple[str, ...] = NULL_SENTINELS) -> Column:
+    """Null, or one of the spellings of "missing", ignoring case and white space around it."""
+    spelled = [s for s in sentinels if s]
+    missing = text.isNull()
+    if "" in sentinels:
+        missing = missing | is_empty(text)
+    if spelled:
+        # Trimming the end of a text walks all of it, so look at its first letters before.
+        shortest = min(map(len, spelled))
+        start = F.upper(F.left(F.ltrim(text, F.lit(WHITESPACE)), F.lit(shortest)))
+        likely = start.isin(*sorted({s[:shortest] for s in spelled}))
+        missing = missing | (likely & F.upper(strip(text)).isin(*spelled))
+    return missing
 
 
 def non_blank(text: Column) -> Column:
     return text.isNotNull() & (F.trim(text) != "")
 
 
+def split_words(text: Column) -> Column:
+    """Lower-case runs of a-z; every other character separates. May hold empty strings at its ends."""
+    return F.split(F.lower(text), "[^a-z]+")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z; every other character separates."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
+    return F.filter(split_words(text), lambda t: t != "")
 
 
 def keyword_prompt(body: Column) -> Column:

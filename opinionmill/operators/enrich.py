@@ -9,11 +9,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinionmill.functions.text import keyword_prompt, non_blank, tokens
+from opinionmill.functions.text import keyword_prompt, non_blank, split_words, tokens
 from opinionmill.functions.times import AsOf, moment
 from opinionmill.operators.ingest import add_missing_columns
 from opinionmill.plans.joins import (
-    BROADCAST_ROWS, HOT_KEYS, first_per_key, fits_broadcast, lookup_join, spread_join, without_known,
+    BROADCAST_ROWS, first_per_key, fits_broadcast, join_hot, join_rest, lookup_join, without_known,
 )
 
 # Fixed values.
@@ -28,6 +28,10 @@ EXTREME_STARS = (1, 5)
 # Largest word list that is written into the plan as literal sets.
 LITERAL_WORDS = 5_000
 
+# Words whose count is broadcast: at most a megabyte. Others are rarer, or too long to be words.
+HOT_WORDS = 10_000
+HOT_WORD_LETTERS = 100
+
 Completer = Callable[[str], str | None]
 
 
@@ -43,15 +47,18 @@ def unprocessed(reviews: DataFrame, enriched: DataFrame) -> DataFrame:
     return without_known(reviews.where(F.col("id").isNotNull()), enriched, "id")
 
 
-def sentiment_score(df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "body") -> DataFrame:
+def sentiment_score(
+    df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "body", literal_words: int = LITERAL_WORDS,
+) -> DataFrame:
     """Add ``sentiment``: (positive - negative) / (positive + negative) word weight, 0 without a hit.
 
     ``lexicon`` has a word, once, and its weight, below zero for a negative word. A list of usual
     size goes into the plan as literal sets, and each row is scored where it lies, without a
     shuffle. A larger one is joined to the exploded words; that needs ``id`` to be unique.
     """
-    if fits_broadcast(lexicon, LITERAL_WORDS):
-        return _scored_in_row(df, lexicon, text)
+    head = lexicon.select("word", F.col("weight").cast("double")).limit(literal_words + 1).collect()
+    if len(head) <= literal_words:
+        return _scored_in_row(df, head, text)
     return _scored_by_join(df, lexicon, id, text)
 
 
@@ -59,10 +66,11 @@ def _ratio(positive: Column, negative: Column) -> Column:
     return F.coalesce(F.try_divide(positive - negative, positive + negative), F.lit(0.0))
 
 
-def _scored_in_row(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
+def _scored_in_row(df: DataFrame, lexicon: list[tuple[str, float]], text: str) -> DataFrame:
     words: dict[float, list[str]] = defaultdict(list)
-    for word, weight in lexicon.select("word", F.col("weight").cast("double")).collect():
+    for word, weight in lexicon:
         words[weight].append(word)
+    known = [word for word, _ in lexicon]
 
     def hits_among(kept: list[str]) -> Column:
         return F.size(F.filter("_hits", lambda t: t.isin(*kept)))
@@ -71,8 +79,7 @@ def _scored_in_row(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
         sums = [hits_among(kept) * abs(weight) for weight, kept in sorted(words.items()) if weight * sign > 0]
         return sum(sums, F.lit(0.0))
 
-    known = sorted(w for kept in words.values() for w in kept)
-    hits = F.filter(tokens(F.col(text)), lambda t: t.isin(*known)) if known else F.array().cast("array<string>")
+    hits = F.filter(split_words(F.col(text)), lambda t: t.isin(*known))
     return (
         df.withColumn("_hits", hits)
         .withColumn("sentiment", F.coalesce(_ratio(weight_of(1), weight_of(-1)), F.lit(0.0)))
@@ -80,17 +87,31 @@ def _scored_in_row(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _scored_by_join(df: DataFrame, lexicon: DataFrame, id: str, text: str) -> DataFrame:
-    words = df.select(F.col(id), F.explode(tokens(F.col(text))).alias("word"))
-    counts = words.groupBy(id, "word").agg(F.count("*").alias("n"))
-    hits = lookup_join(counts, lexicon, "word", [id], max_rows=0).where(F.col("weight").isNotNull())
-    weight = F.col("weight").cast("double") * F.col("n")
-    scores = hits.groupBy(id).agg(
+def _scored_by_join(
+    df: DataFrame, lexicon: DataFrame, id: str, text: str, max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    hits = lookup_join(_word_counts(_spread_texts(df, id, text), id, text), lexicon, "word", [id], max_rows=max_rows)
+    weight = F.col("weight").cast("double") * F.col("tf")
+    scores = hits.where(F.col("weight").isNotNull()).groupBy(id).agg(
         _ratio(F.sum(F.greatest(weight, F.lit(0.0))), F.sum(F.greatest(-weight, F.lit(0.0)))).alias("sentiment")
     )
     return df.join(scores, id, "left").fillna(0.0, ["sentiment"])
 
 
+def _spread_texts(df: DataFrame, id: str, text: str) -> DataFrame:
+    """The texts brought together by id, which spreads the work on them whatever files they lie in."""
+    return df.select(F.col(id), F.col(text)).repartition(id)
+
+
+def _word_counts(texts: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, word, tf), with a null word for a text without words.
+
+    Texts that lie together by id need no shuffle here, and are smaller than their words.
+    """
+    words = texts.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
+    return words.groupBy(id, "word").agg(F.count("*").alias("tf"))
+
+
 def scored_with(scorer: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
     """A scoring step from a function over batches of text, for use in place of the word list."""
     udf = F.pandas_udf(scorer, "double")
@@ -158,24 +179,34 @@ def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = K
     """The ``k`` words of each text with the largest count x ln(texts / texts with the word).
 
     Weights are compared at nine places, equal ones by word. Texts without a word get an empty
-    list. A word that occurs in a large share of the texts is looked up by broadcast, see
-    :func:`~opinionmill.plans.joins.spread_join`.
+    list. The most frequent words are looked up by broadcast, so that none fills a task.
     """
     total = df.select(F.count("*").alias("n"))
-    # The outer form keeps texts without words, under a null word.
-    counts = (
-        df.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
-        .groupBy(id, "word").agg(F.count("*").alias("tf"))
+    texts = _spread_texts(df, id, text)
+    counts = _word_counts(texts, id, text)
+    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    texts_with = words.groupBy("word").agg(F.count("*").alias("df"))
+    short = F.length("word") <= HOT_WORD_LETTERS
+    frequent = texts_with.orderBy(F.when(short, F.col("df")).desc_nulls_last(), "word").limit(HOT_WORDS)
+    hot = frequent.where(short)
+
+    def weight(having: Column) -> Column:
+        return F.round(F.col("tf") * F.ln(total.scalar() / having), 9)
+
+    def place(*group: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("weight"), "word"))
+
+    # Of the words met by broadcast only the best of each text can win; the others stay behind.
+    met = join_hot(counts, hot, "word").withColumns({
+        "weight": weight(F.col("_hot.df")), "open": F.col("_hot").isNull(),
+    })
+    kept = met.withColumn("place", place(id, "open")).where(F.col("open") | (F.col("place") <= k))
+    weighed = join_rest(kept.select(id, "word", "tf", "_hot"), texts_with, "word", [id])
+    ranked = weighed.select(id, "word", weight(F.col("df")).alias("weight")).withColumn("place", place(id))
+    best = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
+    return ranked.where(F.col("place") <= k).groupBy(id).agg(
+        F.transform(F.array_sort(best), lambda r: r["word"]).alias("keywords")
     )
-    # Counting by tf keeps that column in this branch too, so that Spark shuffles the counts once.
-    texts_with = counts.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    hot = texts_with.orderBy(F.desc("df"), "word").limit(HOT_KEYS)
-    weight = F.round(F.col("tf") * F.ln(total.scalar() / F.col("df")), 9)
-    weighed = spread_join(counts, texts_with, hot, "word", [id]).select(id, "word", weight.alias("weight"))
-    place = F.row_number().over(Window.partitionBy(id).orderBy(F.desc_nulls_last("weight"), "word"))
-    best = weighed.withColumn("place", place).where(F.col("place") <= k)
-    ranked = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
-    return best.groupBy(id).agg(F.transform(F.array_sort(ranked), lambda r: r["word"]).alias("keywords"))
 
 
 def tfidf_outcomes(batch: DataFrame, as_of: AsOf = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opinionmill.functions.hashing import row_hash
-from opinionmill.functions.text import is_missing, parse_keywords
+from opinionmill.functions.text import NULL_SENTINELS, is_missing, parse_keywords
 from opinionmill.plans.joins import without_known
 from opinionmill.sources.tables import exists, read_path
 
@@ -14,12 +14,12 @@ def upper_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])
 
 
-def clean_nulls(df: DataFrame) -> DataFrame:
+def clean_nulls(df: DataFrame, sentinels: tuple[str, ...] = NULL_SENTINELS) -> DataFrame:
     """NaN and the spellings of "missing" become null; every other value is kept as it is."""
     def cleaned(field: T.StructField):
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
-            value = F.when(~is_missing(value), value)
+            value = F.when(~is_missing(value, sentinels), value)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = F.when(~F.isnan(value), value)
         return value.alias(field.name)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinionmill.functions.text import strip
+from opinionmill.functions.text import is_empty
 from opinionmill.plans.joins import first_per_key
 
 # Fixed values.
@@ -86,7 +86,7 @@ def unique(column: str) -> Rule:
 def filled(column: str, least: float) -> Rule:
     return Rule(
         f"{column}_filled", least, None,
-        lambda df: F.avg(F.when(strip(F.col(column)) != "", 1.0).otherwise(0.0)), (column,),
+        lambda df: F.avg(F.when(~is_empty(F.col(column)), 1.0).otherwise(0.0)), (column,),
     )
 
 

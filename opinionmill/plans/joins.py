@@ -42,24 +42,33 @@ def lookup_join(
 def spread_join(
     facts: DataFrame, lookup: DataFrame, hot_rows: DataFrame, key: str, spread_by: list[str],
 ) -> DataFrame:
-    """Left join where ``hot_rows``, the lookup rows of the hot keys, are broadcast.
+    """Left join where ``hot_rows``, the lookup rows of the hot keys, are broadcast."""
+    return join_rest(join_hot(facts, hot_rows, key), lookup, key, spread_by)
+
+
+def _packed(lookup: DataFrame, key: str, name: str) -> DataFrame:
+    return lookup.select(F.col(key), F.struct(*[c for c in lookup.columns if c != key]).alias(name))
 
-    Rows met by the broadcast, and rows without a key, need no partner from the shuffle join. They
-    take part under a salt that matches nothing, drawn from ``spread_by``, which spreads them evenly.
-    """
-    columns = [c for c in lookup.columns if c != key]
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key), F.struct(*columns).alias(name))
+def join_hot(facts: DataFrame, hot_rows: DataFrame, key: str) -> DataFrame:
+    """``facts`` with ``_hot``, the lookup columns where the key is hot, else null."""
+    return facts.join(F.broadcast(_packed(hot_rows, key, "_hot")), key, "left")
 
+
+def join_rest(met: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Look up the keys that :func:`join_hot` left open.
+
+    Rows it met, and rows without a key, need no partner from this shuffle join. They take part
+    under keys that match nothing, drawn from ``spread_by``, which spreads them evenly.
+    """
     done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salt = F.when(done, F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
-    met = facts.join(F.broadcast(packed(hot_rows, "_hot")), key, "left").withColumn("_salt", salt)
-    cold = packed(lookup, "_cold").withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = met.join(cold, [key, "_salt"], "left")
+    aside = F.concat(F.lit("-"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("string"))
+    open_key = F.concat(F.lit("+"), F.col(key).cast("string"))
+    cold = _packed(lookup, key, "_cold").select(open_key.alias("_key"), "_cold")
+    joined = met.withColumn("_key", F.when(done, aside).otherwise(open_key)).join(cold, "_key", "left")
     return joined.select(
-        *facts.columns,
-        *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in columns],
+        *[c for c in met.columns if c != "_hot"],
+        *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in lookup.columns if c != key],
     )
 
 
