@@ -44,6 +44,8 @@ COST_SNAPSHOT = _struct(
     created_at=T.TimestampType(),
 )
 
+AI_USAGE = _struct(start_time=T.TimestampNTZType(), credits_used=_D, service_type=_S)
+
 FUNCTION_USAGE = _struct(function_name=_S, call_count=_L, credits=_D)
 
 TASK_STATUS = _struct(name=_S, enabled=_S, schedule=_S, last_run=_S, last_result=_S)
