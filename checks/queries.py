@@ -82,7 +82,7 @@ on("enriched", "parse_keywords", lambda df: joined(
 @query
 def merge_on_hash(spark: SparkSession, sf: str) -> DataFrame:
     target, batch = (ingest.raw_projection(view(spark, sf, name)) for name in ("merge_target", "merge_batch"))
-    return ingest.merged(batch, target, "row_hash").drop("body")
+    return ingest.merged(batch, target, "row_hash", copies_equal=True).drop("body")
 
 
 @query

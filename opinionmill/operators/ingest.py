@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from opinionmill.functions.hashing import row_hash
 from opinionmill.functions.text import NULL_SENTINELS, is_missing, parse_keywords
@@ -37,25 +39,26 @@ def raw_projection(df: DataFrame) -> DataFrame:
     return hashed.select([F.col(f"`{c}`").cast("string").alias(c) for c in hashed.columns])
 
 
-def new_rows(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def new_rows(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = False) -> DataFrame:
     """Rows to insert: one per key that the target lacks.
 
-    Of rows that share a key the smallest one, column by column, is taken. A null key equals no
-    other, so rows without a key are all new.
+    Of rows that share a key the smallest one, column by column, is taken; ``copies_equal`` says
+    that they do not differ, as with a row hash. A null key equals no other, so rows without a key
+    are all new.
     """
     keyed, keyless = batch.where(F.col(key).isNotNull()), batch.where(F.col(key).isNull())
-    return without_known(keyed, target, key).unionByName(keyless)
+    return without_known(keyed, target, key, copies_equal).unionByName(keyless)
 
 
-def merged(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def merged(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = False) -> DataFrame:
     """The target as it is after the insert-only merge."""
-    return target.unionByName(new_rows(batch, target, key))
+    return target.unionByName(new_rows(batch, target, key, copies_equal))
 
 
-def merge_append(spark: SparkSession, batch: DataFrame, path: str, key: str) -> int:
+def merge_append(spark: SparkSession, batch: DataFrame, path: str, key: str, copies_equal: bool = False) -> int:
     """Append the new rows of ``batch`` to the parquet folder at ``path``; returns how many."""
     target = read_path(spark, path) if exists(spark, path) else batch.limit(0)
-    return _counted_append(new_rows(batch, target, key), lambda df: df.write.mode("append").parquet(path))
+    return _counted_append(new_rows(batch, target, key, copies_equal), lambda df: df.write.mode("append").parquet(path))
 
 
 def merge_append_table(spark: SparkSession, batch: DataFrame, table: str, key: str, buckets: int = 200) -> int:
@@ -72,9 +75,7 @@ def merge_append_table(spark: SparkSession, batch: DataFrame, table: str, key: s
     return _counted_append(new_rows(batch, spark.table(table), key), write)
 
 
-def _counted_append(df: DataFrame, write) -> int:
-    from pyspark.sql import Observation
-
+def _counted_append(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     seen = Observation()
     write(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return seen.get["n"]
@@ -82,7 +83,7 @@ def _counted_append(df: DataFrame, write) -> int:
 
 def ingest_raw(spark: SparkSession, source: DataFrame, path: str) -> int:
     """Hash a source and merge it on the hash into the raw folder; returns the rows added."""
-    return merge_append(spark, raw_projection(source), path, "row_hash")
+    return merge_append(spark, raw_projection(source), path, "row_hash", copies_equal=True)
 
 
 def add_missing_columns(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:

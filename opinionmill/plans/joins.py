@@ -52,7 +52,7 @@ def _packed(lookup: DataFrame, key: str, name: str) -> DataFrame:
 
 def join_hot(facts: DataFrame, hot_rows: DataFrame, key: str) -> DataFrame:
     """``facts`` with ``_hot``, the lookup columns where the key is hot, else null."""
-    return facts.join(F.broadcast(_packed(hot_rows, key, "_hot")), key, "left")
+    return facts.join(F.broadcast(_packed(hot_rows, key, "_hot")), key, "left").select(*facts.columns, "_hot")
 
 
 def join_rest(met: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
@@ -81,16 +81,33 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def without_known(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def pinned(df: DataFrame) -> DataFrame:
+    """A small result, kept in the cluster's checkpoint folder if there is one, so it is not computed again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def without_known(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = False) -> DataFrame:
     """One row per key of ``batch`` for the keys that do not occur in ``target``.
 
-    Of rows that share a key the smallest one, column by column, is taken. For a small batch its
-    keys go to the target, so that the target's key column, which grows without end, is scanned but
-    never shuffled.
+    Of rows that share a key the smallest one, column by column, is taken; ``copies_equal`` says that
+    such rows do not differ. The target's rows are never shuffled for a small batch, only its key
+    column is scanned. The rows of a large batch are not shuffled either where few keys are repeated
+    or known already: the keys alone tell which.
     """
-    others = [F.asc_nulls_first(c) for c in batch.columns if c.lower() != key.lower()]
-    once = first_per_key(batch, [key], others or [F.col(key).asc()])
-    known, wanted = target.select(F.col(key)), batch.select(F.col(key))
-    if fits_broadcast(wanted):
-        known = F.broadcast(known.join(F.broadcast(wanted), key, "left_semi").distinct())
-    return once.join(known, key, "left_anti").select(batch.columns)
+    others = [] if copies_equal else [F.asc_nulls_first(c) for c in batch.columns if c.lower() != key.lower()]
+    order = others or [F.col(key).asc()]
+    keys, known = batch.select(F.col(key)), target.select(F.col(key))
+    if fits_broadcast(keys):
+        known = F.broadcast(known.join(F.broadcast(keys), key, "left_semi").distinct())
+    elif not copies_equal:
+        def few(df: DataFrame) -> DataFrame:
+            return pinned(df.limit(BROADCAST_ROWS + 1))
+
+        repeated = few(keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key))
+        held = few(keys.join(known, key, "left_semi").distinct())
+        if fits_broadcast(repeated) and fits_broadcast(held):
+            fresh = batch.join(F.broadcast(held), key, "left_anti")
+            single = fresh.join(F.broadcast(repeated), key, "left_anti")
+            several = fresh.join(F.broadcast(repeated), key, "left_semi")
+            return single.select(batch.columns).unionByName(first_per_key(several, [key], order).select(batch.columns))
+    return first_per_key(batch, [key], order).join(known, key, "left_anti").select(batch.columns)

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
             "spark.sql.warehouse.dir": str(root / "warehouse"),
             "spark.checkpoint.dir": str(root / "checkpoints"),
             "spark.sql.shuffle.partitions": "4",
+            "spark.sql.maxMetadataStringLength": "2000",
         },
     )
     yield session

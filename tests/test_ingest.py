@@ -95,15 +95,6 @@ def test_rows_without_a_key_are_all_new(spark):
     assert new_rows(batch, target, "id").count() == 3
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_merge_of_small_and_large_batches(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr("opinionmill.plans.joins.BROADCAST_ROWS", limit)
-    monkeypatch.setattr("opinionmill.plans.joins.fits_broadcast.__defaults__", (limit, 1 << 26))
-    target = spark.createDataFrame([("a", "old")], SCHEMA)
-    batch = spark.createDataFrame([("a", "new"), ("b", "1")], SCHEMA)
-    assert rows(new_rows(batch, target, "id")) == {("b", "1")}
-
-
 def test_merge_append_twice(spark, tmp_path):
     path = str(tmp_path / "raw")
     batch = spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "2")], SCHEMA)
