@@ -25,6 +25,9 @@ KEYWORDS_PER_REVIEW = 5
 HELPFUL_ABOVE = 5
 EXTREME_STARS = (1, 5)
 
+# Clients that are asked at the same time.
+CALLS = 16
+
 # Largest word list that is written into the plan as literal sets.
 LITERAL_WORDS = 5_000
 
@@ -139,17 +142,18 @@ def enrich_fast(
 
 
 def _pending(enriched: DataFrame) -> DataFrame:
-    return enriched.where(
+    pending = enriched.where(
         F.col("keywords").isNull() & ~F.col("enrichment_status").isin(FULLY_ENRICHED, FAILED)
-        & non_blank(F.col("body"))
     )
+    return enrichable(pending) if "body" in pending.columns else pending
 
 
 def strategic_pool(enriched: DataFrame, reviews: DataFrame) -> DataFrame:
     """Pending reviews worth a costly call: id, stars, found_helpful.
 
-    Texts stay behind: only ids, stars and votes are shuffled. A review that occurs several times
-    counts as verified if any copy is, with the votes of its best copy.
+    Texts stay behind: only ids, stars and votes are shuffled. A table without its texts is taken
+    to hold reviews with text only. A review that occurs several times counts as verified if any
+    copy is, with the votes of its best copy.
     """
     votes = reviews.groupBy("id").agg(
         F.max("verified_purchase").alias("verified"), F.max("found_helpful").alias("found_helpful")
@@ -160,12 +164,17 @@ def strategic_pool(enriched: DataFrame, reviews: DataFrame) -> DataFrame:
     return _pending(enriched).select("id", "stars").join(votes, "id").where(worth).select("id", "stars", "found_helpful")
 
 
-def strategic_batch(enriched: DataFrame, reviews: DataFrame, n: int = BATCH_ROWS) -> DataFrame:
-    """The ``n`` most helpful of the pool with their text: id, stars, found_helpful, body."""
+def strategic_batch(
+    enriched: DataFrame, reviews: DataFrame, n: int = BATCH_ROWS, texts: DataFrame | None = None,
+) -> DataFrame:
+    """The ``n`` most helpful of the pool with their text: id, stars, found_helpful, body.
+
+    ``texts`` names the table to read the texts from, if not ``enriched``.
+    """
     chosen = strategic_pool(enriched, reviews).orderBy(
         F.desc_nulls_last("found_helpful"), F.asc_nulls_last("stars"), "id"
     ).limit(n)
-    texts = enriched.select("id", "body")
+    texts = (enriched if texts is None else texts).select("id", "body")
     # n bounds the chosen side.
     return texts.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "id").select(
         "id", "stars", "found_helpful", "body"
@@ -224,12 +233,12 @@ def split_completion(answer: str | None) -> list[str]:
 
 def complete_with_retry(
     batch: DataFrame, make_completer: Callable[[], Completer], max_attempts: int = MAX_ATTEMPTS,
-    sleep: Callable[[float], None] = time.sleep, calls: int | None = None, as_of: AsOf = None,
+    sleep: Callable[[float], None] = time.sleep, calls: int = CALLS, as_of: AsOf = None,
 ) -> DataFrame:
     """One outcome per review: id, keywords, attempts, error, finished_at.
 
-    Each of ``calls`` partitions makes one client and asks it row by row, waiting 1, 2, 4, ...
-    seconds after a failure. Calls cost money and a lost executor repeats its partition, so write
+    The batch is spread over ``calls`` partitions. Each makes one client and asks it row by row,
+    waiting 1, 2, 4, ... seconds after a failure. Calls cost money and a lost executor repeats its partition, so write
     the result before using it twice, and leave speculation off.
     """
     def ask(complete: Completer, prompt: str) -> tuple[list[str] | None, int, str | None]:
@@ -244,15 +253,14 @@ def complete_with_retry(
         return None, max_attempts, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        complete = make_completer()
+        complete = None
         for rows in batches:
+            complete = complete or make_completer()
             results = [ask(complete, prompt) for prompt in rows["prompt"]]
             keywords, attempts, errors = ([r[i] for r in results] for i in range(3))
             yield pd.DataFrame({"id": rows["id"], "keywords": keywords, "attempts": attempts, "error": errors})
 
-    prompts = batch.select("id", keyword_prompt(F.col("body")).alias("prompt"))
-    if calls:
-        prompts = prompts.repartition(calls, "id")
+    prompts = batch.repartition(calls, "id").select("id", keyword_prompt(F.col("body")).alias("prompt"))
     outcome = prompts.mapInPandas(run, "id string, keywords array<string>, attempts int, error string")
     return outcome.withColumn("finished_at", moment(as_of))
 

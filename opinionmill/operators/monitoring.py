@@ -68,8 +68,11 @@ def latest_per_key(df: DataFrame, key: str, time: str, tie: str | None = None) -
 
 def task_status(
     tasks: DataFrame, history: DataFrame, as_of: AsOf = None, days: int = 7, tie: str | None = None,
+    names: list[str] | None = None,
 ) -> DataFrame:
-    """Every task with its state, schedule and last run of the past ``days``."""
+    """Every task, or those in ``names``, with its state, schedule and last run of the past ``days``."""
+    if names is not None:
+        tasks, history = tasks.where(F.col("name").isin(*names)), history.where(F.col("task_name").isin(*names))
     recent = history.where(last_days("completed_time", as_of, days) | F.col("completed_time").isNull())
     runs = latest_per_key(recent, "task_name", "completed_time", tie).select(
         F.col("task_name").alias("name"),
@@ -169,7 +172,7 @@ def usage_by_function(usage: DataFrame, as_of: AsOf = None, days: int = 30) -> D
             F.count("*").alias("call_count"),
             round_half_up(F.sum(F.col("credits_used").cast("double")), 6).alias("credits"),
         )
-        .orderBy(F.desc("credits"), "function_name")
+        .orderBy(F.desc_nulls_first("credits"), "function_name")
     )
 
 

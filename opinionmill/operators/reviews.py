@@ -144,7 +144,7 @@ def nps_score(t: DataFrame) -> DataFrame:
 def status_breakdown(t: DataFrame) -> DataFrame:
     """Reviews per stars and status; null groups are kept."""
     by = ["stars", "enrichment_status"]
-    return t.groupBy(*by).agg(F.count("*").alias("count")).orderBy(*by)
+    return t.groupBy(*by).agg(F.count("*").alias("count")).orderBy(*[F.asc_nulls_last(c) for c in by])
 
 
 def ingestion_timeline(t: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from opinionmill.functions.times import AsOf
 from opinionmill.functions.typing import as_staging, typed_reviews
 from opinionmill.operators.enrich import enrich_fast, failure_alert, run_summary, strategic_batch, tfidf_outcomes
 from opinionmill.operators.ingest import clean_nulls, ingest_raw, merge_append
+from opinionmill.operators.monitoring import append_snapshot
 from opinionmill.plans.store import ReviewStore
-from opinionmill.schemas import PRODUCTS_STAGING, REVIEWS_STAGING
-from opinionmill.sources.tables import append, append_log, read_csv, read_path
+from opinionmill.schemas import COST_SNAPSHOT, PRODUCTS_STAGING, REVIEWS_STAGING
+from opinionmill.sources.tables import append, append_log, first_available, read_csv, read_path
 
 Score = Callable[[DataFrame], DataFrame]
 Extract = Callable[[DataFrame], DataFrame]
@@ -53,7 +54,9 @@ def keyword_tier(
 
     The outcomes are read back from what was written, so a costly client is asked once.
     """
-    batch = strategic_batch(store.enriched(without=load_id), typed_reviews(raw_reviews), n)
+    # Every stored review has text, so the choice need not read the texts.
+    states = store.enriched(without=load_id).drop("body")
+    batch = strategic_batch(states, typed_reviews(raw_reviews), n, texts=store.facts())
     summary = run_summary(store.write_outcomes(extract(batch), load_id))
     if log_path:
         done = summary.first().asDict()
@@ -61,3 +64,9 @@ def keyword_tier(
         append_log(store.spark, log_path, f"keyword run {load_id} completed: {text}")
         append(failure_alert(summary), log_path)
     return summary
+
+
+def daily_snapshot(spark: SparkSession, snapshot: DataFrame, path: str) -> None:
+    """Append the day's cost row to the snapshot folder, once a day."""
+    existing = first_available(spark, [lambda: read_path(spark, path)], COST_SNAPSHOT)
+    append(append_snapshot(snapshot, existing), path)

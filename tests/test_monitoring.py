@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions.times import moment, seconds_between
 from opinionmill.operators import monitoring as mon
 from opinionmill.plans import dashboard
+from opinionmill.plans.batch import daily_snapshot
 
 AS_OF = "2024-01-31 12:00:00"
 
@@ -69,10 +70,13 @@ def test_snapshot(spark):
     assert tuple(mon.cost_snapshot(*empty, AS_OF, warehouse_name="WH").first())[1:4] == (0.0, 0.0, 0.0)
 
 
-def test_snapshot_goes_in_once_a_day(spark):
+def test_snapshot_goes_in_once_a_day(spark, tmp_path):
     snapshot = mon.cost_snapshot(*sources(spark), AS_OF, warehouse_name="WH")
     assert mon.append_snapshot(snapshot, snapshot.limit(0)).count() == 1
     assert mon.append_snapshot(snapshot, snapshot).count() == 0
+    for _ in range(2):
+        daily_snapshot(spark, snapshot, str(tmp_path / "snapshots"))
+    assert spark.read.parquet(str(tmp_path / "snapshots")).count() == 1
 
 
 def test_latest_snapshot_and_live_sums(spark):
@@ -141,6 +145,7 @@ def test_latest_run_and_task_status(spark):
     assert got == {
         "a": ("STARTED", "hourly", "2024-01-30 11:07 UTC", "SUCCEEDED"), "b": ("SUSPENDED", None, "—", "—"),
         "c": ("STARTED", "daily", "—", "RUNNING")}
+    assert [r.name for r in mon.task_status(tasks, history, AS_OF, names=["c", "d"]).collect()] == ["c"]
 
 
 def test_log_tails(spark):

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from opinionmill.operators import enrich, ingest, monitoring as mon, quality, reviews as rev
 from opinionmill.plans import joins
+from opinionmill.plans.store import ReviewStore
+from opinionmill.schemas import REVIEWS_FAST
 
 N = 6000
 
@@ -170,6 +172,19 @@ def test_texts_stay_out_of_the_choice(facts, plan, no_small_sides):
     assert "SortMergeJoin" in text and not any("body" in line for line in shuffled)
 
 
+def test_store_reads_texts_of_the_batch_only(spark, facts, plan, tmp_path, no_small_sides):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    columns = facts.select(*[c for c in REVIEWS_FAST.names if c != "row_hash"], F.lit("h").alias("row_hash"))
+    store.write_facts(columns.withColumn("enrichment_status", F.lit("FAST_ONLY")).select(REVIEWS_FAST.names), "a")
+    reviews = facts.select("id", F.lit(True).alias("verified_purchase"), F.lit(9).alias("found_helpful"))
+    states = store.enriched().drop("body")
+    text = plan(enrich.strategic_batch(states, reviews, 5, texts=store.facts()))
+    scans = [line for line in text.split("\n") if "FileScan" in line and "body" in line]
+    assert len(scans) == 1 and "BroadcastHashJoin" in text
+    joins_above = text[:text.index(scans[0])]
+    assert "SortMergeJoin" not in joins_above and "Exchange hashpartitioning" not in joins_above
+
+
 def test_uniqueness_reads_its_own_column(facts, plan):
     text = plan(quality.run_checks(facts, quality.review_rules()))
     assert "ReadSchema: struct<id:string>" in text and "Expand" not in text
