@@ -55,7 +55,8 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "outcomes").select(
-        "id", text.parse_keywords(F.col("answer")).alias("keywords"), "attempts", "error", "finished_at"
+        "id", text.parse_keywords(F.col("answer")).alias("keywords"), "attempts", "error",
+        F.col("finished_at").cast("timestamp_ntz").alias("finished_at"),
     )
 
 
