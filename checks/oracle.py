@@ -221,9 +221,9 @@ _SQL = {
         FROM texts t LEFT JOIN placed p ON t.id = p.id GROUP BY t.id""",
     "complete_with_retry": f"""
         SELECT id,
-               CASE WHEN length(prompt) % 4 = 3 THEN NULL WHEN length(prompt) % 3 = 0 THEN 0
-                    ELSE len(list_filter(string_split(array_to_string(string_split(body, ' ')[1:3], ','), ','),
-                                         lambda x: trim(x, {WS}) <> '')) END AS n_keywords,
+               CAST(CASE WHEN length(prompt) % 4 = 3 THEN NULL WHEN length(prompt) % 3 = 0 THEN 0
+                         ELSE len(list_filter(string_split(array_to_string(string_split(body, ' ')[1:3], ','), ','),
+                                              lambda x: trim(x, {WS}) <> '')) END AS INTEGER) AS n_keywords,
                CAST(CASE WHEN length(prompt) % 4 = 3 THEN 3 ELSE length(prompt) % 4 + 1 END AS INTEGER) AS attempts,
                CASE WHEN length(prompt) % 4 > 0 THEN 'try ' || CAST(length(prompt) % 4 AS VARCHAR) || ' failed' END AS error
         FROM (SELECT id, body, {PROMPT} AS prompt FROM {{reviews}} WHERE {non_blank('body')})""",

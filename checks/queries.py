@@ -209,9 +209,10 @@ def reviews_with_products_large(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def enrich_stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream over the documents file: the same scores as the batch run gives."""
+    """The stream over the documents table: the same scores as the batch run gives."""
     root = f"{shared_folder(spark, 'enrich_stream', '/tmp/opinionmill')}/{uuid.uuid4().hex}"
-    docs = raw_stream(spark, sf, table(spark, sf, "documents").schema, pathGlobFilter="documents.parquet")
+    # A pattern, as a stream takes no single file by its name.
+    docs = raw_stream(spark, f"{sf}/documents*.parquet", table(spark, sf, "documents").schema)
     raw = docs.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("asin"), F.col("text").alias("body"),
         (F.col("n_chars") % 5 + 1).cast("string").alias("stars"), F.lit("TRUE").alias("verified_purchase"),
