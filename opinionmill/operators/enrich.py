@@ -93,7 +93,9 @@ def _scored_in_row(df: DataFrame, lexicon: list[tuple[str, float]], text: str) -
 def _scored_by_join(
     df: DataFrame, lexicon: DataFrame, id: str, text: str, max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    hits = lookup_join(_word_counts(_spread_texts(df, id, text), id, text), lexicon, "word", [id], max_rows=max_rows)
+    texts = _spread_texts(df, id, text)
+    hits = lookup_join(
+        _word_counts(texts, id, text), lexicon, "word", [id], max_rows=max_rows, key_counts=_texts_with(texts, text))
     weight = F.col("weight").cast("double") * F.col("tf")
     scores = hits.where(F.col("weight").isNotNull()).groupBy(id).agg(
         _ratio(F.sum(F.greatest(weight, F.lit(0.0))), F.sum(F.greatest(-weight, F.lit(0.0)))).alias("sentiment")
@@ -115,6 +117,12 @@ def _word_counts(texts: DataFrame, id: str, text: str) -> DataFrame:
     return words.groupBy(id, "word").agg(F.count("*").alias("tf"))
 
 
+def _texts_with(texts: DataFrame, text: str) -> DataFrame:
+    """(word, n): the number of texts with the word."""
+    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
 def scored_with(scorer: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
     """A scoring step from a function over batches of text, for use in place of the word list."""
     udf = F.pandas_udf(scorer, "double")
@@ -193,10 +201,9 @@ def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = K
     total = df.select(F.count("*").alias("n"))
     texts = _spread_texts(df, id, text)
     counts = _word_counts(texts, id, text)
-    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    texts_with = words.groupBy("word").agg(F.count("*").alias("df"))
+    texts_with = _texts_with(texts, text)
     short = F.length("word") <= HOT_WORD_LETTERS
-    frequent = texts_with.orderBy(F.when(short, F.col("df")).desc_nulls_last(), "word").limit(HOT_WORDS)
+    frequent = texts_with.orderBy(F.when(short, F.col("n")).desc_nulls_last(), "word").limit(HOT_WORDS)
     hot = frequent.where(short)
 
     def weight(having: Column) -> Column:
@@ -207,11 +214,11 @@ def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = K
 
     # Of the words met by broadcast only the best of each text can win; the others stay behind.
     met = join_hot(counts, hot, "word").withColumns({
-        "weight": weight(F.col("_hot.df")), "open": F.col("_hot").isNull(),
+        "weight": weight(F.col("_hot.n")), "open": F.col("_hot").isNull(),
     })
     kept = met.withColumn("place", place(id, "open")).where(F.col("open") | (F.col("place") <= k))
     weighed = join_rest(kept.select(id, "word", "tf", "_hot"), texts_with, "word", [id])
-    ranked = weighed.select(id, "word", weight(F.col("df")).alias("weight")).withColumn("place", place(id))
+    ranked = weighed.select(id, "word", weight(F.col("n")).alias("weight")).withColumn("place", place(id))
     best = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
     return ranked.where(F.col("place") <= k).groupBy(id).agg(
         F.transform(F.array_sort(best), lambda r: r["word"]).alias("keywords")
@@ -238,8 +245,8 @@ def complete_with_retry(
     """One outcome per review: id, keywords, attempts, error, finished_at.
 
     The batch is spread over ``calls`` partitions. Each makes one client and asks it row by row,
-    waiting 1, 2, 4, ... seconds after a failure. Calls cost money and a lost executor repeats its partition, so write
-    the result before using it twice, and leave speculation off.
+    waiting 1, 2, 4, ... seconds after a failure. Calls cost money and a lost executor repeats its
+    partition, so write the result before using it twice, and leave speculation off.
     """
     def ask(complete: Completer, prompt: str) -> tuple[list[str] | None, int, str | None]:
         error = None
@@ -295,12 +302,12 @@ def apply_outcomes(enriched: DataFrame, outcomes: DataFrame, max_attempts: int =
         F.col("enrichment_status").isin(FULLY_ENRICHED, FAILED), F.lit(False)
     )
     won, lost = met & F.col("_keywords").isNotNull(), met & F.col("_keywords").isNull()
+    reason = F.coalesce(F.when(F.col("_error") != "", F.col("_error")), F.lit("unknown error"))
     changed = {
         "keywords": F.when(won, F.col("_keywords")).otherwise(F.col("keywords")),
         "enrichment_status": F.when(won, FULLY_ENRICHED).when(lost, FAILED).otherwise(F.col("enrichment_status")),
         "retry_count": F.when(won, F.col("_attempts") - 1).when(lost, max_attempts).otherwise(F.col("retry_count")),
-        "error_message": F.when(lost, F.left(F.coalesce(F.when(F.col("_error") != "", F.col("_error")), F.lit("unknown error")), F.lit(ERROR_CHARS)))
-        .otherwise(F.col("error_message")),
+        "error_message": F.when(lost, F.left(reason, F.lit(ERROR_CHARS))).otherwise(F.col("error_message")),
         "failed_at": F.when(lost, F.col("_finished")).otherwise(F.col("failed_at")),
     }
     joined = facts.join(F.broadcast(news) if fits_broadcast(outcomes) else news, "id", "left")

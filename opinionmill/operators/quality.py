@@ -92,7 +92,8 @@ def filled(column: str, least: float) -> Rule:
 
 def no_empty_rows() -> Rule:
     def empty(df: DataFrame) -> Column:
-        return F.count_if(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in df.columns]).isNull())
+        values = [F.col(f"`{c}`").cast("string") for c in df.columns]
+        return F.count_if(F.coalesce(F.lit(None).cast("string"), *values).isNull())
 
     return Rule("no_empty_rows", 0, 0, empty)
 

@@ -5,10 +5,11 @@ Sources are given as functions that load them, so that an absent one costs nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opinionmill.functions.times import AsOf
 from opinionmill.operators import monitoring as mon
+from opinionmill.operators.quality import Rule, run_checks
 from opinionmill.schemas import AI_USAGE, COST_SNAPSHOT, EVENT_LOG_TAIL, FUNCTION_USAGE, STAGE_DURATIONS, TASK_STATUS
 from opinionmill.sources.tables import Loader, first_available, has_rows
 
@@ -53,3 +54,8 @@ def cost_breakdown(spark: SparkSession, usage: Loader, query_history: Loader, as
 
 def task_status(spark: SparkSession, tasks: Loader, history: Loader, as_of: AsOf = None) -> DataFrame:
     return first_available(spark, [lambda: mon.task_status(tasks(), history(), as_of)], TASK_STATUS)
+
+
+def source_checks(spark: SparkSession, source: Loader, rules: list[Rule]) -> DataFrame:
+    """The quality rules on a source; one that is absent counts as having no columns and no rows."""
+    return run_checks(first_available(spark, [source], T.StructType([])), rules)

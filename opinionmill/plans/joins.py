@@ -23,18 +23,18 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], *,
-    max_rows: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS,
+    max_rows: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS, key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``facts`` to ``lookup``, which has at most one row per key.
 
     A small lookup is broadcast. A large one is joined in two steps, so that no hot key lands in
-    one task: see :func:`spread_join`.
+    one task: see :func:`spread_join`. ``key_counts`` (key, n) saves counting the keys of the facts.
     """
     if fits_broadcast(lookup, max_rows):
         added = [c for c in lookup.columns if c != key]
         return facts.join(F.broadcast(lookup), key, "left").select(*facts.columns, *added)
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    hot = counts.orderBy(F.desc("n"), key).limit(hot_keys).select(key)
+    counts = facts.groupBy(key).agg(F.count("*").alias("n")) if key_counts is None else key_counts
+    hot = counts.where(F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(hot_keys).select(key)
     hot_rows = lookup.join(F.broadcast(hot), key, "left_semi")
     return spread_join(facts, lookup, hot_rows, key, spread_by)
 

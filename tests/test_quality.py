@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionmill.operators import quality
+from opinionmill.plans.dashboard import source_checks
 
 REVIEW = "ID string, ASIN string, STARS int, BODY string, VERIFIED_PURCHASE string, FOUND_HELPFUL int"
 
@@ -47,6 +48,16 @@ def test_no_rows(spark):
     assert got["has_rows"] == (0, False) and got["id_unique"] == (0, True) and got["stars_all_values"][1] is False
 
 
+def test_absent_source(spark, tmp_path):
+    def load():
+        return spark.read.parquet(str(tmp_path / "none"))
+
+    for rules in (quality.review_rules(), quality.product_rules()):
+        got = {r.rule: r.passed for r in source_checks(spark, load, rules).collect()}
+        assert not got["has_rows"] and not got["required_columns"]
+    assert all(r.passed for r in source_checks(spark, lambda: good_reviews(spark), quality.review_rules(100, 10)).collect())
+
+
 def test_repeated_names(spark):
     df = spark.createDataFrame([(1, 2)], "asin int, other int").toDF("asin", "ASIN")
     assert results(df, [quality.unique_names()]) == {"unique_names": (1, False)}
