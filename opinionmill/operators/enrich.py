@@ -31,9 +31,11 @@ CALLS = 16
 # Largest word list that is written into the plan as literal sets.
 LITERAL_WORDS = 5_000
 
-# Words whose count is broadcast: at most a megabyte. Others are rarer, or too long to be words.
-HOT_WORDS = 10_000
-HOT_WORD_LETTERS = 100
+# Words whose count is broadcast: those in at least this share of the texts, as far as they are no
+# more and no longer than this, which makes six megabytes at most. Others are rarer, or no words.
+HOT_WORD_SHARE = 0.0005
+HOT_WORDS = 100_000
+HOT_WORD_LETTERS = 64
 
 Completer = Callable[[str], str | None]
 
@@ -203,8 +205,8 @@ def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = K
     counts = _word_counts(texts, id, text)
     texts_with = _texts_with(texts, text)
     short = F.length("word") <= HOT_WORD_LETTERS
-    frequent = texts_with.orderBy(F.when(short, F.col("n")).desc_nulls_last(), "word").limit(HOT_WORDS)
-    hot = frequent.where(short)
+    common = texts_with.where(F.col("n") >= total.scalar() * HOT_WORD_SHARE)
+    hot = common.orderBy(F.when(short, F.col("n")).desc_nulls_last(), "word").limit(HOT_WORDS).where(short)
 
     def weight(having: Column) -> Column:
         return F.round(F.col("tf") * F.ln(total.scalar() / having), 9)

@@ -11,14 +11,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # The most frequent keys are joined by broadcast. Any key outside the first n carries fewer than
 # 1/n of the rows, so no shuffle partition can receive more than that from one key.
 HOT_KEYS = 1_000
-SPREAD = 256
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is small enough to broadcast; looks at no more than ``max_rows + 1`` rows."""
+    """Whether ``df`` is small enough to broadcast.
+
+    Fetches the widths of no more than ``max_rows + 1`` rows; the scan stops when it has them.
+    """
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    widths = [row[0] for row in df.select(width).limit(max_rows + 1).collect()]
+    return len(widths) <= max_rows and sum(widths) <= max_bytes
 
 
 def lookup_join(
@@ -62,7 +64,7 @@ def join_rest(met: DataFrame, lookup: DataFrame, key: str, spread_by: list[str])
     under keys that match nothing, drawn from ``spread_by``, which spreads them evenly.
     """
     done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    aside = F.concat(F.lit("-"), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("string"))
+    aside = F.concat(F.lit("-"), F.xxhash64(*spread_by).cast("string"))
     open_key = F.concat(F.lit("+"), F.col(key).cast("string"))
     cold = _packed(lookup, key, "_cold").select(open_key.alias("_key"), "_cold")
     joined = met.withColumn("_key", F.when(done, aside).otherwise(open_key)).join(cold, "_key", "left")
@@ -100,12 +102,10 @@ def without_known(batch: DataFrame, target: DataFrame, key: str, copies_equal: b
     if fits_broadcast(keys):
         known = F.broadcast(known.join(F.broadcast(keys), key, "left_semi").distinct())
     elif not copies_equal:
-        def few(df: DataFrame) -> DataFrame:
-            return pinned(df.limit(BROADCAST_ROWS + 1))
-
-        repeated = few(keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key))
-        held = few(keys.join(known, key, "left_semi").distinct())
+        repeated = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key)
+        held = keys.join(known, key, "left_semi").distinct()
         if fits_broadcast(repeated) and fits_broadcast(held):
+            repeated, held = pinned(repeated), pinned(held)
             fresh = batch.join(F.broadcast(held), key, "left_anti")
             single = fresh.join(F.broadcast(repeated), key, "left_anti")
             several = fresh.join(F.broadcast(repeated), key, "left_semi")

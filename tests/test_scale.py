@@ -50,6 +50,19 @@ def test_size_check(spark):
     assert joins.fits_broadcast(df.limit(0), 0)
 
 
+def test_size_check_stops_early(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    many = spark.range(0, 100_000, 1, 100).mapInPandas(count, "id long")
+    assert not joins.fits_broadcast(many, 10)
+    assert seen.value < 20_000
+
+
 def test_hot_key_does_not_fill_a_task(spark, hot_reviews, products, no_small_sides, rows):
     plain = hot_reviews.join(products, "asin", "left")
     spread = joins.lookup_join(hot_reviews, products, "asin", ["id"], max_rows=0, hot_keys=5)
