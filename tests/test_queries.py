@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks.oracle import oracle_sql
+from checks.queries import queries
 from compare import database, differences
 
 SQL = oracle_sql()
