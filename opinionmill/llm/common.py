@@ -58,3 +58,16 @@ def texts_of(column) -> list[str]:
 def batch(schema, columns: list) -> pa.RecordBatch:
     """A record batch of an Arrow schema from one sequence per column."""
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spaced(parts: list, most: int) -> list:
+    """At most ``most`` of the parts, evenly spaced from the first."""
+    return parts[::max(1, -(-len(parts) // most))]
