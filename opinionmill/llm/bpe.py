@@ -33,7 +33,11 @@ LONG_WORD = 256
 #: Characters on either side of a cut that a window starts with.
 WINDOW = 64
 #: Distinct words that a task keeps with their ids.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
+
+WORDS_AT_ONCE = 5_000
+#: Characters of texts whose words are learned together.
+TEXT_AT_ONCE = 4_000_000
 
 #: Runs without the white space of Unicode, which the tokenizer drops.
 WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -42,6 +46,10 @@ ROW = pa.schema([
     ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
 ])
 
+#: Marks that may end a word, the apostrophe not among them, and the first letter that parts of words don't have.
+MARKS = ".,;:!?#$%&*"
+PLAIN = chr(0x130)
+
 #: Places where units start, and each unit's ids.
 Units = tuple[list[int], list[tuple[int, ...]]]
 
@@ -57,6 +65,7 @@ class TreeEncoder:
         self.tokenizer.no_padding()
         self.leaf, self.window = leaf, window
         self.known: dict[str, tuple[int, ...]] = {}
+        self.ids = list(range(self.tokenizer.get_vocab_size()))
         self.numbers = [str(i) for i in range(self.tokenizer.get_vocab_size())]
 
     def learn(self, texts: list[str]) -> None:
@@ -64,27 +73,41 @@ class TreeEncoder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         new = {w for t in texts for w in WORD.findall(t) if len(w) < LONG_WORD} - self.known.keys()
-        words = list(new)
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = tuple(found.ids)
+        split = {w: parts(w) for w in new}
+        pieces = list({p for pair in split.values() for p in pair if p not in self.known})
+        for i in range(0, len(pieces), WORDS_AT_ONCE):
+            part = pieces[i:i + WORDS_AT_ONCE]
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[piece] = self.shared(found.ids)
+        for word, pair in split.items():
+            if word not in self.known:
+                self.known[word] = tuple(chain.from_iterable(map(self.known.__getitem__, pair)))
+
+    def shared(self, ids: list[int]) -> tuple[int, ...]:
+        """The ids as numbers of which there is one object each."""
+        return tuple(map(self.ids.__getitem__, ids))
 
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.known.get(word)
         if ids is None:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = self.shared(self.tokenizer.encode(word, add_special_tokens=False).ids)
             if len(word) < LONG_WORD:
                 self.known[word] = ids
         return ids
 
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        found = list(map(self.known.get, words))
+        return list(map(self.word, words)) if None in found else found
+
     def units(self, text: str, first: int = 0) -> Units:
         """The units of a text that begins at the place ``first``."""
         matches = list(WORD.finditer(text))
         words = [m.group() for m in matches]
-        starts = [m.start() + first for m in matches]
-        ids = list(map(self.known.get, words))
-        if None not in ids:
-            return starts, ids
-        places, starts, ids = starts, [], []
+        places = [m.start() + first for m in matches]
+        if max(map(len, words), default=0) < LONG_WORD:
+            return places, self.words(words)
+        starts: list[int] = []
+        ids: list[tuple[int, ...]] = []
         for word, at in zip(words, places):
             if len(word) < LONG_WORD:
                 starts.append(at)
@@ -131,7 +154,7 @@ class TreeEncoder:
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.leaf:
-            return list(chain.from_iterable(map(self.word, WORD.findall(text))))
+            return list(chain.from_iterable(self.words(WORD.findall(text))))
         return list(chain.from_iterable(self.whole(text)[1]))
 
     def spelled(self, ids: list[int]) -> str:
@@ -142,6 +165,30 @@ class TreeEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def parts(word: str) -> tuple[str, ...]:
+    """Parts of a word that the tokenizer separates too: Latin letters, in lower case, and a run of marks after them.
+
+    Below PLAIN every letter has one lower-case letter and nothing combines, so a part's ids don't depend on the other.
+    """
+    letters = word.rstrip(MARKS)
+    if letters.isalpha() and max(letters) < PLAIN:
+        return (letters.lower(), word[len(letters):])[:1 + (len(letters) < len(word))]
+    return (word,)
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, some ``TEXT_AT_ONCE`` characters at a time."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= TEXT_AT_ONCE:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 def agreed(window: Units, half: Units, order: range, least: int = 0) -> tuple[int | None, int | None]:
     """The first place, in ``order``, of two units in a row that a window and a half share; its number in either."""
     starts, ids = window
@@ -164,12 +211,13 @@ def round_trips(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(path)
         for rows in batches:
-            texts = texts_of(rows.column("text"))
-            encoder.learn(texts)
-            out = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                ids = encoder.encode(text)
-                out.append((doc_id, len(ids), digest(encoder.spelled(ids)), digest(encoder.decode(ids))))
+            out: list[tuple] = []
+            names = iter(rows.column("doc_id").to_pylist())
+            for texts in slices(texts_of(rows.column("text"))):
+                encoder.learn(texts)
+                for text in texts:
+                    ids = encoder.encode(text)
+                    out.append((next(names), len(ids), digest(encoder.spelled(ids)), digest(encoder.decode(ids))))
             yield batch(ROW, list(zip(*out)) if out else [[]] * len(ROW))
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
