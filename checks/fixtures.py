@@ -55,13 +55,24 @@ VIEWS = {
         SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat('vw_', p_name) WHEN 1 THEN concat('Tb_vw_', p_name)
                ELSE p_name END AS object_name
         FROM {part}""",
-    # What the keyword tier gave for the pending reviews.
+    # Rows with null and repeated ids, told apart by n.
+    "odd_reviews": """
+        SELECT doc_id AS n, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 50 AS STRING) END AS id, text AS body
+        FROM {documents}""",
+    # A word of each benchmark text with a weight of its own, some words several times.
+    "graded_words": """
+        SELECT lower(split_part(text, ' ', 2)) AS word, CAST(item_id % 37 - 17 AS DOUBLE) / 16 AS weight FROM {benchmark}""",
+    # What the keyword tier gave, for reviews of all states, and for some a second time.
     "outcomes": """
         SELECT id, CASE WHEN doc_id % 7 <> 0 THEN concat('Delivery , size,, topic', CAST(doc_id % 9 AS STRING)) END AS answer,
                CASE WHEN doc_id % 7 = 0 THEN 3 ELSE CAST(doc_id % 3 + 1 AS INT) END AS attempts,
                CASE WHEN doc_id % 7 = 0 THEN repeat(concat('timeout ', id, ' '), 200) END AS error,
                CAST('2024-01-31 00:00:00' AS TIMESTAMP) AS finished_at
-        FROM {review_text} WHERE doc_id % 4 IN (2, 3)""",
+        FROM {review_text}
+        UNION ALL
+        SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'Late, answer' END AS answer, 2 AS attempts,
+               CASE WHEN doc_id % 2 = 1 THEN 'late' END AS error, CAST('2024-02-01 00:00:00' AS TIMESTAMP) AS finished_at
+        FROM {review_text} WHERE doc_id % 3 = 0""",
     # No unique id: for aggregates only.
     "scored_facts": """
         SELECT concat('P', CAST(l_partkey AS STRING)) AS asin, CAST(l_linenumber % 5 + 1 AS INT) AS stars,
@@ -96,7 +107,7 @@ VIEWS = {
         FROM {events}""",
     "snapshots": """
         SELECT CAST(ts AS DATE) AS snapshot_date, CAST(count(*) AS DOUBLE) AS wh_credits, max(value) AS ai_credits,
-               CAST(NULL AS DOUBLE) AS storage_gb
+               CAST(NULL AS DOUBLE) AS storage_gb, CASE WHEN 1 = 0 THEN max(ts) END AS created_at
         FROM {events} GROUP BY CAST(ts AS DATE)""",
     "task_history": """
         SELECT event_id, concat('TASK_', CAST(user_id AS STRING)) AS task_name, event_type AS state,

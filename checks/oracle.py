@@ -66,6 +66,16 @@ def scored(source: str, select: str) -> str:
     )
 
 
+GRADED = """
+    WITH weights AS (SELECT word, CAST(sum(CAST(weight AS DECIMAL(28, 9))) AS DOUBLE) AS weight FROM {graded_words} GROUP BY word),
+    bag AS (SELECT n, unnest(regexp_split_to_array(lower(body), '[^a-z]+')) AS word FROM {odd_reviews}),
+    scores AS (SELECT n, sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) AS up,
+                      sum(CASE WHEN weight < 0 THEN -weight ELSE 0 END) AS down
+               FROM bag JOIN weights USING (word) WHERE word <> '' GROUP BY n)
+    SELECT r.n, r.id, coalesce((up - down) / nullif(up + down, 0), 0.0) AS sentiment
+    FROM {odd_reviews} r LEFT JOIN scores s ON r.n = s.n"""
+
+
 def reviews_questions(source: str) -> dict[str, str]:
     ranking = f"""
         SELECT asin, {rounded('avg(stars)', 1)} AS avg_stars, {rounded('avg(sentiment)', 3)} AS avg_sentiment,
@@ -135,6 +145,11 @@ POOL = f"""
 
 STRATEGIC = f"SELECT * FROM ({POOL}) ORDER BY found_helpful DESC NULLS LAST, stars ASC NULLS LAST, id LIMIT 500"
 
+# What the batch run over the files has to choose from: all reviews with a text.
+LOGGED_POOL = f"""
+    SELECT id FROM {{reviews}} WHERE {non_blank('body')}
+    AND (upper(trim(verified_purchase)) = 'TRUE' OR {number('found_helpful')} > 5 OR stars IN (1, 5))"""
+
 LATEST = """
     SELECT * FROM {task_history}
     QUALIFY row_number() OVER (PARTITION BY task_name ORDER BY completed_time DESC NULLS LAST, event_id DESC) = 1"""
@@ -148,6 +163,17 @@ SNAPSHOT = f"""
            coalesce((SELECT {rounded('sum(average_database_bytes) / power(1024, 3)', 4)} FROM {{storage}}
                      WHERE {window('usage_date')} AND database_name ILIKE '%view%'), 0.0) AS storage_gb"""
 
+# Of several outcomes a success counts, then the earliest.
+FINAL = """
+    SELECT * FROM {outcomes} QUALIFY row_number() OVER (
+        PARTITION BY id ORDER BY answer IS NULL, finished_at NULLS LAST, attempts, error NULLS FIRST) = 1"""
+OUTCOME_COLUMNS = f"""
+    CASE WHEN o.id IS NULL THEN e.enrichment_status WHEN o.answer IS NULL THEN 'FAILED' ELSE 'FULLY_ENRICHED' END AS enrichment_status,
+    CASE WHEN o.answer IS NULL THEN {words('e.keywords_csv')} ELSE {words('o.answer')} END AS keywords,
+    CAST(CASE WHEN o.id IS NULL THEN 0 WHEN o.answer IS NULL THEN 3 ELSE o.attempts - 1 END AS INTEGER) AS retry_count,
+    CASE WHEN o.answer IS NULL THEN left(o.error, 1990) END AS error_message,
+    CASE WHEN o.answer IS NULL THEN o.finished_at END AS failed_at"""
+
 PROMPT = f"({INSTRUCTION} || body)"
 
 
@@ -179,11 +205,11 @@ _SQL = {
         SELECT id, {row_hash('id', 'asin', 'body', 'stars', 'verified_purchase', 'found_helpful')} AS row_hash
         FROM {{reviews}}""",
     "raw_projection": f"""
-        SELECT id, asin, CAST(stars AS VARCHAR) AS stars, verified_purchase, found_helpful,
+        SELECT id, asin, body, CAST(stars AS VARCHAR) AS stars, verified_purchase, found_helpful,
                {row_hash('id', 'asin', 'body', 'stars', 'verified_purchase', 'found_helpful')} AS row_hash
         FROM {{reviews}}""",
     "typed_reviews": f"""
-        SELECT id, asin, CAST(stars AS BIGINT) AS stars, upper(trim(verified_purchase)) = 'TRUE' AS verified_purchase,
+        SELECT id, asin, body, CAST(stars AS BIGINT) AS stars, upper(trim(verified_purchase)) = 'TRUE' AS verified_purchase,
                {number('found_helpful')} AS found_helpful
         FROM {{reviews}}""",
     "view_name": "SELECT p_partkey, 'VW_' || regexp_replace(upper(object_name), '^VW_', '') AS view_name FROM {object_names}",
@@ -191,21 +217,23 @@ _SQL = {
         SELECT id, stars, CAST(0 AS INTEGER) AS retry_count, CAST(NULL AS VARCHAR) AS error_message FROM {reviews}""",
     "csv_to_array": f"SELECT id, {words('keywords_csv')} AS keywords FROM {{enriched}}",
     "parse_keywords": f"SELECT id, {words('keywords_csv')} AS keywords FROM {{enriched}}",
-    "merge_on_hash": merge("row_hash", "id, asin, CAST(stars AS VARCHAR) AS stars, found_helpful, row_hash"),
-    "merge_on_key": merge("id", "id, asin, stars, found_helpful"),
-    "enrichable_reviews": f"SELECT id, asin FROM {{reviews}} WHERE {non_blank('body')}",
+    "merge_on_hash": merge("row_hash", "id, asin, body, CAST(stars AS VARCHAR) AS stars, found_helpful, row_hash"),
+    "merge_on_key": merge("id", "id, asin, body, stars, found_helpful"),
+    "enrichable_reviews": f"SELECT id, asin, body FROM {{reviews}} WHERE {non_blank('body')}",
     "keyword_prompt": f"SELECT id, {PROMPT} AS prompt FROM {{reviews}}",
-    "unprocessed_reviews": "SELECT id, asin FROM {reviews} WHERE id NOT IN (SELECT id FROM {known_reviews})",
+    "unprocessed_reviews": "SELECT id, asin, body FROM {reviews} WHERE id NOT IN (SELECT id FROM {known_reviews})",
     "sentiment_score": scored("SELECT id, body FROM {reviews}", "r.id"),
     "sentiment_score_middle_lexicon": scored("SELECT id, body FROM {reviews}", "r.id"),
+    "sentiment_graded": GRADED,
+    "sentiment_graded_large": GRADED,
     "sentiment_score_large_lexicon": scored("SELECT id, body FROM {reviews}", "r.id"),
     "enrich_fast": scored(
         f"""SELECT *, {row_hash('id', 'asin', 'body', 'stars', 'verified_purchase', 'found_helpful')} AS row_hash
             FROM {{reviews}} WHERE {non_blank('body')} AND id NOT IN (SELECT id FROM {{known_reviews}})""",
-        f"r.id, r.asin, CAST(r.stars AS BIGINT) AS stars, r.row_hash, 'FAST_ONLY' AS enrichment_status, {NOW} AS created_at",
+        f"r.id, r.asin, r.body, CAST(r.stars AS BIGINT) AS stars, r.row_hash, 'FAST_ONLY' AS enrichment_status, {NOW} AS created_at",
     ),
     "strategic_pool": POOL,
-    "strategic_reviews": STRATEGIC,
+    "strategic_reviews": f"SELECT s.*, r.body FROM ({STRATEGIC}) s JOIN {{reviews}} r ON s.id = r.id",
     "keywords_tfidf": f"""
         WITH texts AS (SELECT id, body FROM {{reviews}} WHERE {non_blank('body')}),
         bag AS (SELECT id, unnest(regexp_split_to_array(lower(body), '[^a-z]+')) AS word FROM texts),
@@ -221,35 +249,66 @@ _SQL = {
         FROM texts t LEFT JOIN placed p ON t.id = p.id GROUP BY t.id""",
     "complete_with_retry": f"""
         SELECT id,
-               CAST(CASE WHEN length(prompt) % 4 = 3 THEN NULL WHEN length(prompt) % 3 = 0 THEN 0
-                         ELSE len(list_filter(string_split(array_to_string(string_split(body, ' ')[1:3], ','), ','),
-                                              lambda x: trim(x, {WS}) <> '')) END AS INTEGER) AS n_keywords,
+               CASE WHEN length(prompt) % 4 = 3 THEN NULL WHEN length(prompt) % 3 = 0 THEN ''
+                    ELSE {words("array_to_string(string_split(body, ' ')[1:3], ', ')")} END AS keywords,
                CAST(CASE WHEN length(prompt) % 4 = 3 THEN 3 ELSE length(prompt) % 4 + 1 END AS INTEGER) AS attempts,
                CASE WHEN length(prompt) % 4 > 0 THEN 'try ' || CAST(length(prompt) % 4 AS VARCHAR) || ' failed' END AS error
         FROM (SELECT id, body, {PROMPT} AS prompt FROM {{reviews}} WHERE {non_blank('body')})""",
     "apply_outcomes": f"""
-        SELECT e.id, e.asin, e.stars, e.sentiment,
-               CASE WHEN o.id IS NULL THEN e.enrichment_status WHEN o.answer IS NULL THEN 'FAILED'
-                    ELSE 'FULLY_ENRICHED' END AS enrichment_status,
-               CASE WHEN o.answer IS NULL THEN {words('e.keywords_csv')} ELSE {words('o.answer')} END AS keywords,
-               CAST(CASE WHEN o.id IS NULL THEN 0 WHEN o.answer IS NULL THEN 3 ELSE o.attempts - 1 END AS INTEGER) AS retry_count,
-               CASE WHEN o.answer IS NULL THEN left(o.error, 1990) END AS error_message,
-               CASE WHEN o.answer IS NULL THEN o.finished_at END AS failed_at
-        FROM {{enriched}} e LEFT JOIN {{outcomes}} o ON e.id = o.id""",
+        SELECT e.id, e.asin, e.body, e.stars, e.sentiment, {OUTCOME_COLUMNS}
+        FROM {{enriched}} e LEFT JOIN ({FINAL}) o ON e.id = o.id AND e.enrichment_status = 'FAST_ONLY'""",
+    "compacted_store": f"""
+        SELECT e.id, e.asin, e.body, CAST(e.stars AS BIGINT) AS stars, e.sentiment, {OUTCOME_COLUMNS}
+        FROM (SELECT * REPLACE ('FAST_ONLY' AS enrichment_status, CAST(NULL AS VARCHAR) AS keywords_csv) FROM
+              (SELECT id, asin, body, stars, sentiment, enrichment_status, {words('keywords_csv')} AS keywords,
+                      keywords_csv FROM {{enriched}})) e
+        LEFT JOIN ({FINAL}) o ON e.id = o.id""",
     "run_summary": """
         SELECT count(answer) AS processed, count(*) - count(answer) AS failed,
                count(*) FILTER (answer IS NOT NULL AND attempts > 1) AS retried, count(*) AS total
         FROM {outcomes}""",
-    "failure_alert": "SELECT 'WARN' AS level FROM {outcomes} HAVING count(*) > count(answer)",
+    "failure_alert": """
+        SELECT 'WARN' AS level, concat('keyword extraction: failed=', count(*) - count(answer), ' of total=', count(*),
+                                       ', attempts=3, state=FAILED') AS message
+        FROM {outcomes} HAVING count(*) > count(answer)""",
     "update_from_candidates": f"""
         SELECT e.id, coalesce('stars|' || coalesce(CAST(s.stars AS VARCHAR), NULL), {words('e.keywords_csv')}) AS keywords,
                CASE WHEN s.id IS NULL THEN e.enrichment_status ELSE 'FULLY_ENRICHED' END AS enrichment_status
         FROM {{enriched}} e LEFT JOIN ({STRATEGIC}) s ON e.id = s.id""",
     "enrich_stream_incremental": scored(
-        f"SELECT CAST(doc_id AS VARCHAR) AS id, source, n_chars, text AS body FROM {{documents}} WHERE {non_blank('text')}",
-        "r.id, r.source AS asin, CAST(r.n_chars % 5 + 1 AS BIGINT) AS stars, 'FAST_ONLY' AS enrichment_status, "
+        f"SELECT CAST(doc_id AS VARCHAR) AS id, source, n_chars, text AS body FROM {{documents}} WHERE source <> 'src15' AND {non_blank('text')}",
+        "r.id, r.source AS asin, r.body, CAST(r.n_chars % 5 + 1 AS BIGINT) AS stars, 'FAST_ONLY' AS enrichment_status, "
         "CAST(0 AS INTEGER) AS retry_count",
-    ),
+    ) + """
+        UNION ALL BY NAME
+        SELECT CAST(doc_id AS VARCHAR) AS id, source AS asin, text AS body, CAST(n_chars % 5 + 1 AS BIGINT) AS stars,
+               'FAST_ONLY' AS enrichment_status, CAST(0 AS INTEGER) AS retry_count, 0.5 AS sentiment
+        FROM {documents} WHERE source = 'src15'""",
+    "csv_load": """
+        SELECT id AS ID, asin AS ASIN, body AS BODY, CAST(stars AS VARCHAR) AS STARS,
+               verified_purchase AS VERIFIED_PURCHASE, found_helpful AS FOUND_HELPFUL FROM {reviews}""",
+    "upper_columns": """
+        SELECT id AS ID, asin AS ASIN, body AS BODY, stars AS STARS,
+               verified_purchase AS VERIFIED_PURCHASE, found_helpful AS FOUND_HELPFUL FROM {reviews}""",
+    "bulk_append": "SELECT * FROM {reviews}",
+    "clustered_read": "SELECT * FROM {reviews} WHERE asin = 'P7' AND stars = 5",
+    "first_available": "SELECT * FROM {products}",
+    "mirror_views": """
+        SELECT CAST(p_partkey AS BIGINT) AS key, p_name AS value FROM {part}
+        UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name FROM {nation}
+        UNION ALL VALUES (-1, 'VW_TB_PART'), (-1, 'VW_TB_NATION')""",
+    "run_log": f"""
+        WITH n AS (SELECT (SELECT count(*) FROM {{products}}) AS products, (SELECT count(*) FROM {{reviews}}) AS reviews,
+                          (SELECT least(500, count(*)) FROM ({LOGGED_POOL})) AS chosen)
+        SELECT 'INFO' AS level, unnest([
+            'seed load of products started', concat('seed load of products completed added=', products),
+            'seed load of reviews started', concat('seed load of reviews completed added=', reviews),
+            'migration of products to raw started', concat('migration of products to raw completed added=', products),
+            'migration of reviews to raw started', concat('migration of reviews to raw completed added=', reviews),
+            'sentiment run one started', 'sentiment run one completed',
+            'keyword run one started', concat('keyword run one completed processed=', chosen, ' failed=0 retried=0 total=', chosen),
+            'keyword run one started', concat('keyword run one completed processed=', chosen, ' failed=0 retried=0 total=', chosen)
+        ]) AS message FROM n""",
     "ingestion_timeline": """
         SELECT date_trunc('hour', created_at) AS hour, count(*) AS count FROM {scored_facts}
         WHERE created_at IS NOT NULL GROUP BY 1""",
@@ -293,7 +352,7 @@ _SQL = {
         ORDER BY log_timestamp DESC, event_id DESC LIMIT 50""",
     "event_record_tail": """
         SELECT timestamp, json_extract_string(record, '$.severity_text') AS severity, value AS message
-        FROM {event_records} ORDER BY timestamp DESC LIMIT 50""",
+        FROM {event_records} ORDER BY timestamp DESC, value DESC, record DESC LIMIT 50""",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}",
     "metering_30d": f"""
         SELECT {rounded('coalesce(sum(credits_used), 0)', 2)} AS credits FROM {{metering}}
@@ -317,7 +376,7 @@ _SQL = {
         SELECT snapshot_date, wh_credits, ai_credits, coalesce(storage_gb, 0.0) AS storage_gb FROM {snapshots}
         ORDER BY snapshot_date DESC LIMIT 1""",
     "cost_snapshot": f"SELECT *, {NOW} AS created_at FROM ({SNAPSHOT})",
-    "snapshot_append": SNAPSHOT,
+    "snapshot_append": f"SELECT *, {NOW} AS created_at FROM ({SNAPSHOT})",
     "latest_per_key": LATEST,
     "task_status": f"""
         SELECT t.name, upper(t.state) AS enabled, t.schedule,
@@ -348,13 +407,13 @@ _SQL = {
         ("no_empty_rows", "count(*) FILTER (asin IS NULL AND title IS NULL AND brand IS NULL AND price IS NULL)", *ZERO),
     ]),
     "stratified_sample": """
-        SELECT id, stars FROM {reviews} WHERE id IS NOT NULL AND stars IS NOT NULL
+        SELECT id, stars, body FROM {reviews} WHERE id IS NOT NULL AND stars IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY stars ORDER BY md5(id), id) <= 50""",
 }
 
 for _products in ("reviews_with_products", "reviews_with_products_large"):
     _SQL[_products] = """
-        SELECT r.id, r.asin, r.stars, r.verified_purchase, r.found_helpful, p.title, p.brand, p.price
+        SELECT r.id, r.asin, r.body, r.stars, r.verified_purchase, r.found_helpful, p.title, p.brand, p.price
         FROM {reviews} r LEFT JOIN {products} p ON r.asin = p.asin"""
 
 _STAGE = """

@@ -11,9 +11,10 @@ from checks.fixtures import table, view
 from opinionmill.functions import text
 from opinionmill.functions.typing import typed_reviews
 from opinionmill.operators import enrich, ingest, monitoring as mon, quality, reviews as rev
-from opinionmill.plans.joins import spread_join
+from opinionmill.plans import batch
 from opinionmill.plans.store import ReviewStore
 from opinionmill.session import shared_folder
+from opinionmill.sources import mirror, tables
 from opinionmill.streaming.incremental import enrich_stream, raw_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +70,9 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 
 on("dirty_reviews", "clean_nulls", ingest.clean_nulls)
 on("reviews", "row_hash", lambda df: ingest.add_row_hash(df).select("id", "row_hash"))
-on("reviews", "raw_projection", lambda df: ingest.raw_projection(df).drop("body"))
-on("reviews", "typed_reviews", lambda df: typed_reviews(df).drop("body"))
+on("reviews", "raw_projection", ingest.raw_projection)
+on("reviews", "typed_reviews", typed_reviews)
+on("reviews", "upper_columns", ingest.upper_columns)
 on("object_names", "view_name", lambda df: df.select("p_partkey", text.view_name(F.col("object_name")).alias("view_name")))
 on("reviews", "add_missing_columns", lambda df: ingest.add_missing_columns(
     df.select("id", "stars"), {"stars": ("int", 9), "retry_count": ("int", 0), "error_message": ("string", None)}))
@@ -83,23 +85,23 @@ on("enriched", "parse_keywords", lambda df: joined(
 @query
 def merge_on_hash(spark: SparkSession, sf: str) -> DataFrame:
     target, batch = (ingest.raw_projection(view(spark, sf, name)) for name in ("merge_target", "merge_batch"))
-    return ingest.merged(batch, target, "row_hash", copies_equal=True).drop("body")
+    return ingest.merged(batch, target, "row_hash", copies_equal=True)
 
 
 @query
 def merge_on_key(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.merged(view(spark, sf, "merge_batch"), view(spark, sf, "merge_target"), "id").drop("body")
+    return ingest.merged(view(spark, sf, "merge_batch"), view(spark, sf, "merge_target"), "id")
 
 
 # Enrich
 
-on("reviews", "enrichable_reviews", lambda df: enrich.enrichable(df).select("id", "asin"))
+on("reviews", "enrichable_reviews", lambda df: enrich.enrichable(df).select("id", "asin", "body"))
 on("reviews", "keyword_prompt", lambda df: df.select("id", text.keyword_prompt(F.col("body")).alias("prompt")))
 
 
 @query
 def unprocessed_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.unprocessed(view(spark, sf, "reviews"), view(spark, sf, "known_reviews")).select("id", "asin")
+    return enrich.unprocessed(view(spark, sf, "reviews"), view(spark, sf, "known_reviews")).select("id", "asin", "body")
 
 
 @query
@@ -109,23 +111,37 @@ def sentiment_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sentiment_score_large_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """The way taken by a word list too large for the plan and for a broadcast."""
-    scored = enrich._scored_by_join(view(spark, sf, "reviews"), lexicon(spark), "id", "body", max_rows=0)
-    return scored.select("id", "sentiment")
+    """The way taken by a word list too large for a broadcast."""
+    return enrich.sentiment_score(view(spark, sf, "reviews"), lexicon(spark), max_rows=0).select("id", "sentiment")
 
 
 @query
 def sentiment_score_middle_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """The way taken by a word list too large for the plan, but not for a broadcast."""
-    scored = enrich.sentiment_score(view(spark, sf, "reviews"), lexicon(spark), literal_words=0)
-    return scored.select("id", "sentiment")
+    """A long word list with a weight of its own for each word; the words added occur in no text."""
+    more = table(spark, sf, "part").select(
+        F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("word"), (F.col("p_partkey") / 7.0).alias("weight"))
+    words = lexicon(spark).unionByName(more)
+    return enrich.sentiment_score(view(spark, sf, "reviews"), words).select("id", "sentiment")
+
+
+@query
+def sentiment_graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Graded weights over rows with null and repeated ids."""
+    return enrich.sentiment_score(view(spark, sf, "odd_reviews"), view(spark, sf, "graded_words")).select("n", "id", "sentiment")
+
+
+@query
+def sentiment_graded_large(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the way of a large word list."""
+    words = view(spark, sf, "graded_words")
+    return enrich.sentiment_score(view(spark, sf, "odd_reviews"), words, max_rows=0).select("n", "id", "sentiment")
 
 
 @query
 def enrich_fast(spark: SparkSession, sf: str) -> DataFrame:
     fresh = enrich.enrich_fast(
         ingest.add_row_hash(view(spark, sf, "reviews")), view(spark, sf, "known_reviews"), scorer(spark), AS_OF)
-    return fresh.drop("body").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return fresh.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query
@@ -135,7 +151,7 @@ def strategic_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def strategic_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.strategic_batch(enriched(spark, sf), typed_reviews(view(spark, sf, "reviews"))).drop("body")
+    return enrich.strategic_batch(enriched(spark, sf), typed_reviews(view(spark, sf, "reviews")))
 
 
 @query
@@ -163,13 +179,13 @@ def _first_words_client():
 def complete_with_retry(spark: SparkSession, sf: str) -> DataFrame:
     batch = enrich.enrichable(view(spark, sf, "reviews"))
     done = enrich.complete_with_retry(batch, _first_words_client, sleep=lambda s: None, as_of=AS_OF)
-    return done.select("id", F.size("keywords").alias("n_keywords"), "attempts", "error")
+    return joined(done.select("id", "keywords", "attempts", "error"), "keywords")
 
 
 @query
 def apply_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     done = enrich.apply_outcomes(enriched(spark, sf), outcomes(spark, sf))
-    return joined(done.drop("body"), "keywords")
+    return joined(done, "keywords")
 
 
 @query
@@ -179,7 +195,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def failure_alert(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.failure_alert(enrich.run_summary(outcomes(spark, sf))).select("level")
+    return enrich.failure_alert(enrich.run_summary(outcomes(spark, sf))).select("level", "message")
 
 
 @query
@@ -189,37 +205,133 @@ def update_from_candidates(spark: SparkSession, sf: str) -> DataFrame:
     news = chosen.select(
         "id", F.split(F.concat(F.lit("stars,"), F.col("stars").cast("string")), ",").alias("keywords"),
         F.lit("FULLY_ENRICHED").alias("enrichment_status"))
-    done = enrich.update_from_candidates(facts, news, ["keywords", "enrichment_status"])
+    done = enrich.update_from_candidates(facts, news, ["keywords", "enrichment_status"], most=enrich.BATCH_ROWS)
     return joined(done.select("id", "keywords", "enrichment_status"), "keywords")
 
 
 @query
 def reviews_with_products(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.reviews_with_products(view(spark, sf, "reviews"), view(spark, sf, "products")).drop("body")
+    return enrich.reviews_with_products(view(spark, sf, "reviews"), view(spark, sf, "products"))
 
 
 @query
 def reviews_with_products_large(spark: SparkSession, sf: str) -> DataFrame:
-    """The way taken by a product table too large to broadcast, with the ten hottest products split off."""
-    facts, products = view(spark, sf, "reviews"), view(spark, sf, "products")
-    hot = facts.groupBy("asin").count().orderBy(F.desc("count"), "asin").limit(10).select("asin")
-    hot_rows = products.join(F.broadcast(hot), "asin", "left_semi")
-    return spread_join(facts, products, hot_rows, "asin", ["id"]).drop("body")
+    """The way taken by a product table too large to broadcast; hot products are split off by their share."""
+    return enrich.reviews_with_products(view(spark, sf, "reviews"), view(spark, sf, "products"), max_rows=0)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run of a query."""
+    return f"{shared_folder(spark, name)}/{uuid.uuid4().hex}"
 
 
 @query
 def enrich_stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream over the documents table: the same scores as the batch run gives."""
-    root = f"{shared_folder(spark, 'enrich_stream', '/tmp/opinionmill')}/{uuid.uuid4().hex}"
-    # A pattern, as a stream takes no single file by its name.
-    docs = raw_stream(spark, f"{sf}/documents*.parquet", table(spark, sf, "documents").schema)
-    raw = docs.select(
+    """The stream in two runs over a store that knows some reviews: what it knows stays, the rest is scored once."""
+    root = folder(spark, "enrich_stream")
+    raw = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("asin"), F.col("text").alias("body"),
         (F.col("n_chars") % 5 + 1).cast("string").alias("stars"), F.lit("TRUE").alias("verified_purchase"),
         F.lit("0").alias("found_helpful"))
     store = ReviewStore(spark, f"{root}/store")
-    enrich_stream(raw, store, f"{root}/checkpoint", scorer(spark), AS_OF).awaitTermination()
-    return store.enriched().select("id", "asin", "stars", "sentiment", "enrichment_status", "retry_count")
+    known = raw.where("asin = 'src15'").select(
+        "id", "asin", "body", F.col("stars").cast("bigint").alias("stars"), F.lit("h").alias("row_hash"),
+        F.lit(0.5).alias("sentiment"), F.lit("FAST_ONLY").alias("enrichment_status"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    store.write_facts(known, "seed")
+    # Each run finds new files; the second also brings the rows of the first once more.
+    for part in (raw.where("asin < 'src15'"), raw):
+        part.write.mode("append").parquet(f"{root}/raw")
+        stream = raw_stream(spark, f"{root}/raw", raw.schema)
+        enrich_stream(stream, store, f"{root}/checkpoint", scorer(spark), AS_OF).awaitTermination()
+    return store.enriched().select("id", "asin", "body", "stars", "sentiment", "enrichment_status", "retry_count")
+
+
+@query
+def compacted_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Loads and outcomes before and after a compaction; the rest of the outcomes meet the base."""
+    store = ReviewStore(spark, folder(spark, "compacted_store"))
+    scored = enriched(spark, sf).select(
+        "id", "asin", "body", F.col("stars").cast("bigint").alias("stars"), F.lit(None).cast("string").alias("row_hash"),
+        "sentiment", F.lit("FAST_ONLY").alias("enrichment_status"), F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    done = outcomes(spark, sf)
+    early = F.col("id").cast("bigint") % 2 == 0
+    store.write_facts(scored.where(early), "a")
+    store.write_outcomes(done.where(early), "a")
+    store.compact()
+    store.write_facts(scored.where(~early), "b")
+    store.write_outcomes(done.where(~early), "b")
+    return joined(store.enriched().drop("row_hash", "created_at"), "keywords")
+
+
+# Reading and writing
+
+
+def as_csv(df: DataFrame, path: str) -> str:
+    df.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@query
+def csv_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The reviews written as CSV and read again, line breaks, quotes and all."""
+    return tables.read_csv(spark, as_csv(view(spark, sf, "reviews"), folder(spark, "csv_load")))
+
+
+@query
+def bulk_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Two appends to one folder, read back."""
+    path, reviews = folder(spark, "bulk_append"), view(spark, sf, "reviews")
+    for part in (reviews.where("stars <= 3"), reviews.where("stars > 3 or stars is null")):
+        tables.append(part, path)
+    return tables.read_path(spark, path)
+
+
+@query
+def clustered_read(spark: SparkSession, sf: str) -> DataFrame:
+    """One product's reviews out of the clustered layout."""
+    path = folder(spark, "clustered_read")
+    tables.write_clustered(view(spark, sf, "reviews"), path)
+    return tables.read_path(spark, path).where("asin = 'P7' and stars = 5")
+
+
+@query
+def first_available(spark: SparkSession, sf: str) -> DataFrame:
+    """The third of four sources is the first that is there."""
+    loaders = [
+        lambda: spark.table("no_such_schema.no_such_table"), lambda: spark.read.parquet(f"{sf}/no_such_table.parquet"),
+        lambda: view(spark, sf, "products"), lambda: view(spark, sf, "reviews")]
+    return tables.first_available(spark, loaders, view(spark, sf, "products").schema)
+
+
+@query
+def mirror_views(spark: SparkSession, sf: str) -> DataFrame:
+    """A schema of tables seen through the views that mirror it."""
+    name = f"mirror_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE SCHEMA {name}_raw")
+    for each in ("part", "nation"):
+        spark.sql(f"CREATE TABLE {name}_raw.tb_{each} USING parquet LOCATION '{sf}/{each}.parquet'")
+    done = mirror.mirror_schema(spark, f"{name}_raw", f"{name}_views").where("created")
+    parts = spark.table(f"{name}_views.VW_TB_PART").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+    nations = spark.table(f"{name}_views.VW_TB_NATION").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    names = done.select(F.lit(-1).alias("key"), F.col("name").alias("value"))
+    return parts.unionByName(nations).unionByName(names).select(F.col("key").cast("bigint").alias("key"), "value")
+
+
+@query
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What the load of the two files and a keyword run leave in the log."""
+    root = folder(spark, "run_log")
+    log = f"{root}/logs"
+    files = [as_csv(view(spark, sf, name), f"{root}/{name}") for name in ("products", "reviews")]
+    batch.stage_files(spark, *files, root, log_path=log)
+    batch.stage_to_raw(spark, root, log)
+    store, raw = ReviewStore(spark, f"{root}/store"), tables.read_path(spark, f"{root}/raw/reviews")
+    batch.fast_tier(store, raw, scorer(spark), "one", AS_OF, log)
+    # A run that is repeated has its outcomes already.
+    for _ in range(2):
+        batch.keyword_tier(store, raw, "one", log_path=log)
+    return tables.read_path(spark, log).select("level", "message")
 
 
 # Questions over the enriched table
@@ -307,7 +419,7 @@ def snapshot_append(spark: SparkSession, sf: str) -> DataFrame:
     """Today's row goes in once; a day that is there already stays as it is."""
     snapshots = view(spark, sf, "snapshots")
     return mon.append_snapshot(
-        cost_snapshot(spark, sf).drop("created_at").unionByName(
+        cost_snapshot(spark, sf).unionByName(
             snapshots.withColumn("storage_gb", F.lit(1.0))), snapshots)
 
 
@@ -320,4 +432,4 @@ def task_status(spark: SparkSession, sf: str) -> DataFrame:
 
 on("reviews", "quality_reviews", lambda df: quality.run_checks(df, quality.review_rules()))
 on("products", "quality_products", lambda df: quality.run_checks(df, quality.product_rules()))
-on("reviews", "stratified_sample", lambda df: quality.stratified_sample(df, 50).select("id", "stars"))
+on("reviews", "stratified_sample", lambda df: quality.stratified_sample(df, 50).select("id", "stars", "body"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinionmill.functions.text import keyword_prompt, non_blank, split_words, tokens
+from opinionmill.functions.text import keyword_prompt, non_blank, tokens, word_counts
 from opinionmill.functions.times import AsOf, moment
 from opinionmill.operators.ingest import add_missing_columns
-from opinionmill.plans.joins import (
-    BROADCAST_ROWS, first_per_key, fits_broadcast, join_hot, join_rest, lookup_join, without_known,
-)
+from opinionmill.plans.joins import BROADCAST_ROWS, first_per_key, fits_broadcast, local_copy, lookup_join, without_known
 
 # Fixed values.
 FAST_ONLY, FULLY_ENRICHED, FAILED = "FAST_ONLY", "FULLY_ENRICHED", "FAILED"
@@ -25,17 +23,18 @@ KEYWORDS_PER_REVIEW = 5
 HELPFUL_ABOVE = 5
 EXTREME_STARS = (1, 5)
 
-# Clients that are asked at the same time.
+# Clients that are asked at the same time, where the caller names no number that its rate limit allows.
 CALLS = 16
 
-# Largest word list that is written into the plan as literal sets.
-LITERAL_WORDS = 5_000
+# Weights of words are added up at this many places, exactly.
+WEIGHT_PLACES = 9
+# Words of the list that one lookup passes over, on average.
+WORDS_PER_SLOT = 2
 
-# Words whose count is broadcast: those in at least this share of the texts, as far as they are no
-# more and no longer than this, which makes six megabytes at most. Others are rarer, or no words.
+# Words whose count is broadcast, as digests of 16 bytes: those in at least this share of the texts,
+# as far as they are no more than this.
 HOT_WORD_SHARE = 0.0005
 HOT_WORDS = 100_000
-HOT_WORD_LETTERS = 64
 
 Completer = Callable[[str], str | None]
 
@@ -52,77 +51,59 @@ def unprocessed(reviews: DataFrame, enriched: DataFrame) -> DataFrame:
     return without_known(reviews.where(F.col("id").isNotNull()), enriched, "id")
 
 
-def sentiment_score(
-    df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "body", literal_words: int = LITERAL_WORDS,
-) -> DataFrame:
+def sentiment_score(df: DataFrame, lexicon: DataFrame, text: str = "body", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``sentiment``: (positive - negative) / (positive + negative) word weight, 0 without a hit.
 
-    ``lexicon`` has a word, once, and its weight, below zero for a negative word. A list of usual
-    size goes into the plan as literal sets, and each row is scored where it lies, without a
-    shuffle. A larger one is joined to the exploded words; that needs ``id`` to be unique.
+    ``lexicon`` has words and their weights, below zero for a negative word; the weights of a word
+    that it holds several times are added. A list that fits a broadcast scores each row where it
+    lies. A larger one is joined to the words of the texts. Both add whole numbers, so they agree
+    whatever the ids are and however often a text occurs.
     """
-    head = lexicon.select("word", F.col("weight").cast("double")).limit(literal_words + 1).collect()
-    if len(head) <= literal_words:
-        return _scored_in_row(df, head, text)
-    return _scored_by_join(df, lexicon, id, text)
+    places = F.col("weight").cast(f"decimal(28,{WEIGHT_PLACES})") * 10**WEIGHT_PLACES
+    weights = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum(places).cast("bigint").alias("weight"))
+    small = local_copy(weights, max_rows)
+    return _scored_in_row(df, small, text) if small is not None else _scored_by_join(df, weights, text)
 
 
 def _ratio(positive: Column, negative: Column) -> Column:
-    return F.coalesce(F.try_divide(positive - negative, positive + negative), F.lit(0.0))
-
-
-def _scored_in_row(df: DataFrame, lexicon: list[tuple[str, float]], text: str) -> DataFrame:
-    words: dict[float, list[str]] = defaultdict(list)
-    for word, weight in lexicon:
-        words[weight].append(word)
-    known = [word for word, _ in lexicon]
-
-    def hits_among(kept: list[str]) -> Column:
-        return F.size(F.filter("_hits", lambda t: t.isin(*kept)))
-
-    def weight_of(sign: int) -> Column:
-        sums = [hits_among(kept) * abs(weight) for weight, kept in sorted(words.items()) if weight * sign > 0]
-        return sum(sums, F.lit(0.0))
-
-    hits = F.filter(split_words(F.col(text)), lambda t: t.isin(*known))
-    return (
-        df.withColumn("_hits", hits)
-        .withColumn("sentiment", F.coalesce(_ratio(weight_of(1), weight_of(-1)), F.lit(0.0)))
-        .drop("_hits")
+    return F.coalesce(F.try_divide((positive - negative).cast("double"), (positive + negative).cast("double")), F.lit(0.0))
+
+
+def _scored_in_row(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
+    """The word list as one constant, an array of small maps, which a hash of the word chooses from."""
+    slots = max(1, weights.count() // WORDS_PER_SLOT)
+    slot = lambda word: F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+    maps: list[dict[str, int]] = [{} for _ in range(slots)]
+    for row in weights.select("word", "weight", slot(F.col("word")).alias("slot")).collect():
+        maps[row["slot"]][row["word"]] = row["weight"]
+    # Spark folds the constant once, when it plans the query.
+    by_slot = F.from_json(F.lit(json.dumps(maps)), "array<map<string, bigint>>")
+    found = F.transform(tokens(F.col(text)), lambda t: F.try_element_at(F.get(by_slot, slot(t)), t))
+    none = F.lit(0).cast("bigint")
+    score = F.aggregate(
+        F.filter(found, lambda w: w.isNotNull()), F.struct(none.alias("up"), none.alias("down")),
+        lambda sums, w: F.struct(
+            (sums["up"] + F.greatest(w, none)).alias("up"), (sums["down"] + F.greatest(-w, none)).alias("down")
+        ),
+        lambda sums: _ratio(sums["up"], sums["down"]),
     )
+    return df.withColumn("sentiment", F.coalesce(score, F.lit(0.0)))
 
 
-def _scored_by_join(
-    df: DataFrame, lexicon: DataFrame, id: str, text: str, max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    texts = _spread_texts(df, id, text)
-    hits = lookup_join(
-        _word_counts(texts, id, text), lexicon, "word", [id], max_rows=max_rows, key_counts=_texts_with(texts, text))
-    weight = F.col("weight").cast("double") * F.col("tf")
-    scores = hits.where(F.col("weight").isNotNull()).groupBy(id).agg(
-        _ratio(F.sum(F.greatest(weight, F.lit(0.0))), F.sum(F.greatest(-weight, F.lit(0.0)))).alias("sentiment")
+def _scored_by_join(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
+    """Only counted words shuffle, under a digest of their text; equal texts have equal scores."""
+    digest = F.unhex(F.md5(F.col(text)))
+    words = df.select(digest.alias("_text"), F.explode(word_counts(F.col(text))).alias("_w")).select(
+        "_text", F.col("_w.word").alias("word"), F.col("_w.n").alias("n")
     )
-    return df.join(scores, id, "left").fillna(0.0, ["sentiment"])
-
-
-def _spread_texts(df: DataFrame, id: str, text: str) -> DataFrame:
-    """The texts brought together by id, which spreads the work on them whatever files they lie in."""
-    return df.select(F.col(id), F.col(text)).repartition(id)
-
-
-def _word_counts(texts: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, word, tf), with a null word for a text without words.
-
-    Texts that lie together by id need no shuffle here, and are smaller than their words.
-    """
-    words = texts.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
-    return words.groupBy(id, "word").agg(F.count("*").alias("tf"))
-
-
-def _texts_with(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n): the number of texts with the word."""
-    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    met = lookup_join(words, weights, "word", ["_text"], max_rows=0).where(F.col("weight").isNotNull())
+    total = F.col("weight") * F.col("n")
+    none = F.lit(0).cast("bigint")
+    scores = met.groupBy("_text").agg(
+        _ratio(F.sum(F.greatest(total, none)), F.sum(F.greatest(-total, none))).alias("sentiment")
+    )
+    joined = df.withColumn("_text", digest).join(scores, "_text", "left")
+    return joined.select(*df.columns, F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"))
 
 
 def scored_with(scorer: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
@@ -197,34 +178,31 @@ def strategic_batch(
 def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = KEYWORDS_PER_REVIEW) -> DataFrame:
     """The ``k`` words of each text with the largest count x ln(texts / texts with the word).
 
-    Weights are compared at nine places, equal ones by word. Texts without a word get an empty
-    list. The most frequent words are looked up by broadcast, so that none fills a task.
+    ``id`` names a text, once. Weights are compared at nine places, equal ones by word. Texts without
+    a word get an empty list. Words are counted where their text lies; no text is shuffled. Frequent
+    words meet their count by broadcast, and only the best ``k`` of each text go on; the others
+    shuffle, and none of them is in more than a small share of the texts.
     """
     total = df.select(F.count("*").alias("n"))
-    texts = _spread_texts(df, id, text)
-    counts = _word_counts(texts, id, text)
-    texts_with = _texts_with(texts, text)
-    short = F.length("word") <= HOT_WORD_LETTERS
-    common = texts_with.where(F.col("n") >= total.scalar() * HOT_WORD_SHARE)
-    hot = common.orderBy(F.when(short, F.col("n")).desc_nulls_last(), "word").limit(HOT_WORDS).where(short)
-
-    def weight(having: Column) -> Column:
-        return F.round(F.col("tf") * F.ln(total.scalar() / having), 9)
-
-    def place(*group: str) -> Column:
-        return F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("weight"), "word"))
-
-    # Of the words met by broadcast only the best of each text can win; the others stay behind.
-    met = join_hot(counts, hot, "word").withColumns({
-        "weight": weight(F.col("_hot.n")), "open": F.col("_hot").isNull(),
-    })
-    kept = met.withColumn("place", place(id, "open")).where(F.col("open") | (F.col("place") <= k))
-    weighed = join_rest(kept.select(id, "word", "tf", "_hot"), texts_with, "word", [id])
-    ranked = weighed.select(id, "word", weight(F.col("n")).alias("weight")).withColumn("place", place(id))
-    best = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
-    return ranked.where(F.col("place") <= k).groupBy(id).agg(
-        F.transform(F.array_sort(best), lambda r: r["word"]).alias("keywords")
+    words = df.select(F.col(id), F.explode_outer(word_counts(F.col(text))).alias("w")).select(
+        id, F.col("w.word").alias("word"), F.col("w.n").alias("tf"), F.unhex(F.md5("w.word")).alias("digest")
     )
+    texts_with = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("having"))
+    common = texts_with.where(F.col("having") >= total.scalar() * HOT_WORD_SHARE)
+    hot = common.orderBy(F.desc("having"), "word").limit(HOT_WORDS).select(F.unhex(F.md5("word")).alias("digest"), "having")
+
+    weight = F.round(F.col("tf") * F.ln(total.scalar() / F.col("having")), 9)
+    place = F.row_number().over(Window.partitionBy(id).orderBy(F.desc_nulls_last("weight"), "word"))
+    met = words.join(F.broadcast(hot), "digest", "left")
+    # A row without a word stands for a text without any.
+    frequent = met.where(F.col("having").isNotNull() | F.col("word").isNull()).select(id, "word", weight.alias("weight"))
+    best = frequent.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    rest = met.where(F.col("having").isNull() & F.col("word").isNotNull()).drop("having").join(texts_with, "word").select(
+        id, "word", weight.alias("weight")
+    )
+    ranked = best.union(rest).withColumn("place", place).where(F.col("place") <= k)
+    chosen = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
+    return ranked.groupBy(id).agg(F.transform(F.array_sort(chosen), lambda r: r["word"]).alias("keywords"))
 
 
 def tfidf_outcomes(batch: DataFrame, as_of: AsOf = None) -> DataFrame:
@@ -285,6 +263,13 @@ def final_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def with_outcome_columns(facts: DataFrame) -> DataFrame:
+    return add_missing_columns(facts, {
+        "keywords": ("array<string>", None), "retry_count": ("int", 0), "error_message": ("string", None),
+        "failed_at": ("timestamp_ntz", None),
+    })
+
+
 def apply_outcomes(enriched: DataFrame, outcomes: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The fact table with the outcomes of the keyword tier set on its rows.
 
@@ -292,10 +277,7 @@ def apply_outcomes(enriched: DataFrame, outcomes: DataFrame, max_attempts: int =
     writes its outcomes only, and readers see both through this join. A review that is already
     fully enriched or failed keeps its state.
     """
-    facts = add_missing_columns(enriched, {
-        "keywords": ("array<string>", None), "retry_count": ("int", 0), "error_message": ("string", None),
-        "failed_at": ("timestamp_ntz", None),
-    })
+    facts = with_outcome_columns(enriched)
     news = final_outcomes(outcomes).select(
         "id", F.col("keywords").alias("_keywords"), F.col("attempts").alias("_attempts"),
         F.col("error").alias("_error"), F.col("finished_at").alias("_finished"),
@@ -316,10 +298,16 @@ def apply_outcomes(enriched: DataFrame, outcomes: DataFrame, max_attempts: int =
     return joined.select([changed.get(c, F.col(c)).alias(c) for c in facts.columns])
 
 
-def update_from_candidates(target: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    """Set ``columns`` on the rows whose id is among the updates, one per id; a null leaves the old value."""
+def update_from_candidates(
+    target: DataFrame, updates: DataFrame, columns: list[str], most: int | None = None,
+) -> DataFrame:
+    """Set ``columns`` on the rows whose id is among the updates, one per id; a null leaves the old value.
+
+    ``most`` is a bound on the updates that the caller knows, which saves counting them.
+    """
     news = updates.select("id", *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = target.join(F.broadcast(news) if fits_broadcast(news) else news, "id", "left")
+    small = most <= BROADCAST_ROWS if most is not None else fits_broadcast(news)
+    joined = target.join(F.broadcast(news) if small else news, "id", "left")
     return joined.select([
         (F.coalesce(F.col(f"_{c}"), F.col(c)) if c in columns else F.col(c)).alias(c) for c in target.columns
     ])
@@ -339,8 +327,8 @@ def failure_alert(summary: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataF
     return summary.where(F.col("failed") > 0).select(
         F.localtimestamp().alias("log_timestamp"), F.lit("WARN").alias("level"),
         F.format_string(
-            f"ALERT: %d review(s) failed keyword extraction after {max_attempts} attempts and are marked {FAILED}; "
-            "see error_message.", F.col("failed"),
+            f"keyword extraction: failed=%d of total=%d, attempts={max_attempts}, state={FAILED}",
+            F.col("failed"), F.col("total"),
         ).alias("message"),
     )
 
@@ -348,8 +336,8 @@ def failure_alert(summary: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataF
 # Products
 
 
-def reviews_with_products(reviews: DataFrame, products: DataFrame) -> DataFrame:
-    """Reviews with the columns of their product, if it is known.
+def reviews_with_products(reviews: DataFrame, products: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Reviews with the columns of their product, if it is known. Up to ``max_rows`` products are broadcast.
 
     A product column whose name a review column has already gets the prefix ``product_``.
     """
@@ -357,4 +345,4 @@ def reviews_with_products(reviews: DataFrame, products: DataFrame) -> DataFrame:
     renamed = products.select([
         F.col(c).alias(f"product_{c}" if c.lower() in taken and c.lower() != "asin" else c) for c in products.columns
     ])
-    return lookup_join(reviews, renamed, "asin", ["id"])
+    return lookup_join(reviews, renamed, "asin", ["id"], max_rows=max_rows)

@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from opinionmill.functions.hashing import row_hash
 from opinionmill.functions.text import NULL_SENTINELS, is_missing, parse_keywords
 from opinionmill.plans.joins import without_known
-from opinionmill.sources.tables import exists, read_path
-
-
-def upper_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.upper() for c in df.columns])
+from opinionmill.sources.tables import exists, read_path, upper_columns  # noqa: F401 - a step of ingestion too
 
 
 def clean_nulls(df: DataFrame, sentinels: tuple[str, ...] = NULL_SENTINELS) -> DataFrame:
@@ -46,8 +42,7 @@ def new_rows(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool =
     that they do not differ, as with a row hash. A null key equals no other, so rows without a key
     are all new.
     """
-    keyed, keyless = batch.where(F.col(key).isNotNull()), batch.where(F.col(key).isNull())
-    return without_known(keyed, target, key, copies_equal).unionByName(keyless)
+    return without_known(batch, target, key, copies_equal)
 
 
 def merged(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = False) -> DataFrame:
@@ -58,7 +53,7 @@ def merged(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = F
 def merge_append(spark: SparkSession, batch: DataFrame, path: str, key: str, copies_equal: bool = False) -> int:
     """Append the new rows of ``batch`` to the parquet folder at ``path``; returns how many."""
     target = read_path(spark, path) if exists(spark, path) else batch.limit(0)
-    return _counted_append(new_rows(batch, target, key, copies_equal), lambda df: df.write.mode("append").parquet(path))
+    return _counted_append(batch, target, key, copies_equal, lambda df: df.write.mode("append").parquet(path))
 
 
 def merge_append_table(spark: SparkSession, batch: DataFrame, table: str, key: str, buckets: int = 200) -> int:
@@ -72,12 +67,19 @@ def merge_append_table(spark: SparkSession, batch: DataFrame, table: str, key: s
 
     if not spark.catalog.tableExists(table):
         write(batch.limit(0))
-    return _counted_append(new_rows(batch, spark.table(table), key), write)
+    return _counted_append(batch, spark.table(table), key, False, write)
 
 
-def _counted_append(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+def _counted_append(
+    batch: DataFrame, target: DataFrame, key: str, copies_equal: bool, write: Callable[[DataFrame], None],
+) -> int:
+    """Write the new rows of ``batch``, whose source is read once: the merge looks at it several times."""
     seen = Observation()
-    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    kept = batch.persist()
+    try:
+        write(new_rows(kept, target, key, copies_equal).observe(seen, F.count(F.lit(1)).alias("n")))
+    finally:
+        kept.unpersist()
     return seen.get["n"]
 
 

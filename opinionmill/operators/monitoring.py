@@ -28,8 +28,8 @@ NO_RUN = "—"
 
 
 def event_log_tail(logs: DataFrame, n: int = 50, tie: str | None = None) -> DataFrame:
-    """The last ``n`` run-log rows; ``tie`` orders rows of the same time."""
-    order = [F.desc("log_timestamp")] + ([F.desc(tie)] if tie else [])
+    """The last ``n`` run-log rows; rows of the same time by ``tie``, then by message and level."""
+    order = [F.desc("log_timestamp"), *([F.desc(tie)] if tie else []), F.desc("message"), F.desc("level")]
     return logs.orderBy(*order).limit(n).select(
         F.col("log_timestamp").alias("timestamp"), F.col("level").alias("severity"), "message"
     )
@@ -37,7 +37,7 @@ def event_log_tail(logs: DataFrame, n: int = 50, tie: str | None = None) -> Data
 
 def event_record_tail(events: DataFrame, n: int = 50) -> DataFrame:
     """The same from a semi-structured event table (timestamp, JSON record, value)."""
-    return events.orderBy(F.desc("timestamp")).limit(n).select(
+    return events.orderBy(F.desc("timestamp"), F.desc("value"), F.desc("record")).limit(n).select(
         "timestamp", json_field(F.col("record"), "severity_text").alias("severity"),
         F.col("value").cast("string").alias("message"),
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.functions.text import is_empty
-from opinionmill.plans.joins import first_per_key
+from opinionmill.plans.joins import first_n, first_per_key, fits_broadcast
 
 # Fixed values.
 REVIEW_COLUMNS = ("ID", "ASIN", "STARS", "BODY", "VERIFIED_PURCHASE", "FOUND_HELPFUL")
@@ -17,6 +18,10 @@ STAR_VALUES = (1, 2, 3, 4, 5)
 SAMPLE_ROWS, SAMPLE_TOLERANCE = 5000, 10
 FILLED_BODIES = 0.8
 
+# Spark cuts ranks below this before the shuffle; beyond, ranges of about so many keys are counted.
+LARGEST_RANK = 1000
+ROWS_PER_RANGE = 1000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -156,18 +161,27 @@ def run_checks(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def stratified_sample(df: DataFrame, k: int, key: str = "id", stratum: str = "stars") -> DataFrame:
     """The first ``k`` rows of each stratum by the MD5 of the key, after de-duplication on the key.
 
-    The rank of a row is the number of rows with a smaller three-digit hash prefix plus its place
-    within its own prefix. The prefix counts are a small table (4096 per stratum), so a stratum is
-    never sorted in one task, and prefixes past the k-th row are dropped before the sort.
+    Of rows that share a key the smallest counts, by stratum and then column by column. Only keys
+    and strata are ranked, and each task sends the first ``k`` of a stratum; the rows of the chosen
+    keys are fetched by broadcast. For a ``k`` too large for that, hash ranges that grow in number
+    with the table are counted first, so that no task sorts a whole stratum.
     """
-    others = [F.asc_nulls_first(c) for c in df.columns if c != key]
-    once = first_per_key(df.dropna(subset=[key, stratum]), [key], others).withColumn(
-        "_hash", F.md5(F.col(key).cast("string"))
-    ).withColumn("_prefix", F.left("_hash", F.lit(3)))
-    by = [stratum, "_prefix"]
-    before = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counts = once.groupBy(*by).agg(F.count("*").alias("_n"))
-    starts = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    near = once.join(starts.where(F.col("_start") < k), by)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key))
-    return near.withColumn("_rank", F.col("_start") + place).where(F.col("_rank") <= k).select(df.columns)
+    there = df.dropna(subset=[key, stratum])
+    keys = there.groupBy(key).agg(F.min(stratum).alias(stratum)).withColumn("_hash", F.md5(F.col(key).cast("string")))
+    order = [F.col("_hash").asc(), F.col(key).asc()]
+    if k < LARGEST_RANK:
+        chosen = first_n(keys, k, [stratum], order)
+    else:
+        digits = max(3, math.ceil(math.log(max(keys.count(), 1) / ROWS_PER_RANGE, 16)))
+        ranged = keys.withColumn("_range", F.left("_hash", F.lit(digits)))
+        before = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = ranged.groupBy(stratum, "_range").agg(F.count("*").alias("_n"))
+        starts = counts.select(stratum, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        place = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy(*order))
+        near = ranged.join(starts.where(F.col("_start") < k), [stratum, "_range"])
+        chosen = near.withColumn("_place", F.col("_start") + place).where(F.col("_place") <= k)
+    chosen = chosen.select(key, stratum)
+    few = fits_broadcast(chosen)
+    rows = there.join(F.broadcast(chosen) if few else chosen, [key, stratum], "left_semi")
+    others = [F.asc_nulls_first(c) for c in df.columns if c not in (key, stratum)]
+    return first_per_key(rows, [key], others or [F.col(key).asc()]).select(df.columns)

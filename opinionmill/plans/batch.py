@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from opinionmill.functions.times import AsOf
 from opinionmill.functions.typing import as_staging, typed_reviews
@@ -14,17 +15,36 @@ from opinionmill.operators.ingest import clean_nulls, ingest_raw, merge_append
 from opinionmill.operators.monitoring import append_snapshot
 from opinionmill.plans.store import ReviewStore
 from opinionmill.schemas import COST_SNAPSHOT, PRODUCTS_STAGING, REVIEWS_STAGING
-from opinionmill.sources.tables import append, append_log, first_available, read_csv, read_path
+from opinionmill.sources.tables import (
+    append_log_rows, append_rows, csv_parts, first_available, logged, read_csv, read_path,
+)
 
 Score = Callable[[DataFrame], DataFrame]
 Extract = Callable[[DataFrame], DataFrame]
 
 
-def stage_files(spark: SparkSession, products_csv: str, reviews_csv: str, root: str) -> tuple[int, int]:
-    """CSV files to typed staging folders, insert-only on ASIN and ID; returns the rows added."""
+def stage_files(
+    spark: SparkSession, products_csv: str, reviews_csv: str, root: str, bad_rows: str = "fail", log_path: str | None = None,
+) -> tuple[int, int]:
+    """CSV files to typed staging folders, insert-only on ASIN and ID; returns the rows added.
+
+    A line with too many values stops the load, is passed over with "skip", or goes to the folder
+    ``quarantine`` with "quarantine", which the log counts.
+    """
     def load(csv: str, schema, name: str, key: str) -> int:
-        typed = as_staging(clean_nulls(read_csv(spark, csv)), schema)
-        return merge_append(spark, typed, posixpath.join(root, "source", name), key)
+        with logged(spark, log_path, f"seed load of {name}") as notes:
+            if bad_rows == "quarantine":
+                rows, bad = csv_parts(spark, csv)
+                seen = Observation()
+                target = posixpath.join(root, "quarantine", name, f"load={uuid.uuid4().hex}")
+                bad.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
+                notes.append(f"quarantined={seen.get['n']}")
+            else:
+                rows = read_csv(spark, csv, bad_rows=bad_rows)
+            typed = as_staging(clean_nulls(rows), schema)
+            added = merge_append(spark, typed, posixpath.join(root, "source", name), key)
+            notes.append(f"added={added}")
+        return added
 
     return (
         load(products_csv, PRODUCTS_STAGING, "products", "ASIN"),
@@ -32,18 +52,24 @@ def stage_files(spark: SparkSession, products_csv: str, reviews_csv: str, root:
     )
 
 
-def stage_to_raw(spark: SparkSession, root: str) -> dict[str, int]:
+def stage_to_raw(spark: SparkSession, root: str, log_path: str | None = None) -> dict[str, int]:
     """Hash the staging folders and merge them into the raw ones."""
-    return {
-        name: ingest_raw(spark, read_path(spark, posixpath.join(root, "source", name)), posixpath.join(root, "raw", name))
-        for name in ("products", "reviews")
-    }
+    added = {}
+    for name in ("products", "reviews"):
+        with logged(spark, log_path, f"migration of {name} to raw") as notes:
+            source = read_path(spark, posixpath.join(root, "source", name))
+            added[name] = ingest_raw(spark, source, posixpath.join(root, "raw", name))
+            notes.append(f"added={added[name]}")
+    return added
 
 
-def fast_tier(store: ReviewStore, raw_reviews: DataFrame, score: Score, load_id: str, as_of: AsOf = None) -> DataFrame:
+def fast_tier(
+    store: ReviewStore, raw_reviews: DataFrame, score: Score, load_id: str, as_of: AsOf = None, log_path: str | None = None,
+) -> DataFrame:
     """Score and append the reviews the store lacks; returns the rows written."""
-    fresh = enrich_fast(typed_reviews(raw_reviews), store.facts(without=load_id), score, as_of)
-    return store.write_facts(fresh, load_id)
+    with logged(store.spark, log_path, f"sentiment run {load_id}"):
+        fresh = enrich_fast(typed_reviews(raw_reviews), store.facts(without=load_id), score, as_of)
+        return store.write_facts(fresh, load_id)
 
 
 def keyword_tier(
@@ -52,21 +78,27 @@ def keyword_tier(
 ) -> DataFrame:
     """Extract keywords for the strategic batch, write the outcomes, and return the run summary.
 
-    The outcomes are read back from what was written, so a costly client is asked once.
+    The outcomes are read back from what was written, so a costly client is asked once; a load that
+    has its outcomes already asks for none.
     """
-    # Every stored review has text, so the choice need not read the texts.
-    states = store.enriched(without=load_id).drop("body")
-    batch = strategic_batch(states, typed_reviews(raw_reviews), n, texts=store.facts())
-    summary = run_summary(store.write_outcomes(extract(batch), load_id))
+    with logged(store.spark, log_path, f"keyword run {load_id}") as notes:
+        if store.has_outcomes(load_id):
+            outcomes = store.outcomes_of(load_id)
+        else:
+            # Every stored review has text, so the choice need not read the texts.
+            states = store.enriched().drop("body")
+            batch = strategic_batch(states, typed_reviews(raw_reviews), n, texts=store.facts())
+            outcomes = store.write_outcomes(extract(batch), load_id)
+        summary = run_summary(outcomes)
+        if log_path:
+            done = summary.first().asDict()
+            notes += [f"{k}={v}" for k, v in done.items()]
     if log_path:
-        done = summary.first().asDict()
-        text = " ".join(f"{k}={v}" for k, v in done.items())
-        append_log(store.spark, log_path, f"keyword run {load_id} completed: {text}")
-        append(failure_alert(summary), log_path)
+        append_log_rows(failure_alert(summary), log_path)
     return summary
 
 
 def daily_snapshot(spark: SparkSession, snapshot: DataFrame, path: str) -> None:
     """Append the day's cost row to the snapshot folder, once a day."""
     existing = first_available(spark, [lambda: read_path(spark, path)], COST_SNAPSHOT)
-    append(append_snapshot(snapshot, existing), path)
+    append_rows(append_snapshot(snapshot, existing), path)

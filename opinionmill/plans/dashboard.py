@@ -5,12 +5,14 @@ Sources are given as functions that load them, so that an absent one costs nothi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opinionmill.functions.times import AsOf
 from opinionmill.operators import monitoring as mon
 from opinionmill.operators.quality import Rule, run_checks
-from opinionmill.schemas import AI_USAGE, COST_SNAPSHOT, EVENT_LOG_TAIL, FUNCTION_USAGE, STAGE_DURATIONS, TASK_STATUS
+from opinionmill.schemas import AI_USAGE, COST_SNAPSHOT, EVENT_LOG_TAIL, FIGURE, FUNCTION_USAGE, STAGE_DURATIONS, TASK_STATUS
 from opinionmill.sources.tables import Loader, first_available, has_rows
 
 
@@ -24,16 +26,31 @@ def stage_durations(spark: SparkSession, run_logs: Loader) -> DataFrame:
     return first_available(spark, [lambda: mon.stage_durations(run_logs())], STAGE_DURATIONS)
 
 
-def current_costs(spark: SparkSession, snapshots: Loader, live: Loader) -> DataFrame:
-    """The latest snapshot, or the ``live`` totals while there is none with a warehouse figure."""
+def current_costs(spark: SparkSession, snapshots: Loader, live: dict[str, Loader]) -> DataFrame:
+    """The latest snapshot, or live totals while there is none with a warehouse figure.
+
+    ``live`` has a loader for each of the three figures, giving one value in one row. A figure whose
+    source is absent stays null; the others are shown.
+    """
     columns = COST_SNAPSHOT.names[:4]
 
     def stored() -> DataFrame:
         df = snapshots()
         return mon.latest_snapshot(df) if mon.usable_snapshot(df) else df.limit(0)
 
-    loaders = [lambda: stored().select(columns), lambda: live().select(columns)]
-    return first_available(spark, loaders, COST_SNAPSHOT, has_rows)
+    def figure(name: str) -> DataFrame:
+        def load() -> DataFrame:
+            df = live[name]()
+            return df.select(F.lit(name).alias("name"), F.col(df.columns[0]).cast("double").alias("value"))
+
+        return first_available(spark, [load] if name in live else [], FIGURE)
+
+    def totals() -> DataFrame:
+        found = reduce(DataFrame.unionByName, [figure(name) for name in columns[1:]])
+        values = [F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns[1:]]
+        return found.agg(*values).select(F.current_date().alias("snapshot_date"), *columns[1:])
+
+    return first_available(spark, [lambda: stored().select(columns), totals], COST_SNAPSHOT, has_rows)
 
 
 def ai_usage(spark: SparkSession, metering: Loader, function_usage: Loader, service: str = mon.AI_SERVICE) -> DataFrame:

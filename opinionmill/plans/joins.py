@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# The most frequent keys are joined by broadcast. Any key outside the first n carries fewer than
-# 1/n of the rows, so no shuffle partition can receive more than that from one key.
-HOT_KEYS = 1_000
-
-
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is small enough to broadcast.
 
@@ -23,91 +18,97 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return len(widths) <= max_rows and sum(widths) <= max_bytes
 
 
+def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``df`` as rows held by the driver, for a broadcast, or None if it is not small enough for one."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows or sum(len(str(value)) for row in rows for value in row) > max_bytes:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], *,
-    max_rows: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS, key_counts: DataFrame | None = None,
+    facts: DataFrame, lookup: DataFrame, key: str, spread_by: list[str], *, max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join of ``facts`` to ``lookup``, which has at most one row per key.
 
-    A small lookup is broadcast. A large one is joined in two steps, so that no hot key lands in
-    one task: see :func:`spread_join`. ``key_counts`` (key, n) saves counting the keys of the facts.
+    A lookup that is small in rows and bytes is broadcast; else see :func:`salted_join`.
     """
     if fits_broadcast(lookup, max_rows):
         added = [c for c in lookup.columns if c != key]
         return facts.join(F.broadcast(lookup), key, "left").select(*facts.columns, *added)
-    counts = facts.groupBy(key).agg(F.count("*").alias("n")) if key_counts is None else key_counts
-    hot = counts.where(F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(hot_keys).select(key)
-    hot_rows = lookup.join(F.broadcast(hot), key, "left_semi")
-    return spread_join(facts, lookup, hot_rows, key, spread_by)
-
-
-def spread_join(
-    facts: DataFrame, lookup: DataFrame, hot_rows: DataFrame, key: str, spread_by: list[str],
-) -> DataFrame:
-    """Left join where ``hot_rows``, the lookup rows of the hot keys, are broadcast."""
-    return join_rest(join_hot(facts, hot_rows, key), lookup, key, spread_by)
-
-
-def _packed(lookup: DataFrame, key: str, name: str) -> DataFrame:
-    return lookup.select(F.col(key), F.struct(*[c for c in lookup.columns if c != key]).alias(name))
+    return salted_join(facts, lookup, key, spread_by)
 
 
-def join_hot(facts: DataFrame, hot_rows: DataFrame, key: str) -> DataFrame:
-    """``facts`` with ``_hot``, the lookup columns where the key is hot, else null."""
-    return facts.join(F.broadcast(_packed(hot_rows, key, "_hot")), key, "left").select(*facts.columns, "_hot")
+def salted_join(facts: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Left join by shuffle where no key brings more rows to a task than an even share.
 
+    A share is rows / (16 x shuffle partitions); a key with more facts is hot. Its facts are dealt to as
+    many salts as it has shares, by the hash of ``spread_by``, and its lookup row is copied to each.
+    There are fewer hot keys than shares, and they are broadcast as hashes, whatever their width. Facts
+    without a key are spread too; they match nothing.
+    """
+    parts = 16 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = facts.select(F.count("*"))
+    salts = F.ceil(F.col("n") * parts / total.scalar()).cast("int")
+    hot = counts.where(F.col("n") * parts > total.scalar()).groupBy(F.xxhash64(key).alias("_hash")).agg(
+        F.max(salts).alias("_salts")
+    )
 
-def join_rest(met: DataFrame, lookup: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """Look up the keys that :func:`join_hot` left open.
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(hot), "_hash", "left")
 
-    Rows it met, and rows without a key, need no partner from this shuffle join. They take part
-    under keys that match nothing, drawn from ``spread_by``, which spreads them evenly.
-    """
-    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    own = F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
     aside = F.concat(F.lit("-"), F.xxhash64(*spread_by).cast("string"))
-    open_key = F.concat(F.lit("+"), F.col(key).cast("string"))
-    cold = _packed(lookup, key, "_cold").select(open_key.alias("_key"), "_cold")
-    joined = met.withColumn("_key", F.when(done, aside).otherwise(open_key)).join(cold, "_key", "left")
-    return joined.select(
-        *[c for c in met.columns if c != "_hot"],
-        *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in lookup.columns if c != key],
+    named = F.concat(F.lit("+"), F.col(key).cast("string"))
+    left = with_salts(facts).select(*facts.columns, F.coalesce(named, aside).alias("_key"), own.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = with_salts(lookup.where(F.col(key).isNotNull())).select(
+        named.alias("_key"), copies.alias("_salt"), F.struct(*[c for c in lookup.columns if c != key]).alias("_met")
+    )
+    return left.join(right, ["_key", "_salt"], "left").select(
+        *facts.columns, *[F.col(f"_met.{c}").alias(c) for c in lookup.columns if c != key]
     )
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``.
-
-    Spark applies the limit of one before the shuffle as well, so of a hot key each task sends one row.
-    """
+def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first ``n`` rows per key in ``order``; Spark applies the limit before the shuffle as well."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """A small result, kept in the cluster's checkpoint folder if there is one, so it is not computed again."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key, the first in ``order``; of a hot key each task sends one row."""
+    return first_n(df, 1, keys, order)
 
 
 def without_known(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = False) -> DataFrame:
-    """One row per key of ``batch`` for the keys that do not occur in ``target``.
+    """The rows of ``batch`` whose key does not occur in ``target``, one per key, and all rows without a key.
 
     Of rows that share a key the smallest one, column by column, is taken; ``copies_equal`` says that
-    such rows do not differ. The target's rows are never shuffled for a small batch, only its key
-    column is scanned. The rows of a large batch are not shuffled either where few keys are repeated
-    or known already: the keys alone tell which.
+    such rows do not differ. Keys are counted first, and only keys meet the target: a small batch goes
+    to it by broadcast, so the target is not shuffled. Where few keys are repeated or known already,
+    the rows of the batch stay where they lie; only rows of repeated keys are shuffled.
     """
     others = [] if copies_equal else [F.asc_nulls_first(c) for c in batch.columns if c.lower() != key.lower()]
     order = others or [F.col(key).asc()]
-    keys, known = batch.select(F.col(key)), target.select(F.col(key))
-    if fits_broadcast(keys):
-        known = F.broadcast(known.join(F.broadcast(keys), key, "left_semi").distinct())
-    elif not copies_equal:
-        repeated = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key)
-        held = keys.join(known, key, "left_semi").distinct()
-        if fits_broadcast(repeated) and fits_broadcast(held):
-            repeated, held = pinned(repeated), pinned(held)
-            fresh = batch.join(F.broadcast(held), key, "left_anti")
-            single = fresh.join(F.broadcast(repeated), key, "left_anti")
-            several = fresh.join(F.broadcast(repeated), key, "left_semi")
-            return single.select(batch.columns).unionByName(first_per_key(several, [key], order).select(batch.columns))
-    return first_per_key(batch, [key], order).join(known, key, "left_anti").select(batch.columns)
+    known = target.select(F.col(key))
+    keys = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).persist()
+    try:
+        distinct = keys.select(key)
+        if fits_broadcast(distinct):
+            held = known.join(F.broadcast(distinct), key, "left_semi").distinct()
+        else:
+            held = distinct.join(known, key, "left_semi")
+        held, repeated = local_copy(held), local_copy(keys.where(F.col("n") > 1).select(key))
+    finally:
+        keys.unpersist()
+    if held is None or repeated is None:
+        once = first_per_key(batch.where(F.col(key).isNotNull()), [key], order).join(known, key, "left_anti")
+        return once.select(batch.columns).unionByName(batch.where(F.col(key).isNull()))
+    fresh = batch.join(F.broadcast(held), key, "left_anti")
+    single = fresh.join(F.broadcast(repeated), key, "left_anti").select(batch.columns)
+    if repeated.isEmpty():
+        return single
+    several = fresh.join(F.broadcast(repeated), key, "left_semi")
+    return single.unionByName(first_per_key(several, [key], order).select(batch.columns))

@@ -1,19 +1,23 @@
-"""The fact table on plain folders: append-only facts, append-only outcomes, joined on read.
+"""The fact table on plain folders: append-only facts and outcomes beside a compacted base.
 
 Every load writes one sub-folder, ``load_id=...``, in overwrite mode. A load that is repeated after
-a failure replaces its own rows and nothing else.
+a failure replaces its own rows and nothing else. ``compact`` folds all loads into a new version of
+the base, clustered by product and stars; readers take the latest base and only the loads that are
+younger than it, so between compactions little is joined, and right after one nothing is.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from opinionmill.operators.enrich import apply_outcomes
-from opinionmill.schemas import OUTCOMES, REVIEWS_FAST
-from opinionmill.sources.tables import exists, read_path, write_clustered
+from opinionmill.operators.enrich import apply_outcomes, with_outcome_columns
+from opinionmill.schemas import BASE_VERSIONS, OUTCOMES, REVIEWS_ENRICHED, REVIEWS_FAST
+from opinionmill.sources.tables import append, exists, read_path, write_clustered
 
 
 @dataclass(frozen=True)
@@ -21,22 +25,52 @@ class ReviewStore:
     spark: SparkSession
     root: str
 
-    def _read(self, name: str, schema: T.StructType, without: str | None) -> DataFrame:
-        path = posixpath.join(self.root, name)
+    def _path(self, *parts: str) -> str:
+        return posixpath.join(self.root, *parts)
+
+    def _base(self) -> tuple[str | None, dict[str, list[str]]]:
+        """Folder of the latest base, and the loads of each kind that it holds."""
+        path = self._path("versions")
+        if not exists(self.spark, path):
+            return None, {}
+        last = read_path(self.spark, path, BASE_VERSIONS).orderBy(F.desc("version"), "folder").first()
+        return self._path("base", last["folder"]), {"facts": last["facts"], "outcomes": last["outcomes"]}
+
+    def _loads(self, name: str) -> list[str]:
+        """Loads that have files, by the names of their folders."""
+        path = self._path(name)
         if not exists(self.spark, path):
+            return []
+        files = self.spark.read.parquet(path).inputFiles()
+        return sorted({m[1] for f in files if (m := re.search(r"/load_id=([^/]+)/", f))})
+
+    def _read(self, name: str, schema: T.StructType, loads: list[str]) -> DataFrame:
+        if not loads:
             return self.spark.createDataFrame([], schema)
         stored = T.StructType([*schema.fields, T.StructField("load_id", T.StringType())])
-        df = read_path(self.spark, path, stored)
-        if without is not None:
-            df = df.where(F.col("load_id") != without)
-        return df.drop("load_id")
+        df = read_path(self.spark, self._path(name), stored)
+        return df.where(F.col("load_id").isin(*loads)).drop("load_id")
+
+    def _young(self, name: str, folded: dict[str, list[str]], without: str | None) -> list[str]:
+        return [load for load in self._loads(name) if load not in set(folded.get(name, [])) and load != without]
 
     def facts(self, without: str | None = None) -> DataFrame:
-        """The fast tier's rows, less those of the load ``without``."""
-        return self._read("facts", REVIEWS_FAST, without)
+        """The fast tier's columns of all rows, less those of the load ``without`` if it is not in the base yet."""
+        base, folded = self._base()
+        young = self._read("facts", REVIEWS_FAST, self._young("facts", folded, without))
+        if base is None:
+            return young
+        return read_path(self.spark, base, REVIEWS_ENRICHED).select(REVIEWS_FAST.names).unionByName(young)
 
     def outcomes(self, without: str | None = None) -> DataFrame:
-        return self._read("outcomes", OUTCOMES, without)
+        """All outcomes, also those that the base holds already."""
+        return self._read("outcomes", OUTCOMES, self._young("outcomes", {}, without))
+
+    def has_outcomes(self, load_id: str) -> bool:
+        return exists(self.spark, self._path("outcomes", f"load_id={load_id}", "_SUCCESS").removesuffix("/_SUCCESS"))
+
+    def outcomes_of(self, load_id: str) -> DataFrame:
+        return read_path(self.spark, self._path("outcomes", f"load_id={load_id}"), OUTCOMES)
 
     def write_facts(self, df: DataFrame, load_id: str) -> DataFrame:
         return self._write(df, "facts", load_id)
@@ -45,15 +79,30 @@ class ReviewStore:
         return self._write(df, "outcomes", load_id)
 
     def _write(self, df: DataFrame, name: str, load_id: str) -> DataFrame:
-        path = posixpath.join(self.root, name, f"load_id={load_id}")
+        path = self._path(name, f"load_id={load_id}")
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def enriched(self, without: str | None = None) -> DataFrame:
         """Facts with their outcomes; ``without`` leaves out the outcomes of that load."""
-        return apply_outcomes(self.facts(), self.outcomes(without))
-
-    def compact(self, path: str) -> None:
-        """Write the joined table once, clustered by product and stars, for readers that scan much."""
-        write_clustered(self.enriched(), path)
-
+        base, folded = self._base()
+        facts, outcomes = self._young("facts", folded, None), self._young("outcomes", folded, without)
+        rows = with_outcome_columns(self._read("facts", REVIEWS_FAST, facts))
+        if base is not None:
+            stored = read_path(self.spark, base, REVIEWS_ENRICHED)
+            rows = stored.unionByName(rows) if facts else stored
+        return apply_outcomes(rows, self._read("outcomes", OUTCOMES, outcomes)) if outcomes else rows
+
+    def compact(self, partitions: int | None = None) -> int:
+        """Fold all loads into a new version of the base and return its number.
+
+        A version counts from the moment it is listed, after its rows are written.
+        """
+        base, folded = self._base()
+        loads = {name: sorted({*folded.get(name, []), *self._loads(name)}) for name in ("facts", "outcomes")}
+        number = 1 if base is None else int(re.search(r"v(\d+)-", base)[1]) + 1
+        folder = f"v{number:06d}-{uuid.uuid4().hex}"
+        write_clustered(self.enriched().select(REVIEWS_ENRICHED.names), self._path("base", folder), partitions)
+        row = [(number, folder, loads["facts"], loads["outcomes"])]
+        append(self.spark.createDataFrame(row, BASE_VERSIONS).coalesce(1), self._path("versions"))
+        return number

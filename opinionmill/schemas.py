@@ -31,6 +31,15 @@ OUTCOMES = _struct(
     finished_at=T.TimestampNTZType(),
 )
 
+# The fact table with its outcomes, as the compacted base holds it.
+REVIEWS_ENRICHED = T.StructType([
+    *REVIEWS_FAST.fields,
+    *_struct(keywords=T.ArrayType(_S), retry_count=T.IntegerType(), error_message=_S, failed_at=T.TimestampNTZType()).fields,
+])
+
+# One row per version of the base, with the loads that it holds.
+BASE_VERSIONS = _struct(version=T.IntegerType(), folder=_S, facts=T.ArrayType(_S), outcomes=T.ArrayType(_S))
+
 PIPELINE_LOGS = _struct(log_timestamp=T.TimestampNTZType(), level=_S, message=_S)
 
 EVENT_LOG_TAIL = _struct(timestamp=T.TimestampNTZType(), severity=_S, message=_S)
@@ -41,9 +50,11 @@ STAGE_DURATIONS = _struct(
 
 COST_SNAPSHOT = _struct(
     snapshot_date=T.DateType(), wh_credits=_D, ai_credits=_D, storage_gb=_D,
-    created_at=T.TimestampType(),
+    created_at=T.TimestampNTZType(),
 )
 
+FIGURE = _struct(name=_S, value=_D)
+
 AI_USAGE = _struct(start_time=T.TimestampNTZType(), credits_used=_D, service_type=_S)
 
 FUNCTION_USAGE = _struct(function_name=_S, call_count=_L, credits=_D)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,12 +28,15 @@ def local_session(app: str, cpus: str = "*", **settings: str) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str, fallback: str | None = None) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A sub-folder of the cluster's shared checkpoint folder.
 
-    ``fallback`` stands in only where the cluster names none, which is the case in tests.
+    Where none is set, a session that runs in one process gets one of its own; a cluster has to name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", fallback)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        root = tempfile.mkdtemp(prefix="opinionmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return posixpath.join(root.rstrip("/"), name)

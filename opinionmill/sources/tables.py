@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Raised where a source is absent, as opposed to broken.
 _ABSENT = {"TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
+# A character for private use, which marks the end of a CSV line.
+_MARK = "\ue000"
+
 Loader = Callable[[], DataFrame]
 
 
@@ -18,16 +22,51 @@ def _is_absent(error: AnalysisException) -> bool:
     return (error.getCondition() or "").split(".")[0] in _ABSENT
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """CSV with a header row and optional quotes, all text, bad lines skipped, names upper-cased.
-
-    Quoted line breaks need ``multi_line``, which makes a file the unit of parallel reading: split
-    large inputs into many files, or turn it off where no value holds a line break.
-    """
-    df = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multi_line, mode="DROPMALFORMED",
-        inferSchema=False,
+def _csv_lines(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, list[Column]]:
+    """All lines of a CSV file with ``line``, the text of those that don't fit, and ``too_long``; its columns."""
+    # Spark tells misfits only where it reads all columns.
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "columnPruning": False}
+    names = spark.read.options(**options).csv(path, header=True).columns
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    df = spark.read.schema(T.StructType([*fields, T.StructField("line", T.StringType())])).options(**options).csv(
+        path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line"
     )
+    # Spark takes no question about the line alone, so one is asked that needs a value too.
+    df = df.where(F.length(F.concat(F.coalesce("c0", F.lit("")), F.coalesce("line", F.lit("")))) >= 0)
+    # With a mark added as its last value, a line has too many if the mark lies beyond one column more.
+    wider = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    marked = F.concat(F.regexp_replace("line", r"[\r\n]+$", ""), F.lit("," + _MARK))
+    read = F.from_csv(marked, wider, {"quote": '"', "escape": '"'})
+    ends = F.array(*[read[f"c{i}"] for i in range(len(names) + 1)])
+    too_long = F.col("line").isNotNull() & ~F.coalesce(F.array_contains(F.array_compact(ends), _MARK), F.lit(False))
+    columns = [F.col(f.name).alias(n.upper()) for f, n in zip(fields, names)]
+    return df.withColumn("too_long", F.coalesce(too_long, F.lit(False))), columns
+
+
+def csv_parts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV file with a header and optional quotes, and the lines that don't fit it.
+
+    Rows are all text, with upper-case names; a line with too few values is filled with nulls. A
+    line with too many doesn't fit: it comes back as it is, in a column ``line``. Quoted line breaks
+    need ``multi_line``, which makes a file the unit of parallel reading: split large inputs into
+    many files, or turn it off where no value holds a line break.
+    """
+    lines, columns = _csv_lines(spark, path, multi_line)
+    return lines.where(~F.col("too_long")).select(columns), lines.where("too_long").select("line")
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, bad_rows: str = "fail") -> DataFrame:
+    """The rows of :func:`csv_parts`; a line that doesn't fit stops the read, or is passed over with "skip"."""
+    lines, columns = _csv_lines(spark, path, multi_line)
+    if bad_rows == "skip":
+        return lines.where(~F.col("too_long")).select(columns)
+    if bad_rows != "fail":
+        raise ValueError(f"unknown way with bad rows: {bad_rows}")
+    text = F.concat(F.lit(f"a line of {path} has too many values: "), F.left("line", F.lit(200)))
+    return lines.where(F.when(F.col("too_long"), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).select(columns)
+
+
+def upper_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])
 
 
@@ -51,6 +90,12 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Append, but write no empty file where ``df`` has no rows; it should be cheap to compute."""
+    if not df.isEmpty():
+        append(df, path)
+
+
 def write_clustered(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write sorted by product and stars, so that filters on them skip files and row groups.
 
@@ -95,9 +140,29 @@ def log_row(spark: SparkSession, level: str, message: str) -> DataFrame:
 
 def append_log(spark: SparkSession, path: str, message: str, level: str = "INFO") -> bool:
     """Append a run-log row. A log that cannot be written must not fail the run."""
+    return append_log_rows(log_row(spark, level, message), path)
+
+
+def append_log_rows(rows: DataFrame, path: str) -> bool:
     try:
-        append(log_row(spark, level, message).coalesce(1), path)
+        append_rows(rows.coalesce(1), path)
     except Exception as error:  # noqa: BLE001 - see above
         logging.getLogger(__name__).warning("log entry not written: %s", error)
         return False
     return True
+
+
+@contextmanager
+def logged(spark: SparkSession, path: str | None, stage: str) -> Iterator[list[str]]:
+    """Log the start and the end, or the error, of a stage; what is put into the list ends the last message."""
+    notes: list[str] = []
+    if path:
+        append_log(spark, path, f"{stage} started")
+    try:
+        yield notes
+    except Exception as error:
+        if path:
+            append_log(spark, path, f"{stage} failed: {error}", "ERROR")
+        raise
+    if path:
+        append_log(spark, path, " ".join([f"{stage} completed", *notes]))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from opinionmill.functions.times import AsOf
-from opinionmill.plans.batch import Score, fast_tier
+from opinionmill.operators.enrich import BATCH_ROWS, tfidf_outcomes
+from opinionmill.plans.batch import Extract, Score, fast_tier, keyword_tier
 from opinionmill.plans.store import ReviewStore
 from opinionmill.schemas import REVIEWS_STAGING, all_strings
 
@@ -29,6 +30,16 @@ def raw_stream(
     )
 
 
+def keyword_step(
+    raw: Callable[[], DataFrame], n: int = BATCH_ROWS, extract: Extract = tfidf_outcomes, log_path: str | None = None,
+) -> Callable[[ReviewStore, DataFrame, str], object]:
+    """A ``then`` that runs the keyword tier over all pending reviews, those of earlier batches too.
+
+    ``raw`` loads the whole raw table, which the votes come from.
+    """
+    return lambda store, batch, load_id: keyword_tier(store, raw(), load_id, n, extract, log_path)
+
+
 def enrich_stream(
     raw: DataFrame, store: ReviewStore, checkpoint: str, score: Score, as_of: AsOf = None,
     then: Callable[[ReviewStore, DataFrame, str], object] | None = None,
@@ -48,9 +59,14 @@ def enrich_stream(
 
     def on_batch(batch: DataFrame, number: int) -> None:
         load_id = f"{stream_id()}-{number:09d}"
-        fast_tier(store, batch, score, load_id, as_of)
-        if then:
-            then(store, batch, load_id)
+        # The merge, the scores and the next step all look at the batch.
+        kept = batch.persist()
+        try:
+            fast_tier(store, kept, score, load_id, as_of)
+            if then:
+                then(store, kept, load_id)
+        finally:
+            kept.unpersist()
 
     return (
         raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

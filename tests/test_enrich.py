@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from opinionmill.functions.text import KEYWORD_INSTRUCTION, keyword_prompt
+from opinionmill.functions.text import KEYWORD_INSTRUCTION, keyword_prompt, word_counts
 from opinionmill.operators import enrich
 
 LEXICON = [("good", 1.0), ("great", 2.0), ("bad", -1.0)]
@@ -23,15 +23,26 @@ def texts(spark):
     return spark.createDataFrame(TEXTS, "id string, body string")
 
 
-@pytest.mark.parametrize("literal_words", [10, 0])
-def test_sentiment(texts, lexicon, literal_words):
-    got = enrich.sentiment_score(texts, lexicon, literal_words=literal_words)
+@pytest.mark.parametrize("max_rows", [10, 0])
+def test_sentiment(texts, lexicon, max_rows):
+    got = enrich.sentiment_score(texts, lexicon, max_rows=max_rows)
+    assert got.columns == ["id", "body", "sentiment"]
     assert {r.id: r.sentiment for r in got.collect()} == pytest.approx(SCORES)
 
 
-def test_sentiment_with_shuffled_lexicon(texts, lexicon):
-    got = enrich._scored_by_join(texts, lexicon, "id", "body", max_rows=0)
-    assert {r.id: r.sentiment for r in got.collect()} == pytest.approx(SCORES)
+@pytest.mark.parametrize("max_rows", [10, 0])
+def test_sentiment_needs_no_ids(spark, max_rows):
+    texts = spark.createDataFrame([("1", "good good"), ("1", "bad"), (None, "good"), (None, "good bad"), ("2", None)], "id string, body string")
+    words = spark.createDataFrame([("good", 0.3), ("bad", -0.1), ("good", 0.4)], "word string, weight double")
+    got = sorted((r.id or "", r.body or "", r.sentiment) for r in enrich.sentiment_score(texts, words, max_rows=max_rows).collect())
+    assert got == [("", "good", 1.0), ("", "good bad", 0.75), ("1", "bad", -1.0), ("1", "good good", 1.0), ("2", "", 0.0)]
+
+
+def test_five_thousand_weights(spark):
+    words = spark.range(5000).selectExpr("concat('w', translate(cast(id as string), '0123456789', 'abcdefghij')) word", "(id - 2500) / 7 weight")
+    texts = spark.createDataFrame([("1", "wa wb wjj, wejjj"), ("2", "wejjj")], "id string, body string")
+    small, large = (enrich.sentiment_score(texts, words, max_rows=n) for n in (100_000, 0))
+    assert small.orderBy("id").collect() == large.orderBy("id").collect() and small.where("id = '2'").first().sentiment == 1.0
 
 
 def test_sentiment_without_words(spark, texts):
@@ -105,6 +116,12 @@ def test_tfidf_by_hand(spark):
     assert got == {"1": ["apple", "pear"], "2": ["plum", "pear"], "3": ["the"], "4": [], "5": []}
 
 
+def test_word_counts(spark):
+    df = spark.createDataFrame([("b a, B c a b",), ("",), (" 12 ",), (None,)], "t string")
+    got = [r[0] if r[0] is None else [tuple(x) for x in r[0]] for r in df.select(word_counts(F.col("t"))).collect()]
+    assert got == [[("a", 2), ("b", 3), ("c", 1)], None, None, None]
+
+
 @pytest.mark.parametrize("hot_words", [0, 1, 5])
 def test_tfidf_whatever_is_broadcast(spark, monkeypatch, hot_words):
     df = spark.range(60).select(
@@ -201,7 +218,7 @@ def test_summary_and_alert(spark):
     summary = enrich.run_summary(outcomes)
     assert summary.first().asDict() == {"processed": 2, "failed": 1, "retried": 1, "total": 3}
     alert = enrich.failure_alert(summary).collect()
-    assert [r.level for r in alert] == ["WARN"] and alert[0].message.startswith("ALERT: 1 review(s)")
+    assert [r.level for r in alert] == ["WARN"] and "failed=1 of total=3" in alert[0].message
     assert enrich.failure_alert(enrich.run_summary(outcomes.where("keywords is not null"))).count() == 0
 
 

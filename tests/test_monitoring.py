@@ -86,10 +86,16 @@ def test_latest_snapshot_and_live_sums(spark):
     unusable = frame(spark, schema, ("2024-01-03", None, 1, 1))
 
     def costs(snap):
-        live = mon.cost_snapshot(*sources(spark), AS_OF, warehouse_name="WH", digits=2)
-        return dashboard.current_costs(spark, lambda: snap, lambda: live).first().wh_credits
+        warehouse, ai, _ = sources(spark)
+        live = {
+            "wh_credits": lambda: mon.metering_30d(warehouse, AS_OF, "warehouse_name", "WH"),
+            "ai_credits": lambda: mon.metering_30d(ai, AS_OF, "service_type", mon.AI_SERVICE),
+            "storage_gb": lambda: spark.table("no_such_table"),
+        }
+        return tuple(dashboard.current_costs(spark, lambda: snap, live).first())[1:]
 
-    assert costs(snapshots) == 2.0 and costs(unusable) == costs(snapshots.limit(0)) == 3.23
+    # A figure whose source is absent is null, the others are there.
+    assert costs(snapshots) == (2.0, 0.0, 2.0) and costs(unusable) == costs(snapshots.limit(0)) == (3.23, 5.23, None)
 
 
 def test_second_choices(spark):
@@ -152,6 +158,9 @@ def test_log_tails(spark):
     logs = frame(spark, "log_timestamp timestamp_ntz, level string, message string",
                  *[(f"2024-01-01 00:00:0{i}", "INFO", f"m{i}") for i in range(5)])
     assert [tuple(r)[1:] for r in mon.event_log_tail(logs, 2).collect()] == [("INFO", "m4"), ("INFO", "m3")]
+    same = frame(spark, "log_timestamp timestamp_ntz, level string, message string",
+                 *[("2024-01-01 00:00:00", "INFO", f"m{i}") for i in range(9)])
+    assert [r.message for r in mon.event_log_tail(same.repartition(4), 2).collect()] == ["m8", "m7"]
     records = frame(spark, "timestamp timestamp_ntz, record string, value int",
                     ("2024-01-01 00:00:00", '{"severity_text": "WARN"}', 7), ("2024-01-02 00:00:00", "{}", 8))
     assert [tuple(r)[1:] for r in mon.event_record_tail(records).collect()] == [(None, "8"), ("WARN", "7")]

@@ -60,14 +60,14 @@ def test_view_names(spark, names):
 def test_merge(spark, limit, batch, target):
     from opinionmill.plans import joins
 
-    kept = joins.fits_broadcast.__defaults__, joins.BROADCAST_ROWS
-    joins.fits_broadcast.__defaults__, joins.BROADCAST_ROWS = (limit, 1 << 26), limit
+    kept = joins.fits_broadcast.__defaults__, joins.local_copy.__defaults__
+    joins.fits_broadcast.__defaults__ = joins.local_copy.__defaults__ = (limit, 1 << 26)
     try:
         got = without_known(
             spark.createDataFrame(batch, "id int, v int"), spark.createDataFrame([(t,) for t in target], "id int"), "id")
         rows = sorted((r.id, -1 if r.v is None else r.v) for r in got.collect())
     finally:
-        joins.fits_broadcast.__defaults__, joins.BROADCAST_ROWS = kept
+        joins.fits_broadcast.__defaults__, joins.local_copy.__defaults__ = kept
     expected = {}
     for key, v in batch:
         if key not in target:

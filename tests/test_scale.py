@@ -41,6 +41,7 @@ def largest_partition(df):
 
 def set_limit(monkeypatch, rows):
     monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (rows, 1 << 26))
+    monkeypatch.setattr(joins.local_copy, "__defaults__", (rows, 1 << 26))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
 
 
@@ -65,7 +66,7 @@ def test_size_check_stops_early(spark):
 
 def test_hot_key_does_not_fill_a_task(spark, hot_reviews, products, no_small_sides, rows):
     plain = hot_reviews.join(products, "asin", "left")
-    spread = joins.lookup_join(hot_reviews, products, "asin", ["id"], max_rows=0, hot_keys=5)
+    spread = joins.lookup_join(hot_reviews, products, "asin", ["id"], max_rows=0)
     assert largest_partition(spread) < N / 3 < largest_partition(plain)
     assert rows(spread.select("id", "asin", "title")) == rows(plain.select("id", "asin", "title"))
     assert spread.count() == N
@@ -118,7 +119,25 @@ def test_small_batch_leaves_target_in_place(spark, plan, no_small_sides):
     batch = spark.createDataFrame([("1", "x")], "id string, body string")
     target = spark.range(10000).select(F.col("id").cast("string").alias("id"))
     text = plan(joins.without_known(batch, target, "id"))
-    assert "BroadcastHashJoin [id" in text and "SortMergeJoin" not in text
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
+@pytest.mark.parametrize("limit", [0, 500, 100_000])
+def test_merge_reads_its_source_once(spark, monkeypatch, tmp_path, limit):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    batch, target = batch_and_target(spark)
+    path = str(tmp_path / "merged")
+    target.withColumn("v", F.lit(0).cast("bigint")).withColumn("body", F.lit("text")).write.parquet(path)
+    source = batch.mapInPandas(count, "id string, v long, body string")
+    set_limit(monkeypatch, limit)
+    added = ingest.merge_append(spark, source, path, "id")
+    assert seen.value == 3000 and added == len({r.id for r in batch.collect()} - {r.id for r in target.collect()})
 
 
 @pytest.mark.parametrize("build", [
@@ -203,11 +222,27 @@ def test_uniqueness_reads_its_own_column(facts, plan):
     assert "ReadSchema: struct<id:string>" in text and "Expand" not in text
 
 
-def test_stratum_is_not_sorted_in_one_task(hot_reviews, plan):
-    df = hot_reviews.withColumn("stars", F.when(F.col("asin") == "HOT", 5).otherwise(1))
+def test_stratum_is_cut_before_the_shuffle(hot_reviews, plan):
+    df = hot_reviews.withColumn("stars", F.when(F.col("asin") == "HOT", 5).otherwise(1)).withColumn("body", F.lit("text"))
     text = plan(quality.stratified_sample(df.drop("asin"), 10))
-    windows = [line for line in text.split("\n") if "+- Window [row_number" in line or ":- Window [row_number" in line]
-    assert windows and all("[stars" not in line.split("windowspecdefinition(")[1].split(",")[0] or "_prefix" in line for line in windows)
+    limits = [line for line in text.split("\n") if "WindowGroupLimit [stars" in line]
+    assert any("Partial" in line for line in limits) and any("Final" in line for line in limits)
+
+
+def test_tfidf_shuffles_no_text(facts, plan, no_small_sides):
+    text = plan(enrich.keywords_tfidf(facts))
+    for line in text.split("\n"):
+        if "Exchange" in line:
+            assert "body" not in line
+    assert "Exchange hashpartitioning(id" in text and "WindowGroupLimit" in text
+
+
+def test_long_frequent_word_fills_no_task(spark, no_small_sides):
+    long = "x" * 80
+    df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit(f"{long} word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("body"))
+    got = enrich.keywords_tfidf(df, k=2)
+    assert got.count() == 2000 and largest_partition(got) < 1000
+    assert got.where(F.get("keywords", F.lit(1)) == long).count() == 2000
 
 
 def test_cost_snapshot_joins_nothing(spark, plan):

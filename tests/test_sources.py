@@ -7,7 +7,7 @@ from opinionmill.schemas import PIPELINE_LOGS
 from opinionmill.session import shared_folder
 from opinionmill.sources.mirror import mirror_schema, view_name
 from opinionmill.sources.tables import (
-    append, append_log, exists, first_available, has_rows, read_csv, write_clustered,
+    append, append_log, csv_parts, exists, first_available, has_rows, read_csv, write_clustered,
 )
 
 NAMES = {
@@ -46,11 +46,29 @@ def test_mirror_goes_on_after_a_failure(spark):
 def test_read_csv(spark, tmp_path):
     (tmp_path / "r.csv").write_text(
         'id,Body,stars\n1,"He said ""no"",\nand left",5\n2,plain,\n3,too,many,values\n4,last,1\n', encoding="utf-8")
-    df = read_csv(spark, str(tmp_path / "r.csv"))
+    path = str(tmp_path / "r.csv")
+    df = read_csv(spark, path, bad_rows="skip")
     assert df.columns == ["ID", "BODY", "STARS"]
     assert [tuple(r) for r in df.orderBy("ID").collect()] == [
         ("1", 'He said "no",\nand left', "5"), ("2", "plain", None), ("4", "last", "1")]
     assert df.count() == 3
+    with pytest.raises(PySparkException, match="too many values"):
+        read_csv(spark, path).collect()
+    with pytest.raises(PySparkException, match="too many values"):
+        read_csv(spark, path).count()
+    with pytest.raises(ValueError):
+        read_csv(spark, path, bad_rows="drop")
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_no_line_is_lost(spark, tmp_path, multi_line):
+    lines = ["1,a,b", "2,short", "3,too,many,values", "4", '5,"a, ""quoted""",x', '6,"a, b",c,d', "7,,", "8,x,y,", "9,long,"]
+    (tmp_path / "r.csv").write_text("id,body,stars\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    good, bad = csv_parts(spark, str(tmp_path / "r.csv"), multi_line)
+    assert [tuple(r) for r in good.orderBy("ID").collect()] == [
+        ("1", "a", "b"), ("2", "short", None), ("4", None, None), ("5", 'a, "quoted"', "x"), ("7", None, None), ("9", "long", None)]
+    assert sorted(r.line.strip() for r in bad.collect()) == ["3,too,many,values", '6,"a, b",c,d', "8,x,y,"]
+    assert good.count() + bad.count() == len(lines) and good.select("ID").count() == 6
 
 
 def test_first_available(spark, tmp_path):

@@ -7,7 +7,7 @@ from opinionmill.plans.batch import keyword_tier
 from opinionmill.plans.store import ReviewStore
 from opinionmill.schemas import OUTCOMES, REVIEWS_STAGING, all_strings
 from opinionmill.sources.tables import read_path
-from opinionmill.streaming.incremental import enrich_stream, raw_stream
+from opinionmill.streaming.incremental import enrich_stream, keyword_step, raw_stream
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -121,8 +121,27 @@ def test_store_repeats_a_load_without_doubling(job, spark):
     assert job.rows() == [("1", 1.0)]
 
 
-def test_compact(job, tmp_path):
-    job.arrive(("1", "good"), ("2", "bad"))
-    job.run()
-    job.store.compact(str(tmp_path / "v1"))
-    assert job.spark.read.parquet(str(tmp_path / "v1")).count() == 2
+def test_compacted_base_answers_without_a_join(job, plan):
+    job.arrive(("1", "good lamp"), ("2", "bad"))
+    job.run(keyword_step(lambda: read_path(job.spark, job.raw, all_strings(REVIEWS_STAGING)), n=1))
+    before = sorted(map(str, job.store.enriched().collect()))
+    assert job.store.compact(partitions=2) == 1
+    assert sorted(map(str, job.store.enriched().collect())) == before and job.rows() == [("1", 1.0), ("2", -1.0)]
+    text = plan(job.store.enriched().where("asin = 'A' and stars = 5").select("id"))
+    assert "Join" not in text and "EqualTo(asin,A)" in text and "body" not in text.split("ReadSchema")[1]
+    # Younger loads and outcomes meet the base, and the next version holds them too.
+    job.arrive(("3", "bad chair"))
+    job.run(keyword_step(lambda: read_path(job.spark, job.raw, all_strings(REVIEWS_STAGING)), n=5))
+    after = sorted(map(str, job.store.enriched().collect()))
+    assert {r.id: r.enrichment_status for r in job.store.enriched().collect()} == {i: "FULLY_ENRICHED" for i in "123"}
+    assert job.store.compact() == 2 and sorted(map(str, job.store.enriched().collect())) == after
+    assert "Join" not in plan(job.store.enriched()) and job.store.outcomes().count() == 3
+
+
+def test_child_step_draws_from_earlier_batches_too(job):
+    job.arrive(("1", "good lamp"), ("2", "bad chair"))
+    step = keyword_step(lambda: read_path(job.spark, job.raw, all_strings(REVIEWS_STAGING)), n=1)
+    job.run(step)
+    job.arrive(("3", " "))
+    job.run(step)
+    assert {r.id: r.enrichment_status for r in job.store.enriched().collect()} == {"1": "FULLY_ENRICHED", "2": "FULLY_ENRICHED"}
