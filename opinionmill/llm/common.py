@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
+import sys
+import types
 import uuid
+from collections.abc import Callable, Hashable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from opinionmill.session import shared_folder
+
 #: Uniform draws are made in this many steps.
 DRAWS = 1 << 30
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def own_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, under the application's id."""
+    return posixpath.join(shared_folder(spark, "llm"), spark.sparkContext.applicationId, uuid.uuid4().hex)
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def pinned(df: DataFrame) -> DataFrame:
     The tables of a run lie under the application's id, to be deleted when it has ended.
     """
     spark = df.sparkSession
-    path = posixpath.join(shared_root(spark), "llm", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    path = own_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,3 +71,14 @@ def fresh(df: DataFrame, name: str) -> str:
 def spaced(parts: list, most: int) -> list:
     """At most ``most`` of the parts, evenly spaced from the first."""
     return parts[::max(1, -(-len(parts) // most))]
+
+
+def kept_in_worker(name: Hashable, make: Callable[[], object]):
+    """What ``make`` gave for this name to an earlier task of the same Python worker, else what it gives now.
+
+    Workers outlive tasks, but the functions that a task brings along don't, so it lies in a module of its own.
+    """
+    held = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
