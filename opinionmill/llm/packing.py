@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, pinned, texts_of
+from .common import batch, kept_in_worker, pinned, texts_of
 
 #: Windows that a group should hold; pieces of about this many windows are balanced together.
 GROUP_WINDOWS = 256
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-    ("doc_tokens", pa.int64()),
+    ("doc_tokens", pa.int64()), ("copy", pa.int64()),
 ])
 
 
@@ -115,22 +116,25 @@ def balance(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def piece_rows(documents: DataFrame, path: str, window: int, end_id: int, piece: int) -> DataFrame:
-    """A light row for each piece of each document."""
+    """A light row for each piece of each document; ``copy`` counts the rows of an id that a task has met before."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = kept_in_worker(("encoder", path), lambda: encoder(path))
+        seen: Counter = Counter()
         for rows in batches:
             out: list[tuple] = []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts_of(rows.column("text"))):
                 ids = np.array([*encode(text), end_id], "<u4")
                 raw = ids.tobytes()
+                copy = seen[doc_id]
+                seen[doc_id] += 1
                 out += [
-                    (doc_id, start, length, zlib.crc32(raw[4 * start:4 * (start + length)]), len(ids))
+                    (doc_id, start, length, zlib.crc32(raw[4 * start:4 * (start + length)]), len(ids), copy)
                     for start, length in cuts(len(ids), window, piece)
                 ]
             yield batch(PIECES, list(zip(*out)) if out else [[]] * len(PIECES))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
@@ -145,7 +149,7 @@ def pack(
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         group = int(rows["group"].iloc[0])
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "copy"], kind="stable").reset_index(drop=True)
         full = (rows["length"] >= window).to_numpy()
         names = np.zeros(len(rows), np.int64)
         names[~full], windows = balance(rows["length"][~full].tolist(), window)
@@ -153,9 +157,9 @@ def pack(
         rows["sequence_id"] = names + (group << 32)
         lengths = rows.groupby("sequence_id")["length"]
         rows["offset"] = lengths.cumsum() - rows["length"]
-        return rows.drop(columns="group")
+        return rows.drop(columns=["group", "copy"])
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)))
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
