@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import draw, sampled
 
-#: Pages that the network may learn from.
+#: Pages that the network may learn from, and characters of each.
 PAGES = 600
+LESSON = 200_000
 BUCKETS = 1_024
 INPUTS = 24
 STATES = 16
@@ -385,7 +386,9 @@ def label(net: Labeller, pages: list[list[Block]], size: int = 128) -> list[np.n
 def fit(pages: DataFrame, most: int = PAGES) -> Labeller | None:
     """Train on a bounded sample of pages."""
     there = pages.where(F.col("html").isNotNull())
-    chosen = sampled(there, "page_id", most, there.count(), seed=31).select("page_id", "html").toPandas()
+    chosen = sampled(there, "page_id", most, there.count(), seed=31).select(
+        "page_id", F.left(F.col("html").cast("string"), F.lit(LESSON)).alias("html")
+    ).toPandas()
     chosen = chosen.sort_values(["page_id", "html"])
     lessons = [page for page in map(blocks, chosen["html"]) if page]
     return train(lessons) if lessons else None
