@@ -7,13 +7,13 @@ text that fills a range by its copies is split by id. With the exact bytes befor
 gives the exact bytes before each row, and these decide the shard. Law: ``bytes``.
 
 A group of equal texts stays whole if it is light, at most ``whole`` of a shard; heavier groups are cut by rows. A shard
-therefore differs from an equal share by about the largest unit at each of its two ends.
+therefore differs from an equal share by about half of the largest unit at each of its two ends.
 
 Texts never shuffle, only ids, sizes and checksums. Draws and ranges come to the driver: their number follows from
 ``rows_per_range`` and the row count, 16 draws of 16 bytes for each range.
 
-Defined results: null texts have size 8 and checksum 0, as empty ones do; null ids come first; repeated rows are placed
-side by side; fewer rows than shards leave shards empty; an empty table gives no rows.
+Defined results: null texts have size 8 and checksum 0, as empty ones do; null ids come first; repeated rows, of one id
+and one text, are placed side by side, in one range; fewer rows than shards leave shards empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,8 +138,9 @@ def shard(
         "*", F.sum("size").over(group).alias("group_size"), F.min("own_start").over(group).alias("group_start"),
     )
     light = F.col("group_size") <= F.lit(whole * total / shards)
-    unit = F.when(light, F.col("group_start")).otherwise(F.col("own_start"))
-    number = F.least(F.floor(unit * F.lit(shards) / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")
+    # The middle of a unit decides, so half of the largest unit is the most that a shard's end is off.
+    middle = F.when(light, F.col("group_start") + F.col("group_size") / 2).otherwise(F.col("own_start") + F.col("size") / 2)
+    number = F.least(F.floor(middle * F.lit(shards) / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")
     placed = pinned(met.select("doc_id", "size", "text_crc32", "place", number.alias("shard")))
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
