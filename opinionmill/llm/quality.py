@@ -3,12 +3,13 @@
 One zstandard dictionary is built from good text and one from bad text. A text compresses better with the dictionary of
 the texts it resembles, so the normalised difference of its two compressed sizes tells them apart. The text is
 compressed in blocks, as else a long text would teach the compressor more than the dictionary does; the whole text
-counts. A logistic model, fitted on labelled texts that are in neither dictionary, turns the measurements into a
-calibrated score.
+counts. A logistic model, fitted on measurements with dictionaries that a text is not in, turns them into a calibrated
+score.
 
-Fitting uses a bounded sample, ``PER_CLASS`` labelled documents of each class chosen by the hash of their id: half of
-them give at most ``BLOCKS_PER_TEXT`` blocks each to the dictionaries, of the other half the measurements of the whole
-texts come to the driver. Scoring is a narrow step over all documents.
+Fitting uses a bounded sample, ``PER_CLASS`` labelled documents of each class chosen by the hash of their id. Each gives
+at most ``BLOCKS_PER_TEXT`` blocks to the dictionaries. For the calibration the sample is halved, and the whole texts of
+either half are measured with dictionaries of the other; only the measurements come to the driver. Scoring is a narrow
+step over all documents.
 
 Defined results: null text counts as empty, and empty texts are scored as such; a label other than 0 and 1 is no label;
 of differing labels for an id the larger counts; where a class has no labelled text the score is the share of label 1,
@@ -130,27 +131,36 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     for quality, n in counts.items():
         rate = F.when(F.col("quality") == quality, int(min(1.0, per_class / n) * DRAWS)).otherwise(rate)
     chosen = known.where(draw("doc_id", seed=11) < rate).select(
-        F.col("doc_id").alias("_id"), "quality", (draw("doc_id", seed=12) < DRAWS // 2).alias("teaches")
+        F.col("doc_id").alias("_id"), "quality", (draw("doc_id", seed=12) < DRAWS // 2).cast("int").alias("half")
     )
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    teaching = texts.where("teaches").select("doc_id", "text", "quality")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("part", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("half", pa.int32()), ("part", pa.binary())])
         for rows in batches:
+            columns = [rows.column(c).to_pylist() for c in ("doc_id", "quality", "half")]
             out = [
-                (i, q, part)
-                for i, t, q in zip(rows.column("doc_id").to_pylist(), texts_of(rows.column("text")), rows.column("quality").to_pylist())
+                (i, q, half, part)
+                for i, q, half, t in zip(*columns, texts_of(rows.column("text")))
                 for part in spaced(blocks(t), BLOCKS_PER_TEXT)
             ]
-            yield batch(schema, list(zip(*out)) if out else [[]] * 3)
+            yield batch(schema, list(zip(*out)) if out else [[]] * 4)
 
-    parts = teaching.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(sample, "doc_id long, quality int, part binary").toPandas()
+    rows = texts.select(F.col("doc_id").cast("long"), "quality", "half", F.col("text").cast("string"))
+    parts = rows.mapInArrow(sample, "doc_id long, quality int, half int, part binary").toPandas()
     parts = parts.sort_values(["doc_id", "part"])
     if not {0, 1} <= set(parts["quality"]):
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), prior)
-    good, bad = (dictionary([bytes(p) for p in parts["part"][parts["quality"] == q]]) for q in (1, 0))
-    measured = measure_texts(texts.where(~F.col("teaches")).select("doc_id", "text", "quality"), good, bad).toPandas()
+
+    def dictionaries(of: pd.DataFrame) -> list[bytes]:
+        return [dictionary([bytes(p) for p in of["part"][of["quality"] == q]]) for q in (1, 0)]
+
+    good, bad = dictionaries(parts)
+    found = [
+        measure_texts(rows.where(F.col("half") == half), *dictionaries(parts[parts["half"] != half])).toPandas()
+        for half in (0, 1) if {0, 1} <= set(parts["quality"][parts["half"] != half])
+    ]
+    measured = pd.concat(found) if found else pd.DataFrame({"quality": []})
     if not {0, 1} <= set(measured["quality"]):
         return Model(good, bad, np.zeros(0), np.zeros(0), np.ones(0), prior)
     measured = measured.sort_values(["doc_id", "quality"])
