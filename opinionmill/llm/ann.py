@@ -14,8 +14,8 @@ Lists and the queries that probe them are cut into blocks of bounded size; a tas
 vectors are one entry with its smallest ids, so a vector that many rows share costs no more than another.
 
 Defined results: rows without an id, and vectors null, empty, zero, of an odd length or with a null or non-finite
-component take no part; rows that share id and vector are one; a query never finds its own id; an empty table gives no
-rows; other columns are not read.
+component take no part; rows that share id and vector are one; a query finds every row but itself; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,10 +77,10 @@ def probes(sample: np.ndarray, made: np.ndarray, recall: float, queries: int = 2
     return min(len(made), int(np.quantile(needed, recall, method="higher")) + 1)
 
 
-def scan(queries: np.ndarray, own: np.ndarray, base: np.ndarray, names: np.ndarray, turn: np.ndarray, k: int):
-    """Each query's ``k`` nearest of a block, by adaptive scan: squared distances and numbers in ``names``.
+def scan(queries: np.ndarray, base: np.ndarray, turn: np.ndarray, k: int):
+    """Each query's ``k`` nearest of a block, by adaptive scan: squared distances and numbers of the rows.
 
-    ``names`` ascend, so that ties go to the smaller. ``own`` is not left out; the caller asks for one more.
+    Ties go to the row that comes first. A query's own row is not left out; the caller asks for one more.
     """
     turned_base, turned = base @ turn, queries @ turn
     length = base.shape[1]
@@ -132,10 +132,10 @@ def search(embeddings: DataFrame, every: int = 100, k: int = K, recall: float =
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(min(MOST_LISTS, max(1, round(count**0.5))))
-    sample = sampled(made, "class_id", lists * PER_LIST, count, seed=43).select("class_id", "vec").toPandas()
+    sample = sampled(made, "first", lists * PER_LIST, count, seed=43).select("first", "vec").toPandas()
     if not len(sample):
-        sample = made.select("class_id", "vec").limit(1).toPandas()
-    points = matrix(sample.sort_values("class_id")["vec"])
+        sample = made.orderBy("first").select("first", "vec").limit(1).toPandas()
+    points = matrix(sample.sort_values("first", kind="stable")["vec"])
     middles = centres(points, lists)
     probed = probes(points, middles, recall)
     turn = rotation(points.shape[1])
@@ -147,7 +147,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = K, recall: float =
         order = np.argsort(squared(matrix(vec), middles), axis=1, kind="stable")[:, :probed]
         return pd.Series(list(order.astype(np.int32)))
 
-    index = made.select("class_id", "vec", F.element_at(nearest("vec"), 1).alias("list"))
+    index = made.select("class_id", "first", "vec", F.element_at(nearest("vec"), 1).alias("list"))
     probing = queries.select(F.col("class_id").alias("query_class")).distinct().join(
         made.select(F.col("class_id").alias("query_class"), F.col("vec").alias("asked")), "query_class"
     ).select("query_class", "asked", F.explode(nearest("asked")).alias("list"))
@@ -156,7 +156,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = K, recall: float =
     ).select("list", F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("queries") / QUERY_BLOCK).alias("crowds"))
     sizes = F.broadcast(pinned(sizes))  # a row for each of at most MOST_LISTS lists
     base_cells = index.join(sizes, "list").select(
-        "list", block("class_id", F.col("parts")).alias("part"), every_block(F.col("crowds")).alias("crowd"), "class_id", "vec"
+        "list", block("class_id", F.col("parts")).alias("part"), every_block(F.col("crowds")).alias("crowd"), "class_id", "first", "vec"
     )
     query_cells = probing.join(sizes, "list").select(
         "list", "parts", block("query_class", F.col("crowds")).alias("crowd"), "query_class", "asked"
@@ -164,15 +164,18 @@ def search(embeddings: DataFrame, every: int = 100, k: int = K, recall: float =
 
     def compare(base: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(asking):
-            return pd.DataFrame({"query_class": [], "class_id": [], "value": []})
-        base = base.sort_values("class_id")
+            return pd.DataFrame({"query_class": [], "class_id": [], "first": [], "value": []})
+        base = base.sort_values(["first", "class_id"])
         names, own = base["class_id"].to_numpy(), asking["query_class"].to_numpy()
-        best, which = scan(matrix(asking["asked"]), own, matrix(base["vec"]), names, turn, k + 1)
+        best, which = scan(matrix(asking["asked"]), matrix(base["vec"]), turn, k + 1)
         i, j = np.nonzero(which >= 0)
-        return pd.DataFrame({"query_class": own[i], "class_id": names[which[i, j]], "value": np.sqrt(best[i, j])})
+        found = which[i, j]
+        return pd.DataFrame({
+            "query_class": own[i], "class_id": names[found], "first": base["first"].to_numpy()[found], "value": np.sqrt(best[i, j])
+        })
 
     cell = ["list", "part", "crowd"]
     found = base_cells.groupBy(cell).cogroup(query_cells.groupBy(cell)).applyInPandas(
-        compare, "query_class long, class_id long, value double"
+        compare, "query_class long, class_id long, first long, value double"
     )
     return answers(found, made, queries, k, F.col("value"), "score")

@@ -11,8 +11,8 @@ All blocks of queries meet all blocks of vectors; a task sees one block of eithe
 smallest ids, so a vector that many rows share costs no more than another.
 
 Defined results: rows without an id, and vectors null, empty, of an odd length or with a null or non-finite component
-take no part; rows that share id and vector are one; a query never finds its own id; scores have to fit a long; an empty
-table gives no rows; other columns are not read.
+take no part; rows that share id and vector are one; a query finds every row but itself; scores have to fit a long; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -93,8 +93,11 @@ def survivors(queries: np.ndarray, base: np.ndarray, asks: list[np.ndarray], has
     return left
 
 
-def top(queries: np.ndarray, own: np.ndarray, base: np.ndarray, names: np.ndarray, sample: np.ndarray, sampled_names: np.ndarray, k: int):
-    """(query, vector, score) of each query's best ``k`` classes in a block, its own class beside them."""
+def top(queries: np.ndarray, own: np.ndarray, base: np.ndarray, sample: np.ndarray, sampled_names: np.ndarray, k: int):
+    """(query, row of the block, score) of each query's best ``k`` classes in a block, its own class beside them.
+
+    Ties go to the row that comes first.
+    """
     lowest = np.iinfo(np.int64).min
     real, asks = queries.astype(float), [statistics(queries.astype(float), c) for c in SEGMENTS]
     all_has = [statistics(base.astype(float), c) for c in SEGMENTS]
@@ -127,7 +130,7 @@ def top(queries: np.ndarray, own: np.ndarray, base: np.ndarray, names: np.ndarra
             # One of the k + 1 may be the query's own class, so the last of them bounds the k-th of the others.
             least = np.maximum(least, best[:, -1])
         i, j = np.nonzero(which >= 0)
-        out.append((own[rows][i], names[which[i, j]], best[i, j]))
+        out.append((own[rows][i], which[i, j], best[i, j]))
     return [np.concatenate(c) for c in zip(*out)]
 
 
@@ -146,26 +149,27 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     crowds = -(-asking.count() // QUERY_BLOCK)
     if not count or not crowds:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    some = sampled(made, "class_id", SAMPLE, count, seed=71).select("class_id", "vec").toPandas()
+    some = sampled(made, "first", SAMPLE, count, seed=71).select("class_id", "vec").toPandas()
     some_names = some["class_id"].to_numpy(np.int64)
     some_rows = widened(matrix(some["vec"], np.int64)) if len(some) else None
     parts = -(-count // BLOCK)
-    base_cells = made.select(block("class_id", parts).alias("part"), every_block(crowds).alias("crowd"), "class_id", "vec")
+    base_cells = made.select(block("class_id", parts).alias("part"), every_block(crowds).alias("crowd"), "class_id", "first", "vec")
     query_cells = asking.select(every_block(parts).alias("part"), block("query_class", crowds).alias("crowd"), "query_class", "vec")
 
     def compare(base: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(asked_):
-            return pd.DataFrame({"query_class": [], "class_id": [], "value": []})
-        base = base.sort_values("class_id")
+            return pd.DataFrame({"query_class": [], "class_id": [], "first": [], "value": []})
+        base = base.sort_values(["first", "class_id"])
         q, v = widened(matrix(asked_["vec"], np.int64)), widened(matrix(base["vec"], np.int64))
         sample = v[:0] if some_rows is None else some_rows
         own, found, scores = top(
-            q, asked_["query_class"].to_numpy(), v, base["class_id"].to_numpy(), sample, some_names, k
+            q, asked_["query_class"].to_numpy(), v, sample, some_names, k
         )
-        return pd.DataFrame({"query_class": own, "class_id": found, "value": scores})
+        named = base[["class_id", "first"]].iloc[found].reset_index(drop=True)
+        return pd.DataFrame({"query_class": own, "class_id": named["class_id"], "first": named["first"], "value": scores})
 
     cell = ["part", "crowd"]
     found = base_cells.groupBy(cell).cogroup(query_cells.groupBy(cell)).applyInPandas(
-        compare, "query_class long, class_id long, value long"
+        compare, "query_class long, class_id long, first long, value long"
     )
     return answers(found, made, queries, k, -F.col("value"), "score")

@@ -29,14 +29,15 @@ def vectors(embeddings: DataFrame, take: Column | None = None) -> DataFrame:
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """(class_id, vec, ids): each distinct vector with its ``keep`` smallest ids, of which the first names the class.
+    """(class_id, vec, first, ids): each distinct vector with its ``keep`` smallest ids and the first of them.
 
     No answer can need more copies of a vector than that. A vector that many rows share sends few rows from each task.
+    The class's own id has no meaning; it holds as the classes are written once.
     """
     rank = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
     few = rows.withColumn("_rank", rank).where(F.col("_rank") <= keep)
     made = few.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    return pinned(made.select(F.element_at("ids", 1).alias("class_id"), "vec", "ids"))
+    return pinned(made.select(F.monotonically_increasing_id().alias("class_id"), "vec", F.element_at("ids", 1).alias("first"), "ids"))
 
 
 def asked(rows: DataFrame, every: int, made: DataFrame) -> DataFrame:
@@ -59,19 +60,20 @@ def matrix(column: pd.Series, kind=np.float64) -> np.ndarray:
 
 
 def answers(found: DataFrame, made: DataFrame, queries: DataFrame, k: int, best_first: Column, score: str) -> DataFrame:
-    """Each query's ``k`` best ids from the classes found for its class.
+    """Each query's ``k`` best rows from the classes found for its class, the row itself left out.
 
-    ``found`` has (query_class, class_id, value); ``best_first`` is a number to sort by, the smallest first.
+    ``found`` has (query_class, class_id, first, value); ``best_first`` is a number to sort by, the smallest first.
     """
-    order = Window.partitionBy("query_class").orderBy(best_first, "class_id")
-    few = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k + 1).drop("_rank")
+    order = Window.partitionBy("query_class").orderBy(best_first, "first", "class_id")
+    few = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k + 1).drop("_rank", "first")
     named = few.join(made.select("class_id", "ids"), "class_id")
-    members = named.select("query_class", "value", best_first.alias("by"), F.explode("ids").alias("vec_id"))
+    members = named.select("query_class", "value", best_first.alias("by"), F.explode("ids").alias("vec_id"), "class_id")
     lists = members.groupBy("query_class").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("by", "vec_id", "value"))), 1, k + 1).alias("best")
+        F.slice(F.sort_array(F.collect_list(F.struct("by", "vec_id", "value", "class_id"))), 1, k + 1).alias("best")
     )
+    own = lambda x: (x["vec_id"] == F.col("query_id")) & (x["class_id"] == F.col("query_class"))
     met = queries.join(lists, queries["class_id"] == lists["query_class"]).select(
-        "query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best")
+        "query_id", F.slice(F.filter("best", lambda x: ~own(x)), 1, k).alias("best")
     )
     return met.select("query_id", F.posexplode("best").alias("_rank", "_best")).select(
         "query_id", (F.col("_rank") + 1).alias("rank"), F.col("_best.vec_id").alias("vec_id"), F.col("_best.value").alias(score)
