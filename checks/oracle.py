@@ -215,7 +215,8 @@ _SQL = {
     "view_name": "SELECT p_partkey, 'VW_' || regexp_replace(upper(object_name), '^VW_', '') AS view_name FROM {object_names}",
     "add_missing_columns": """
         SELECT id, stars, CAST(0 AS INTEGER) AS retry_count, CAST(NULL AS VARCHAR) AS error_message FROM {reviews}""",
-    "csv_to_array": f"SELECT id, {words('keywords_csv')} AS keywords FROM {{enriched}}",
+    "csv_to_array": f"""
+        SELECT id, asin, body, stars, sentiment, enrichment_status, {words('keywords_csv')} AS keywords FROM {{enriched}}""",
     "parse_keywords": f"SELECT id, {words('keywords_csv')} AS keywords FROM {{enriched}}",
     "merge_on_hash": merge("row_hash", "id, asin, body, CAST(stars AS VARCHAR) AS stars, found_helpful, row_hash"),
     "merge_on_key": merge("id", "id, asin, body, stars, found_helpful"),

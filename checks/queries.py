@@ -77,7 +77,7 @@ on("object_names", "view_name", lambda df: df.select("p_partkey", text.view_name
 on("reviews", "add_missing_columns", lambda df: ingest.add_missing_columns(
     df.select("id", "stars"), {"stars": ("int", 9), "retry_count": ("int", 0), "error_message": ("string", None)}))
 on("enriched", "csv_to_array", lambda df: joined(
-    ingest.csv_to_array(df, "keywords_csv", "keywords").select("id", "keywords"), "keywords"))
+    ingest.csv_to_array(df, "keywords_csv", "keywords"), "keywords"))
 on("enriched", "parse_keywords", lambda df: joined(
     df.select("id", text.parse_keywords(F.col("keywords_csv")).alias("keywords")), "keywords"))
 
