@@ -13,8 +13,9 @@ Every byte that a string of ``LENGTH`` bytes covers goes if that string also sta
    neighbour shrinks by one from place to place, so a pass over the text from sample to sample gives the matching
    statistics: the longest match elsewhere from each place. Windows with a match of ``LENGTH`` or more are marked.
 4. An anchor with more than ``FEW`` different segments, a passage in very many documents, is spread over several buckets.
-   Then each bucket reports its different windows by a hash of 128 bits, once each, and those that no match was found
-   for are marked if another bucket reports them too.
+   What no match was found for in a bucket may match in another. Windows are taken in ranges of ``RANGE`` by their place
+   to the anchor; those of a range share a core of bytes. Each bucket reports the cores of its different ranges. Only of
+   ranges whose core another bucket has too, the windows are compared, by hashes of 128 bits.
 5. Marked windows go back to all occurrences, and each document drops the bytes that they cover.
 
 A suffix sort holds a bucket, never a group; text shuffles once to fetch segments and is read again, by the same
@@ -39,10 +40,12 @@ from .common import batch, fresh, pinned
 
 LENGTH = 400
 GRAM = 32
-#: Bytes of documents that are hashed together.
+#: Bytes of documents that are hashed together, and rows whose segments go on together.
 AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 500
 BUCKET = 1 << 20
 FEW = 1_000
+RANGE = 16
 NO_ID = -(1 << 63)
 
 #: Odd multipliers of the hash of a run, and the bits of its value that the place replaces.
@@ -76,9 +79,12 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
-def segments(texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """(number of the text, first window, windows, anchor, hash of the bytes) for all segments, signed hashes."""
-    out: list[tuple[int, int, int, int, int]] = []
+def segments(texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+    """(number of the text, first window, windows, anchor, hash of the bytes, anchor's place) for all segments.
+
+    Hashes are signed; an anchor's place counts from the first window.
+    """
+    out: list[tuple[int, int, int, int, int, int]] = []
     part: list[tuple[int, int, bytes]] = []
     size = 0
     for number, text in enumerate(texts):
@@ -91,7 +97,7 @@ def segments(texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     return out + (_segments(part) if part else [])
 
 
-def _segments(parts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
+def _segments(parts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int, int, int]]:
     from xxhash import xxh3_64_intdigest
 
     data = b"".join(p for _, _, p in parts)
@@ -119,7 +125,7 @@ def _segments(parts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int,
     names = np.array([(number, begin) for number, begin, _ in parts])[owners]
     return list(zip(
         names[:, 0].tolist(), (names[:, 1] + starts - begins[owners]).tolist(), count.tolist(),
-        hashes[place].view(np.int64).tolist(), contents.view(np.int64).tolist(),
+        hashes[place].view(np.int64).tolist(), contents.view(np.int64).tolist(), (place - starts).tolist(),
     ))
 
 
@@ -133,7 +139,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 OCCURRENCE = pa.schema([
     ("anchor", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()),
-    ("windows", pa.int32()),
+    ("windows", pa.int32()), ("place", pa.int32()),
 ])
 
 
@@ -142,15 +148,16 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            ids, prints = part.column("id").to_pylist(), part.column("print").to_pylist()
-            texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
-            found = segments(texts)
-            yield batch(OCCURRENCE, [
-                [f[3] for f in found], [f[4] for f in found], [ids[f[0]] for f in found], [prints[f[0]] for f in found],
-                [f[1] for f in found], [f[2] for f in found],
-            ])
-
-    schema = "anchor long, content long, id long, print long, start int, windows int"
+            for start in range(0, part.num_rows, ROWS_AT_ONCE):
+                few = part.slice(start, ROWS_AT_ONCE)
+                ids, prints = few.column("id").to_pylist(), few.column("print").to_pylist()
+                found = segments([t.as_buffer().to_pybytes() for t in few.column("text")])
+                yield batch(OCCURRENCE, [
+                    [f[3] for f in found], [f[4] for f in found], [ids[f[0]] for f in found], [prints[f[0]] for f in found],
+                    [f[1] for f in found], [f[2] for f in found], [f[5] for f in found],
+                ])
+
+    schema = "anchor long, content long, id long, print long, start int, windows int, place int"
     return rows.where(F.octet_length("text") >= LENGTH).mapInArrow(run, schema)
 
 
@@ -164,7 +171,7 @@ class RunLengthIndex:
         lengths = np.array([len(t) for t in texts])
         self.ends = np.cumsum(lengths + 1) - 1
         self.size = size = int(self.ends[-1]) + 1
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
+        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int32) + len(texts)
         symbols[self.ends] = np.arange(len(texts))
         order, self.levels = sorted_suffixes(symbols, int(lengths.max(initial=0)) + 1)
         before = symbols[order - 1]
@@ -209,7 +216,7 @@ def sorted_suffixes(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list
     """
     size = len(symbols)
     order = np.argsort(symbols, kind="stable")
-    ranks = np.empty(size, np.int64)
+    ranks = np.empty(size, np.int32)
     fresh_ = np.r_[True, symbols[order][1:] != symbols[order][:-1]]
     ranks[order] = np.maximum.accumulate(np.where(fresh_, np.arange(size), 0))
     levels = [(1, ranks)]
@@ -221,7 +228,7 @@ def sorted_suffixes(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list
         if not len(at):
             break
         members = order[at]
-        group = ranks[members]
+        group = ranks[members].astype(np.int64)
         follow = np.where(members + step < size, ranks[np.minimum(members + step, size - 1)], -1)
         # A group's rank is the place of its first member, so sorting by group keeps each in its place.
         resort = np.argsort(group * (size + 1) + follow + 1, kind="stable")
@@ -243,48 +250,83 @@ def spans_of(hits: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-MARKED = "anchor long, content long, low int, high int, spread boolean, first long, second long, repeated boolean"
+def digest(data: bytes) -> tuple[int, int]:
+    """A hash of 128 bits as two signed longs."""
+    from xxhash import xxh3_128_intdigest
 
+    value = xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
+
+
+def ranges(windows: int, place: int, width: int) -> list[tuple[int, int, int]]:
+    """(first window, last window, first byte of the core) of a segment's ranges.
+
+    A range is set by the distance of its windows from the anchor, so it is the same wherever the anchor occurs. Its
+    core is LENGTH + 1 - width bytes long.
+    """
+    out = []
+    for number in range((place - windows + 1) // width, place // width + 1):
+        low, high = max(0, place - (number + 1) * width + 1), min(windows - 1, place - number * width)
+        if low <= high:
+            out.append((low, high, place - number * width))
+    return out
 
-def indexed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Marked windows of a bucket's segments, and the windows that spread anchors have to compare across buckets."""
-    from xxhash import xxh3_128_intdigest
 
+MARKED = "anchor long, content long, low int, high int, bucket long, spread boolean, repeated boolean, first long, second long"
+
+
+def indexed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Marked windows of a bucket's segments, and the ranges that spread anchors have to compare across buckets."""
     rows = rows.drop_duplicates(["anchor", "content"]).sort_values(["anchor", "content"])
     texts = [bytes(t) for t in rows["bytes"]]
     index = RunLengthIndex(texts)
     found = index.statistics() >= LENGTH
-    # Equal windows lie side by side in the order of the suffixes.
-    ranks = None
-    out: list[tuple] = []
     begins = index.ends - np.array([len(t) for t in texts])
-    seen: set[int] = set()
-    for text, begin, anchor, content, windows, spread, several in zip(
-        texts, begins.tolist(), rows["anchor"], rows["content"], rows["windows"], rows["spread"], rows["occurrences"] > 1
-    ):
-        hits = found[begin:begin + windows]
-        if not several:
-            out += [(anchor, content, a, b, False, 0, 0, True) for a, b in spans_of(hits)]
-        if not spread:
-            continue
-        if ranks is None:
-            ranks = window_ranks(index)
-        for i, (name, hit) in enumerate(zip(ranks[begin:begin + windows].tolist(), hits.tolist())):
-            if hit and name in seen:
-                continue
-            seen.add(name)
-            digest = xxh3_128_intdigest(text[i:i + LENGTH])
-            out.append((anchor, content, i, i, True, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), bool(hit or several)))
-    return pd.DataFrame(out, columns=["anchor", "content", "low", "high", "spread", "first", "second", "repeated"])
-
-
-def window_ranks(index: RunLengthIndex) -> np.ndarray:
-    """A number for the window from each place; equal windows have equal numbers."""
-    order = index.order
-    same = index.common(order[1:], order[:-1], np.ones(len(order) - 1, bool)) >= LENGTH
-    out = np.empty(index.size, np.int64)
-    out[order] = np.cumsum(np.r_[True, ~same])
-    return out
+    bucket = int(rows["bucket"].iloc[0])
+    out: list[tuple] = []
+    seen: set[bytes] = set()
+    for row, text, begin in zip(rows.itertuples(), texts, begins.tolist()):
+        hits = found[begin:begin + row.windows] | (row.occurrences > 1)
+        if row.occurrences == 1:
+            out += [(row.anchor, row.content, a, b, bucket, False, True, 0, 0) for a, b in spans_of(hits)]
+        if row.spread:
+            for low, high, core in ranges(row.windows, row.place, RANGE):
+                known = bool(hits[low:high + 1].all())
+                whole = text[low:high + LENGTH]
+                # Equal ranges have equal windows; one of those that are marked already stands for all.
+                if not known or whole not in seen:
+                    seen.add(whole)
+                    out.append((row.anchor, row.content, low, high, bucket, True, known, *digest(text[core:core + LENGTH + 1 - RANGE])))
+    return pd.DataFrame(out, columns=["anchor", "content", "low", "high", "bucket", "spread", "repeated", "first", "second"])
+
+
+WINDOW = pa.schema([
+    ("anchor", pa.int64()), ("content", pa.int64()), ("low", pa.int32()), ("first", pa.int64()), ("second", pa.int64()),
+])
+
+
+def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with its hash for each window of a range."""
+    for part in batches:
+        out = [
+            (anchor, content, i, *digest(data[i - low:i - low + LENGTH]))
+            for anchor, content, low, high, data in zip(*[part.column(c).to_pylist() for c in ("anchor", "content", "low", "high", "bytes")])
+            for i in range(low, high + 1)
+        ]
+        yield batch(WINDOW, list(zip(*out)) if out else [[]] * len(WINDOW))
+
+
+def across_buckets(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(anchor, content, low, high) of the windows of spread anchors that occur in another bucket too."""
+    reported = marks.where("spread")
+    cores = pinned(reported.groupBy("first", "second").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a < b"))
+    open_ = reported.join(cores.select("first", "second"), ["first", "second"], "left_semi").select("anchor", "content", "low", "high")
+    pieces = open_.join(texts.select("anchor", "content", "bytes"), ["anchor", "content"]).select(
+        "anchor", "content", "low", "high", F.expr(f"substring(bytes, low + 1, high - low + {LENGTH})").alias("bytes")
+    )
+    windows = pinned(pieces.mapInArrow(windows_of, "anchor long, content long, low int, first long, second long"))
+    several = pinned(windows.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").select("first", "second"))
+    return windows.join(several, ["first", "second"], "left_semi").select("anchor", "content", "low", F.col("low").alias("high"))
 
 
 def repeated_windows(rows: DataFrame, few: int = FEW, bucket: int = BUCKET) -> DataFrame:
@@ -292,29 +334,32 @@ def repeated_windows(rows: DataFrame, few: int = FEW, bucket: int = BUCKET) -> D
     again = pinned(occurrences(rows).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"))
     places = pinned(occurrences(rows).join(again, "anchor", "left_semi"))
     kinds = pinned(places.groupBy("anchor", "content").agg(
-        F.count("*").alias("occurrences"), F.min(F.struct("id", "print", "start", "windows")).alias("at")
+        F.count("*").alias("occurrences"), F.min(F.struct("id", "print", "start", "windows", "place")).alias("at")
     ))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
+    several = pinned(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1))
     wanted = pinned(kinds.join(several, "anchor").select("anchor", "content", "occurrences", "kinds", "at.*"))
     size = wanted.agg(F.coalesce(F.sum(F.col("windows") + LENGTH - 1), F.lit(0))).first()[0]
     buckets = size // bucket + 1
     block = F.pmod(F.col("content"), F.ceil(F.col("kinds") / few))
     asked = wanted.groupBy("id", "print").agg(F.collect_list(F.struct(
-        "anchor", "content", "start", "windows", "occurrences", (F.col("kinds") > few).alias("spread"),
+        "anchor", "content", "start", "windows", "place", "occurrences", (F.col("kinds") > few).alias("spread"),
         F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"),
     )).alias("asked"))
     fetched = rows.join(asked, ["id", "print"]).select(F.encode("text", "utf-8").alias("bytes"), F.explode("asked").alias("s")).select(
-        "s.anchor", "s.content", "s.windows", "s.occurrences", "s.spread", "s.bucket",
+        "s.anchor", "s.content", "s.windows", "s.place", "s.occurrences", "s.spread", "s.bucket",
         F.expr("substring(bytes, s.start + 1, s.windows + " f"{LENGTH - 1})").alias("bytes"),
     )
+    crowded = not several.where(F.col("kinds") > few).isEmpty()
+    if crowded:
+        fetched = pinned(fetched)
     marks = pinned(fetched.groupBy("bucket").applyInPandas(indexed, MARKED))
-    crossing = marks.where("spread")
-    shared = crossing.groupBy("first", "second").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    late = crossing.where(~F.col("repeated")).join(shared, ["first", "second"], "left_semi")
     every = kinds.where(F.col("occurrences") > 1).select(
         "anchor", "content", F.lit(0).alias("low"), (F.col("at.windows") - 1).alias("high")
     )
-    windows = every.union(marks.where(~F.col("spread")).select(every.columns)).union(late.select(every.columns))
+    windows = every.union(marks.where(~F.col("spread")).select(every.columns))
+    if crowded:
+        texts = fetched.where("spread").groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"))
+        windows = windows.union(across_buckets(marks, texts).select(every.columns))
     met = places.join(windows, ["anchor", "content"]).select(
         "id", "print", F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + LENGTH).alias("b")).alias("span")
     )
