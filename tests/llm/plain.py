@@ -1,0 +1,70 @@
+"""Plain versions of what the operators compute, on rows held in memory."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import xxhash
+
+
+def roots(count: int, links) -> list[int]:
+    """The component of each of ``count`` nodes."""
+    parent = list(range(count))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return [find(i) for i in range(count)]
+
+
+def fingerprint(text: str) -> int:
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall("[^\x20\x09-\x0d]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_components(ids: list, texts: list[str]) -> list[tuple[str, object]]:
+    """(fingerprint, smallest id of the component) of each row."""
+    prints = np.array([fingerprint(t) for t in texts], np.uint64)
+    links = [
+        (i, int(j)) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 3) if j > i
+    ]
+    found = roots(len(prints), links)
+    least = defaultdict(lambda: None)
+    for root, name in zip(found, ids):
+        if name is not None:
+            least[root] = name if least[root] is None else min(least[root], name)
+    return [("%016x" % p, least[r]) for p, r in zip(prints.tolist(), found)]
+
+
+def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each text which bytes a string of ``length`` bytes covers that starts elsewhere too."""
+    counts = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        marks = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - length + 1):
+            if counts[t[i:i + length]] > 1:
+                marks[i] += 1
+                marks[i + length] -= 1
+        out.append(np.cumsum(marks)[:-1] > 0)
+    return out
+
+
+def kept_bytes(text: bytes, gone: np.ndarray) -> bytes:
+    return np.frombuffer(text, np.uint8)[~gone].tobytes()
+
+
+def runs(hits: np.ndarray) -> int:
+    return int((np.diff(np.r_[0, hits.astype(int)]) == 1).sum())

@@ -1,0 +1,65 @@
+"""The stages beside plain versions of what they decide."""
+
+import corpus_pipeline
+import plain
+import pytest
+from __spark_entry__ import oracle_sql, queries as all_queries
+from opinionmill.llm import language, quality, queries
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf, tmp_path_factory):
+    """What each stage returned."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = queries.table(spark, sf, "documents")
+    out = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], sf).write.parquet(f"{folder}/{i}")
+        out.append(spark.read.parquet(f"{folder}/{i}"))
+    return out
+
+
+def rows(df):
+    return sorted(map(tuple, df.select("doc_id", "text").collect()))
+
+
+def test_every_operator_is_registered():
+    names = all_queries()
+    for n in range(1, 11):
+        assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
+    assert "pipeline" in names and set(oracle_sql()) <= set(names)
+
+
+def test_columns_stay(stages):
+    for before, after in zip(stages, stages[1:-1]):
+        assert after.columns == before.columns
+
+
+def test_rejected_documents_go(spark, sf, stages):
+    scores = quality.with_score(stages[0], quality.fit(stages[0], queries.table(spark, sf, "labels"))).collect()
+    assert rows(stages[1]) == sorted((r.doc_id, r.text) for r in scores if r.score >= 0.5)
+    found = language.identified(stages[1], language.fit(stages[1]), "found").collect()
+    assert rows(stages[2]) == sorted((r.doc_id, r.text) for r in found if r.found.lang != "und" and r.found.score >= 0.3)
+
+
+def test_one_of_each_group_stays(stages):
+    docs = rows(stages[2])
+    least = plain.near_components([i for i, _ in docs], [t for _, t in docs])
+    assert rows(stages[3]) == [d for d, (_, c) in zip(docs, least) if d[0] == c]
+
+
+def test_repeated_passages_go(stages):
+    docs = rows(stages[3])
+    texts = [t.encode() for _, t in docs]
+    left = [plain.kept_bytes(t, g).decode("utf-8", "ignore") for t, g in zip(texts, plain.covered(texts, 400))]
+    assert rows(stages[4]) == [(i, t) for (i, _), t in zip(docs, left)]
+
+
+def test_all_that_is_left_is_packed(stages):
+    pieces = stages[5].toPandas()
+    assert set(pieces["doc_id"]) == {i for i, _ in rows(stages[4])}
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_run_returns_the_last_stage(spark, sf, stages):
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, stages[5].collect()))

@@ -1,0 +1,121 @@
+"""The two vector searches beside brute force."""
+
+import numpy as np
+import pytest
+from opinionmill.llm import ann, queries, topk
+
+SCHEMA = "vec_id long, embedding array<float>, label int, class_id int, vec string, ids int, value int"
+
+
+def usable(rows, zero):
+    out = {}
+    for name, vec in rows:
+        if name is None or vec is None or len(vec) != 8 or any(x is None or not np.isfinite(x) for x in vec) or (not zero and not any(vec)):
+            continue
+        out.setdefault(name, set()).add(tuple(np.float32(vec).tolist()))
+    return out
+
+
+def brute(rows, every, k, order):
+    """(query, rank, id, value) where ``order`` gives a value and its sort key for two vectors."""
+    out = []
+    for q, vecs in rows.items():
+        if q % every:
+            continue
+        for vec in vecs:
+            found = sorted((*order(vec, w), name) for name, ws in rows.items() for w in ws if (name, w) != (q, vec))[:k]
+            out += [(q, r + 1, name, value) for r, (_, value, name) in enumerate(found)]
+    return sorted(out)
+
+
+def test_op4(spark, sf, frame):
+    rows = frame("embeddings")
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    found = queries.op4_ann(spark, sf).toPandas()
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        distance = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        distance[ids == q] = np.inf
+        own = found[found["query_id"] == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 11)) and own["score"].is_monotonic_increasing
+        assert list(own["score"]) == pytest.approx([distance[ids == i][0] for i in own["vec_id"]], rel=1e-12)
+        hits += len(set(own["vec_id"]) & set(ids[np.lexsort((ids, distance))[:10]]))
+    assert hits / (10 * (ids % 100 == 0).sum()) >= 0.9
+
+
+def test_op7(spark, sf, frame):
+    rows = frame("embeddings")
+    x, ids = np.floor(64 * np.stack(rows["embedding"]).astype(float)).astype(np.int64), rows["vec_id"].to_numpy()
+    found = queries.op7_topk(spark, sf).toPandas().sort_values(["query_id", "rank"])
+    for q in ids[ids % 20 == 0]:
+        score = x @ x[ids == q][0]
+        others = np.flatnonzero(ids != q)
+        best = others[np.lexsort((ids[others], -score[others]))[:20]]
+        own = found[found["query_id"] == q]
+        assert list(own["vec_id"]) == list(ids[best]) and list(own["score"]) == list(score[best])
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """A vector in a third of the rows, ties, repeated rows, and vectors that take no part."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(-3, 4, 8) / 4
+    made = [(i, (common if i % 3 == 0 else rng.integers(-3, 4, 8) / 4).tolist()) for i in range(400)]
+    nan, inf = float("nan"), float("inf")
+    return made + made[:40] + [
+        (400, None), (500, [0.0] * 8), (600, [nan] + [1.0] * 7), (700, [inf] + [1.0] * 7), (800, [None] + [1.0] * 7),
+        (900, [1.0] * 3), (None, [1.0] * 8), (1000, []), (20, [2.0] * 8),
+    ]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, *[None] * 5) for i, v in rows], SCHEMA).repartition(3)
+
+
+def test_nearest_with_ties_and_odd_vectors(spark, rows):
+    """With every list probed and no early end, the scan is exact."""
+    def order(a, b):
+        gap = np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())
+        return gap, gap
+
+    found = sorted(map(tuple, ann.search(table(spark, rows), every=20, recall=1.0).collect()))
+    wanted = brute(usable(rows, False), 20, 10, order)
+    assert [f[:2] for f in found] == [w[:2] for w in wanted]
+    assert np.allclose([f[3] for f in found], [w[3] for w in wanted])
+    assert np.mean([f[2] == w[2] for f, w in zip(found, wanted)]) > 0.95
+
+
+def test_top_scores_with_ties_and_odd_vectors(spark, rows):
+    def order(a, b):
+        score = int(np.floor(64 * np.array(a)) @ np.floor(64 * np.array(b)))
+        return -score, score
+
+    found = sorted(map(tuple, topk.search(table(spark, rows)).collect()))
+    assert found == brute(usable(rows, True), 20, 20, order)
+
+
+def test_few_and_no_vectors(spark):
+    for search in (ann.search, topk.search):
+        assert search(table(spark, [])).count() == 0
+        assert search(table(spark, [(1, [1.0, 2.0])])).count() == 0
+        two = search(table(spark, [(0, [1.0, 2.0]), (3, [1.0, 2.0])])).collect()
+        assert [tuple(r)[:3] for r in two] == [(0, 1, 3)]
+
+
+def test_blocks_cover_all_pairs(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    whole = sorted(map(tuple, topk.search(table(spark, rows)).collect()))
+    monkeypatch.undo()
+    assert whole == sorted(map(tuple, topk.search(table(spark, rows)).collect()))
+
+
+def test_bounds_never_drop_a_pair():
+    rng = np.random.default_rng(8)
+    q, v = rng.integers(-60, 60, (30, 64)).astype(float), rng.integers(-60, 60, (200, 64)).astype(float)
+    scores = q @ v.T
+    least = np.sort(scores, axis=1)[:, -20]
+    i, j = topk.survivors(q, v, [topk.statistics(q, c) for c in topk.SEGMENTS], [topk.statistics(v, c) for c in topk.SEGMENTS], least)
+    kept = np.zeros(scores.shape, bool)
+    kept[i, j] = True
+    assert kept[scores >= least[:, None]].all() and kept.mean() < 0.97
