@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from compare import database, differences
 from opinionmill.llm import ann, queries, topk
 
 SCHEMA = "vec_id long, embedding array<float>, label int, class_id int, vec string, ids int, value int"
@@ -55,6 +56,10 @@ def test_op7(spark, sf, frame):
         assert list(own["vec_id"]) == list(ids[best]) and list(own["score"]) == list(score[best])
 
 
+def test_op7_beside_sql(spark, sf):
+    assert differences(database(sf), queries.op7_topk(spark, sf), queries.oracle_sql()["op7_topk"]) is None
+
+
 @pytest.fixture(scope="module")
 def rows():
     """A vector in a third of the rows, ties, repeated rows, and vectors that take no part."""
