@@ -55,24 +55,6 @@ def tokens(text: Column) -> Column:
     return F.filter(split_words(text), lambda t: t != "")
 
 
-def word_counts(text: Column) -> Column:
-    """The different words of a text with their counts: array of (word, n), in the order of the words.
-
-    Sorted tokens lie in runs; a run starts where a token differs from the one before.
-    """
-    def runs(words: Column) -> Column:
-        size = F.size(words)
-        starts = F.filter(
-            F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
-        )
-        return F.transform(F.array(starts), lambda all_: F.transform(all_, lambda i, j: F.struct(
-            F.get(words, i).alias("word"), (F.coalesce(F.get(all_, j + 1), size) - i).alias("n")
-        )))[0]
-
-    one = F.transform(F.array(F.array_sort(tokens(text))), lambda words: F.when(F.size(words) > 0, runs(words)))
-    return one[0]
-
-
 def keyword_prompt(body: Column) -> Column:
     return F.concat(F.lit(KEYWORD_INSTRUCTION), body)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinionmill.functions.text import keyword_prompt, non_blank, tokens, word_counts
+from opinionmill.functions.text import keyword_prompt, non_blank, tokens
 from opinionmill.functions.times import AsOf, moment
 from opinionmill.operators.ingest import add_missing_columns
 from opinionmill.plans.joins import BROADCAST_ROWS, first_per_key, fits_broadcast, local_copy, lookup_join, without_known
@@ -91,13 +91,11 @@ def _scored_in_row(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
 
 
 def _scored_by_join(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
-    """Only counted words shuffle, under a digest of their text; equal texts have equal scores."""
+    """Only words shuffle, under a digest of their text; equal texts have equal scores."""
     digest = F.unhex(F.md5(F.col(text)))
-    words = df.select(digest.alias("_text"), F.explode(word_counts(F.col(text))).alias("_w")).select(
-        "_text", F.col("_w.word").alias("word"), F.col("_w.n").alias("n")
-    )
+    words = df.select(digest.alias("_text"), F.explode(tokens(F.col(text))).alias("word"))
     met = lookup_join(words, weights, "word", ["_text"], max_rows=0).where(F.col("weight").isNotNull())
-    total = F.col("weight") * F.col("n")
+    total = F.col("weight")
     none = F.lit(0).cast("bigint")
     scores = met.groupBy("_text").agg(
         _ratio(F.sum(F.greatest(total, none)), F.sum(F.greatest(-total, none))).alias("sentiment")
@@ -179,14 +177,13 @@ def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = K
     """The ``k`` words of each text with the largest count x ln(texts / texts with the word).
 
     ``id`` names a text, once. Weights are compared at nine places, equal ones by word. Texts without
-    a word get an empty list. Words are counted where their text lies; no text is shuffled. Frequent
+    a word get an empty list. Each task counts its words before they shuffle; no text does. Frequent
     words meet their count by broadcast, and only the best ``k`` of each text go on; the others
     shuffle, and none of them is in more than a small share of the texts.
     """
     total = df.select(F.count("*").alias("n"))
-    words = df.select(F.col(id), F.explode_outer(word_counts(F.col(text))).alias("w")).select(
-        id, F.col("w.word").alias("word"), F.col("w.n").alias("tf"), F.unhex(F.md5("w.word")).alias("digest")
-    )
+    each = df.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = each.groupBy(id, "word").agg(F.count("*").alias("tf")).withColumn("digest", F.unhex(F.md5("word")))
     texts_with = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("having"))
     common = texts_with.where(F.col("having") >= total.scalar() * HOT_WORD_SHARE)
     hot = common.orderBy(F.desc("having"), "word").limit(HOT_WORDS).select(F.unhex(F.md5("word")).alias("digest"), "having")
