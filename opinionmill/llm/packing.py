@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from .common import batch, kept_in_worker, pinned, texts_of
 
 #: Windows that a group should hold; pieces of about this many windows are balanced together.
 GROUP_WINDOWS = 256
+#: Runs with and without white space.
+RUNS = re.compile(r"\s+|\S+")
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -40,7 +43,7 @@ def encoder(path: str):
     """A function from a text to the ids that the tokenizer file at ``path`` gives.
 
     Beside the file lie the same vocabulary as ranks, which a faster library reads. Texts with the string of a special
-    token, and very long runs without white space, go to the tokenizer itself.
+    token, and very long runs with or without white space, go to the tokenizer itself.
     """
     import public_tokenizers
     import tiktoken
@@ -53,7 +56,7 @@ def encoder(path: str):
     special = [str(token.content) for token in whole.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        odd = any(token in text for token in special) or len(text) > 20_000 and max(map(len, text.split())) > 5_000
+        odd = any(token in text for token in special) or len(text) > 20_000 and max(map(len, RUNS.findall(text))) > 5_000
         return whole.encode(text, add_special_tokens=False).ids if odd else fast.encode_ordinary(text)
 
     return encode

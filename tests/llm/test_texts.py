@@ -49,6 +49,11 @@ def test_packing_of_odd_texts(odd, empty):
     assert packing.pack(empty, BYTES).count() == 0
 
 
+def test_packing_of_long_blank_texts(made):
+    rows = [(1, " " * 30_000), (2, "\n" * 30_000), (3, "a" + " " * 30_000 + "b c"), (4, "one two"), (5, "\u2003\t\r\n" * 10_000)]
+    check_packing(rows, packing.pack(made(rows), BYTES).toPandas())
+
+
 def test_the_window_count_rises_with_the_capacity_exceeded():
     place, windows = packing.balance([6, 6, 6], 10)
     assert windows == 3 and sorted(place) == [0, 1, 2]
