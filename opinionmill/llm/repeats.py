@@ -345,7 +345,9 @@ def repeated_windows(rows: DataFrame, few: int = FEW, bucket: int = BUCKET) -> D
         "anchor", "content", "start", "windows", "place", "occurrences", (F.col("kinds") > few).alias("spread"),
         F.pmod(F.xxhash64("anchor", block), F.lit(buckets)).alias("bucket"),
     )).alias("asked"))
-    fetched = rows.join(asked, ["id", "print"]).select(F.encode("text", "utf-8").alias("bytes"), F.explode("asked").alias("s")).select(
+    # Each task keeps one of the copies of a row before the texts shuffle, so a bucket gets each segment once.
+    once = rows.where(F.octet_length("text") >= LENGTH).groupBy("id", "print").agg(F.first("text").alias("text"))
+    fetched = once.join(asked, ["id", "print"]).select(F.encode("text", "utf-8").alias("bytes"), F.explode("asked").alias("s")).select(
         "s.anchor", "s.content", "s.windows", "s.place", "s.occurrences", "s.spread", "s.bucket",
         F.expr("substring(bytes, s.start + 1, s.windows + " f"{LENGTH - 1})").alias("bytes"),
     )

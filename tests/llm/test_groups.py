@@ -123,6 +123,23 @@ def test_passages_in_many_texts(made, few, bucket):
         assert spans.get(name, []) == [(a, b + 1) for a, b in repeats.spans_of(gone)]
 
 
+def test_copies_of_a_row_are_fetched_once(made, monkeypatch):
+    rng = random.Random(17)
+    passage, *own = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(4)]
+    rows = [(1, own[0] + passage)] * 70 + [(None, own[1] + passage)] * 50 + [(2, passage + own[2])]
+    pinned, tables = repeats.pinned, []
+
+    def kept(df):
+        tables.append(pinned(df))
+        return tables[-1]
+
+    monkeypatch.setattr(repeats, "pinned", kept)
+    check_repeats(rows, repeats.remove_repeats(made(rows)))
+    repeats.repeated_windows(repeats.keyed(made(rows)), few=1)
+    [fetched] = [t for t in tables if "bytes" in t.columns and "bucket" in t.columns]
+    assert 0 < fetched.count() == fetched.select("anchor", "content").distinct().count()
+
+
 def test_what_is_left_is_text(made, odd):
     pairs = passages(12)
     docs = made(pairs)
