@@ -39,6 +39,9 @@ STEPS = 240
 PAGES_PER_STEP = 16
 #: Blocks of a training page that are read at a time.
 STRETCH = 120
+#: Pages that are labelled side by side, and places for blocks that they may have together, padding included.
+SIDE_BY_SIDE = 128
+PLACES = 1 << 16
 RATE = 0.01
 MEASURES = 6
 
@@ -368,12 +371,23 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 7) -> Labell
     return net
 
 
-def label(net: Labeller, pages: list[list[Block]], size: int = 128) -> list[np.ndarray]:
+def chunks(lengths: list[int], size: int, places: int) -> Iterator[list[int]]:
+    """The numbers of the pages with blocks, by length; a page of more than ``places`` blocks is alone."""
+    part: list[int] = []
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if part and (len(part) == size or (len(part) + 1) * lengths[i] > places):
+            yield part
+            part = []
+        if lengths[i]:
+            part.append(i)
+    if part:
+        yield part
+
+
+def label(net: Labeller, pages: list[list[Block]], size: int = SIDE_BY_SIDE, places: int = PLACES) -> list[np.ndarray]:
     """For each page the chance of each block to be main text."""
     out = [np.zeros(0, np.float32)] * len(pages)
-    order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
-    for start in range(0, len(order), size):
-        part = order[start:start + size]
+    for part in chunks([len(p) for p in pages], size, places):
         x, there, back = stacked([vectors(net, *features(pages[i])) for i in part])
         columns = np.arange(len(part))[None, :]
         ahead, behind = run(net.forward, x, there), run(net.backward, x[back, columns], there)

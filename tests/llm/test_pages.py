@@ -1,5 +1,6 @@
 """HTML extraction beside a plain reader of pages."""
 
+import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
@@ -99,3 +100,15 @@ def test_gradients_of_the_blocks_network():
             down = loss()
             weight[at] = before
             assert grad[at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
+
+
+def test_a_very_long_page_is_labelled_alone():
+    net = html_text.new_labeller(3)
+    pages = [[html_text.Block(f"cell {i}", ("ul", "li"), 0.0) for i in range(n)] for n in [50_000, 0] + [20] * 127]
+    tracemalloc.start()
+    found = html_text.label(net, pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert [len(f) for f in found] == [len(p) for p in pages]
+    assert np.allclose(found[0], html_text.label(net, pages[:1])[0], atol=1e-5) and np.allclose(found[2], found[-1], atol=1e-5)
