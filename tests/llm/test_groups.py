@@ -31,6 +31,14 @@ def test_near_duplicates_of_odd_texts(odd, empty):
     assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_each_component_keeps_one_row(made):
+    a, b, c, d, e, f = ("apples grow on trees", "ships cross the sea", "nobody reads long letters", "the moon is far away",
+                        "rain fell all night", "seven cats slept here")
+    rows = [(3, a), (7, a), (7, b), (5, c), (None, c), (None, d), (None, d.upper()), (None, d), (8, e), (8, f), (9, f)]
+    left = [(r.doc_id, r.text.lower()) for r in simhash.kept(made(rows)).collect()]
+    assert sorted(left, key=str) == sorted([(3, a), (7, b), (5, c), (None, d), (8, e), (8, f)], key=str)
+
+
 def test_near_copies_in_a_crowd(made):
     """Crowded anchors, cut into blocks, lose no link."""
     rng = random.Random(3)
