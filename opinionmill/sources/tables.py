@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -9,61 +10,46 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from opinionmill.schemas import PIPELINE_LOGS
+from opinionmill.sources.quoted_csv import parsed, records
+
 # Raised where a source is absent, as opposed to broken.
 _ABSENT = {"TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
-# A character for private use, which marks the end of a CSV line.
-_MARK = "\ue000"
-
 Loader = Callable[[], DataFrame]
 
 
-def _is_absent(error: AnalysisException) -> bool:
+def is_absent(error: AnalysisException) -> bool:
     return (error.getCondition() or "").split(".")[0] in _ABSENT
 
 
-def _csv_lines(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, list[Column]]:
-    """All lines of a CSV file with ``line``, the text of those that don't fit, and ``too_long``; its columns."""
-    # Spark tells misfits only where it reads all columns.
-    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "columnPruning": False}
-    names = spark.read.options(**options).csv(path, header=True).columns
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    df = spark.read.schema(T.StructType([*fields, T.StructField("line", T.StringType())])).options(**options).csv(
-        path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line"
-    )
-    # Spark takes no question about the line alone, so one is asked that needs a value too.
-    df = df.where(F.length(F.concat(F.coalesce("c0", F.lit("")), F.coalesce("line", F.lit("")))) >= 0)
-    # With a mark added as its last value, a line has too many if the mark lies beyond one column more.
-    wider = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    marked = F.concat(F.regexp_replace("line", r"[\r\n]+$", ""), F.lit("," + _MARK))
-    read = F.from_csv(marked, wider, {"quote": '"', "escape": '"'})
-    ends = F.array(*[read[f"c{i}"] for i in range(len(names) + 1)])
-    too_long = F.col("line").isNotNull() & ~F.coalesce(F.array_contains(F.array_compact(ends), _MARK), F.lit(False))
-    columns = [F.col(f.name).alias(n.upper()) for f, n in zip(fields, names)]
-    return df.withColumn("too_long", F.coalesce(too_long, F.lit(False))), columns
+def _csv_records(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, Column, list[Column]]:
+    """All records of a CSV file as ``record``, whether one has too many values, and the columns that it is read as."""
+    names = spark.read.options(quote='"', escape='"', multiLine=multi_line).csv(path, header=True).columns
+    rows = records(spark, path, multi_line).withColumn("values", parsed(F.col("record"), names))
+    return rows, F.col("n_values") > len(names), [F.col(f"values.c{i}").alias(n.upper()) for i, n in enumerate(names)]
 
 
 def csv_parts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of a CSV file with a header and optional quotes, and the lines that don't fit it.
 
-    Rows are all text, with upper-case names; a line with too few values is filled with nulls. A
-    line with too many doesn't fit: it comes back as it is, in a column ``line``. Quoted line breaks
-    need ``multi_line``, which makes a file the unit of parallel reading: split large inputs into
-    many files, or turn it off where no value holds a line break.
+    Rows are all text, with upper-case names; a line with too few values is filled with nulls. A line with too many
+    doesn't fit: it comes back as it is, in a column ``line``. Many tasks read a file, also with line breaks in quotes;
+    without them ``multi_line`` may be off, which saves the first of two readings.
     """
-    lines, columns = _csv_lines(spark, path, multi_line)
-    return lines.where(~F.col("too_long")).select(columns), lines.where("too_long").select("line")
+    rows, too_long, columns = _csv_records(spark, path, multi_line)
+    return rows.where(~too_long).select(columns), rows.where(too_long).select(F.col("record").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, bad_rows: str = "fail") -> DataFrame:
     """The rows of :func:`csv_parts`; a line that doesn't fit stops the read, or is passed over with "skip"."""
-    lines, columns = _csv_lines(spark, path, multi_line)
+    rows, too_long, columns = _csv_records(spark, path, multi_line)
     if bad_rows == "skip":
-        return lines.where(~F.col("too_long")).select(columns)
+        return rows.where(~too_long).select(columns)
     if bad_rows != "fail":
         raise ValueError(f"unknown way with bad rows: {bad_rows}")
-    text = F.concat(F.lit(f"a line of {path} has too many values: "), F.left("line", F.lit(200)))
-    return lines.where(F.when(F.col("too_long"), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).select(columns)
+    text = F.concat(F.lit(f"a line of {path} has too many values: "), F.left("record", F.lit(200)))
+    return rows.where(F.when(too_long, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).select(columns)
 
 
 def upper_columns(df: DataFrame) -> DataFrame:
@@ -80,12 +66,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
     except AnalysisException as error:
-        if _is_absent(error):
+        if is_absent(error):
             return False
         raise
     return True
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, which may lie on any file system of the cluster."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    return sorted(f.getPath().getName() for f in system.listStatus(at) if f.isDirectory())
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder that holds a file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(at) and any(f.isFile() for f in system.listStatus(at))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -120,7 +128,7 @@ def first_available(
             if usable(df):
                 return df
         except AnalysisException as error:
-            if not _is_absent(error):
+            if not is_absent(error):
                 raise
     return spark.createDataFrame([], empty_schema)
 
@@ -129,23 +137,27 @@ def has_rows(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 
 
-def log_row(spark: SparkSession, level: str, message: str) -> DataFrame:
-    """One run-log row; levels are cut at 10 characters and messages at 4000, as the table holds them."""
-    return spark.range(1).select(
-        F.localtimestamp().alias("log_timestamp"),
-        F.lit(level[:10]).alias("level"),
-        F.lit(message[:4000]).alias("message"),
-    )
+Entry = tuple[dt.datetime, str, str]
+
+
+def log_entry(spark: SparkSession, level: str, message: str) -> Entry:
+    """A run-log entry of now; levels are cut at 10 characters and messages at 4000, as the table holds them."""
+    return spark.sql("SELECT localtimestamp()").first()[0], level[:10], message[:4000]
 
 
 def append_log(spark: SparkSession, path: str, message: str, level: str = "INFO") -> bool:
     """Append a run-log row. A log that cannot be written must not fail the run."""
-    return append_log_rows(log_row(spark, level, message), path)
+    return append_entries(spark, path, [log_entry(spark, level, message)])
+
+
+def append_entries(spark: SparkSession, path: str, entries: list[Entry]) -> bool:
+    """Append entries as one file."""
+    return append_log_rows(spark.createDataFrame(entries, PIPELINE_LOGS), path) if entries else True
 
 
 def append_log_rows(rows: DataFrame, path: str) -> bool:
     try:
-        append_rows(rows.coalesce(1), path)
+        append(rows.coalesce(1), path)
     except Exception as error:  # noqa: BLE001 - see above
         logging.getLogger(__name__).warning("log entry not written: %s", error)
         return False
@@ -154,15 +166,18 @@ def append_log_rows(rows: DataFrame, path: str) -> bool:
 
 @contextmanager
 def logged(spark: SparkSession, path: str | None, stage: str) -> Iterator[list[str]]:
-    """Log the start and the end, or the error, of a stage; what is put into the list ends the last message."""
+    """Log the start and the end, or the error, of a stage; what is put into the list ends the last message.
+
+    Both entries bear their own times and are written together, when the stage has ended.
+    """
     notes: list[str] = []
-    if path:
-        append_log(spark, path, f"{stage} started")
+    if not path:
+        yield notes
+        return
+    entries = [log_entry(spark, "INFO", f"{stage} started")]
     try:
         yield notes
     except Exception as error:
-        if path:
-            append_log(spark, path, f"{stage} failed: {error}", "ERROR")
+        append_entries(spark, path, [*entries, log_entry(spark, "ERROR", f"{stage} failed: {error}")])
         raise
-    if path:
-        append_log(spark, path, " ".join([f"{stage} completed", *notes]))
+    append_entries(spark, path, [*entries, log_entry(spark, "INFO", " ".join([f"{stage} completed", *notes]))])

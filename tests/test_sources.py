@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -5,6 +9,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions.text import view_name as view_name_column
 from opinionmill.schemas import PIPELINE_LOGS
 from opinionmill.session import shared_folder
+from opinionmill.sources import quoted_csv
 from opinionmill.sources.mirror import mirror_schema, view_name
 from opinionmill.sources.tables import (
     append, append_log, csv_parts, exists, first_available, has_rows, read_csv, write_clustered,
@@ -71,6 +76,68 @@ def test_no_line_is_lost(spark, tmp_path, multi_line):
     assert good.count() + bad.count() == len(lines) and good.select("ID").count() == 6
 
 
+@pytest.fixture
+def ranges(spark):
+    """Sets the size of the ranges of bytes that files are read in."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def resize(size):
+        spark.conf.set(names[0], size)
+        spark.conf.set(names[1], 1)
+
+    yield resize
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def random_csv(rng, end, rows=200):
+    def value():
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice("abx") + "".join(rng.choice('ab x5é\ue000"') for _ in range(rng.randint(0, 5)))
+        if kind < 0.4:
+            return ""
+        return '"' + "".join(rng.choice(["a", "b", ",", "\n", '""', "é", "\ue000", " "]) for _ in range(rng.randint(0, 12))) + '"'
+
+    return "id,body,more" + end + end.join(f"{i},{value()},{value()}" for i in range(rows)) + rng.choice(["", end])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_ranges_give_the_rows_of_the_whole_file(spark, tmp_path, ranges, seed):
+    rng = random.Random(seed)
+    text, windows = random_csv(rng, "\n"), random_csv(rng, "\r\n")
+    for name, content in (("a", text), ("b", windows)):
+        (tmp_path / f"{name}.csv").write_text(content, encoding="utf-8", newline="")
+    whole = spark.read.csv(str(tmp_path / "a.csv"), header=True, quote='"', escape='"', multiLine=True).collect()
+    rows = list(csv.reader(io.StringIO(windows, newline="")))[1:]
+    for size in (40, 500):
+        ranges(size)
+        assert quoted_csv._lines(spark, str(tmp_path / "a.csv")).select("start").distinct().count() > 5
+        assert sorted(map(tuple, read_csv(spark, str(tmp_path / "a.csv")).collect()), key=str) == sorted(map(tuple, whole), key=str)
+        # Carriage returns in a value stay; an empty value is null.
+        got = read_csv(spark, str(tmp_path / "b.csv")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted((tuple(v or None for v in r) for r in rows), key=str)
+
+
+def test_a_folder_of_files_and_records_over_many_ranges(spark, tmp_path, ranges):
+    long = "\n".join(f'line {i} ""quoted"", with, commas' for i in range(60))
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f'id,"the\nbody"\n{i},"{long}"\n{i + 10},x\n{i + 20},a,b\n', encoding="utf-8")
+    for size in (64, 1 << 20):
+        ranges(size)
+        good, bad = csv_parts(spark, str(tmp_path))
+        assert sorted(map(tuple, good.collect())) == sorted(
+            [(str(i), long.replace('""', '"')) for i in range(3)] + [(str(i + 10), "x") for i in range(3)])
+        assert sorted(r.line for r in bad.collect()) == ["20,a,b", "21,a,b", "22,a,b"]
+
+
+def test_values_of_private_use_are_values(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("id,body\n6,\ue000,7\n8,\ue000\n", encoding="utf-8")
+    good, bad = csv_parts(spark, str(tmp_path / "r.csv"))
+    assert [tuple(r) for r in good.collect()] == [("8", "\ue000")] and [r.line for r in bad.collect()] == ["6,\ue000,7"]
+
+
 def test_first_available(spark, tmp_path):
     logs = spark.createDataFrame([("x",)], "message string")
     logs.createOrReplaceTempView("logs_here")
