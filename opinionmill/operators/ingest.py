@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from opinionmill.functions.hashing import row_hash
 from opinionmill.functions.text import NULL_SENTINELS, is_missing, parse_keywords
 from opinionmill.plans.joins import without_known
+from opinionmill.plans.membership import KeyIndex
 from opinionmill.sources.tables import exists, read_path, upper_columns  # noqa: F401 - a step of ingestion too
 
 
@@ -50,10 +51,29 @@ def merged(batch: DataFrame, target: DataFrame, key: str, copies_equal: bool = F
     return target.unionByName(new_rows(batch, target, key, copies_equal))
 
 
-def merge_append(spark: SparkSession, batch: DataFrame, path: str, key: str, copies_equal: bool = False) -> int:
-    """Append the new rows of ``batch`` to the parquet folder at ``path``; returns how many."""
-    target = read_path(spark, path) if exists(spark, path) else batch.limit(0)
-    return _counted_append(batch, target, key, copies_equal, lambda df: df.write.mode("append").parquet(path))
+def merge_append(
+    spark: SparkSession, batch: DataFrame, path: str, key: str, copies_equal: bool = False, index: KeyIndex | None = None,
+) -> int:
+    """Append the new rows of ``batch`` to the parquet folder at ``path``; returns how many.
+
+    With an ``index`` of the folder its key column is not read, but for files that the index doesn't cover yet.
+    """
+    def write(df: DataFrame) -> None:
+        df.write.mode("append").parquet(path)
+
+    if index is None:
+        target = read_path(spark, path) if exists(spark, path) else batch.limit(0)
+        return _counted_append(batch, target, key, copies_equal, write)
+    kept = batch.persist()
+    try:
+        known = index.known(kept)
+        added = _counted_append(kept, known, key, copies_equal, write)
+        known.unpersist()
+        # The rows just written are known to the index from here on; the next load would see to it too.
+        index.refresh()
+    finally:
+        kept.unpersist()
+    return added
 
 
 def merge_append_table(spark: SparkSession, batch: DataFrame, table: str, key: str, buckets: int = 200) -> int:
@@ -83,9 +103,9 @@ def _counted_append(
     return seen.get["n"]
 
 
-def ingest_raw(spark: SparkSession, source: DataFrame, path: str) -> int:
+def ingest_raw(spark: SparkSession, source: DataFrame, path: str, index: KeyIndex | None = None) -> int:
     """Hash a source and merge it on the hash into the raw folder; returns the rows added."""
-    return merge_append(spark, raw_projection(source), path, "row_hash", copies_equal=True)
+    return merge_append(spark, raw_projection(source), path, "row_hash", copies_equal=True, index=index)
 
 
 def add_missing_columns(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:

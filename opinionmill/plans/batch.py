@@ -13,6 +13,7 @@ from opinionmill.functions.typing import as_staging, typed_reviews
 from opinionmill.operators.enrich import enrich_fast, failure_alert, run_summary, strategic_batch, tfidf_outcomes
 from opinionmill.operators.ingest import clean_nulls, ingest_raw, merge_append
 from opinionmill.operators.monitoring import append_snapshot
+from opinionmill.plans.membership import KeyIndex
 from opinionmill.plans.store import ReviewStore
 from opinionmill.schemas import COST_SNAPSHOT, PRODUCTS_STAGING, REVIEWS_STAGING
 from opinionmill.sources.tables import (
@@ -52,13 +53,15 @@ def stage_files(
     )
 
 
-def stage_to_raw(spark: SparkSession, root: str, log_path: str | None = None) -> dict[str, int]:
-    """Hash the staging folders and merge them into the raw ones."""
+def stage_to_raw(spark: SparkSession, root: str, log_path: str | None = None, indexed: bool = False) -> dict[str, int]:
+    """Hash the staging folders and merge them into the raw ones, with an index of the hashes if ``indexed``."""
     added = {}
     for name in ("products", "reviews"):
         with logged(spark, log_path, f"migration of {name} to raw") as notes:
             source = read_path(spark, posixpath.join(root, "source", name))
-            added[name] = ingest_raw(spark, source, posixpath.join(root, "raw", name))
+            path = posixpath.join(root, "raw", name)
+            index = KeyIndex(spark, posixpath.join(root, "index", name), path, "row_hash") if indexed else None
+            added[name] = ingest_raw(spark, source, path, index)
             notes.append(f"added={added[name]}")
     return added
 
@@ -93,7 +96,7 @@ def keyword_tier(
         if log_path:
             done = summary.first().asDict()
             notes += [f"{k}={v}" for k, v in done.items()]
-    if log_path:
+    if log_path and summary.first()["failed"]:
         append_log_rows(failure_alert(summary), log_path)
     return summary
 
