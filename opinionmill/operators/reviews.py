@@ -123,7 +123,12 @@ def nps_summary(t: DataFrame) -> DataFrame:
 
 
 def nps_score(t: DataFrame) -> DataFrame:
-    """Net promoter score and its band; 0 where there are no reviews.
+    """Net promoter score and its band; 0 where there are no reviews."""
+    return nps_score_of(nps_summary(t))
+
+
+def nps_score_of(summary: DataFrame) -> DataFrame:
+    """The score of the counts of :func:`nps_summary`.
 
     Shares and score are rounded as floats are, by their exact binary value with ties to even.
     """
@@ -135,7 +140,7 @@ def nps_score(t: DataFrame) -> DataFrame:
     for floor, label in reversed(NPS_BANDS):
         band = F.when(F.col("nps") >= floor, label).otherwise(band)
     return (
-        nps_summary(t)
+        summary
         .withColumns({f"pct_{c}": round_to_tenth(share(c)) for c in ("promoters", "detractors")})
         .withColumn("nps", score).withColumn("band", band)
     )

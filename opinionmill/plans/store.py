@@ -4,6 +4,8 @@ Every load writes one sub-folder, ``load_id=...``, in overwrite mode. A load tha
 a failure replaces its own rows and nothing else. ``compact`` folds all loads into a new version of
 the base, clustered by product and stars; readers take the latest base and only the loads that are
 younger than it, so between compactions little is joined, and right after one nothing is.
+Readers list the folders of loads, not their files; ``clean`` deletes the loads that the latest base
+holds and the bases before it, so neither grows for ever.
 """
 
 from __future__ import annotations
@@ -17,7 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opinionmill.operators.enrich import apply_outcomes, with_outcome_columns
 from opinionmill.schemas import BASE_VERSIONS, OUTCOMES, REVIEWS_ENRICHED, REVIEWS_FAST
-from opinionmill.sources.tables import append, exists, read_path, write_clustered
+from opinionmill.sources.tables import append, exists, folders, read_path, remove_folder, write_clustered
+
+
+@dataclass(frozen=True)
+class State:
+    """The latest base, if there is one, and the loads that are younger."""
+
+    base: str | None
+    facts: list[str]
+    outcomes: list[str]
 
 
 @dataclass(frozen=True)
@@ -37,23 +48,32 @@ class ReviewStore:
         return self._path("base", last["folder"]), {"facts": last["facts"], "outcomes": last["outcomes"]}
 
     def _loads(self, name: str) -> list[str]:
-        """Loads that have files, by the names of their folders."""
-        path = self._path(name)
-        if not exists(self.spark, path):
-            return []
-        files = self.spark.read.parquet(path).inputFiles()
-        return sorted({m[1] for f in files if (m := re.search(r"/load_id=([^/]+)/", f))})
+        """Loads, by the names of their folders."""
+        return sorted(m[1] for f in folders(self.spark, self._path(name)) if (m := re.match(r"load_id=(.+)", f)))
 
     def _read(self, name: str, schema: T.StructType, loads: list[str]) -> DataFrame:
         if not loads:
             return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField("load_id", T.StringType())])
-        df = read_path(self.spark, self._path(name), stored)
-        return df.where(F.col("load_id").isin(*loads)).drop("load_id")
+        return self.spark.read.schema(schema).parquet(*[self._path(name, f"load_id={load}") for load in loads])
 
     def _young(self, name: str, folded: dict[str, list[str]], without: str | None) -> list[str]:
         return [load for load in self._loads(name) if load not in set(folded.get(name, [])) and load != without]
 
+    def state(self) -> State:
+        base, folded = self._base()
+        return State(base, self._young("facts", folded, None), self._young("outcomes", folded, None))
+
+    def base_rows(self, state: State) -> DataFrame:
+        return read_path(self.spark, state.base, REVIEWS_ENRICHED)
+
+    def load_rows(self, name: str, loads: list[str]) -> DataFrame:
+        return self._read(name, REVIEWS_FAST if name == "facts" else OUTCOMES, loads)
+
+    def rows_without_outcomes(self, state: State) -> DataFrame:
+        """All reviews as they are before the young outcomes."""
+        young = with_outcome_columns(self.load_rows("facts", state.facts))
+        return young if state.base is None else self.base_rows(state).unionByName(young)
+
     def facts(self, without: str | None = None) -> DataFrame:
         """The fast tier's columns of all rows, less those of the load ``without`` if it is not in the base yet."""
         base, folded = self._base()
@@ -98,11 +118,26 @@ class ReviewStore:
 
         A version counts from the moment it is listed, after its rows are written.
         """
-        base, folded = self._base()
-        loads = {name: sorted({*folded.get(name, []), *self._loads(name)}) for name in ("facts", "outcomes")}
+        base, _ = self._base()
+        # Loads that have been cleaned up can't be read again, so they need no mention.
+        loads = {name: self._loads(name) for name in ("facts", "outcomes")}
         number = 1 if base is None else int(re.search(r"v(\d+)-", base)[1]) + 1
         folder = f"v{number:06d}-{uuid.uuid4().hex}"
         write_clustered(self.enriched().select(REVIEWS_ENRICHED.names), self._path("base", folder), partitions)
         row = [(number, folder, loads["facts"], loads["outcomes"])]
         append(self.spark.createDataFrame(row, BASE_VERSIONS).coalesce(1), self._path("versions"))
         return number
+
+    def clean(self) -> int:
+        """Delete the loads that the latest base holds and all other bases; returns how many folders went.
+
+        For a time when no run or reader is under way: both may hold a plan over what goes.
+        """
+        base, folded = self._base()
+        if base is None:
+            return 0
+        gone = [self._path(name, f"load_id={load}") for name in folded for load in self._loads(name) if load in set(folded[name])]
+        gone += [self._path("base", f) for f in folders(self.spark, self._path("base")) if f != posixpath.basename(base)]
+        for path in gone:
+            remove_folder(self.spark, path)
+        return len(gone)
