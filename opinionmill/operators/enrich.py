@@ -30,6 +30,8 @@ CALLS = 16
 WEIGHT_PLACES = 9
 # Words of the list that one lookup passes over, on average.
 WORDS_PER_SLOT = 2
+# Bits of the filter that a list beyond a broadcast is told by, a power of two: 2 MB.
+FILTER_BITS = 1 << 24
 
 # Words whose count is broadcast, as digests of 16 bytes: those in at least this share of the texts,
 # as far as they are no more than this.
@@ -90,12 +92,46 @@ def _scored_in_row(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
     return df.withColumn("sentiment", F.coalesce(score, F.lit(0.0)))
 
 
+def _listed_words(words: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """Whether a word may be among ``words``: a Bloom filter with two bits a word, as a constant in the query.
+
+    It has ``bits`` bits at most, fewer for a short list, whatever the list holds; a full one keeps every word.
+    """
+    bits = max(64, min(bits, 1 << (16 * max(1, words.count())).bit_length()))
+
+    def places(word: Column) -> list[Column]:
+        spread = F.xxhash64(word)
+        return [spread.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(spread, 32).bitwiseAND(F.lit(bits - 1))]
+
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+    each = words.select(F.explode(F.array(*places(F.col("word")))).alias("place"))
+    held = [0] * (bits // 64)
+    for row in each.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit(F.col("place"))).alias("bits")).collect():
+        held[row["at"]] = row["bits"]
+    array = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+    def may_be(word: Column) -> Column:
+        kept = [F.get(array, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in places(word)]
+        return kept[0] & kept[1]
+
+    return may_be
+
+
 def _scored_by_join(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
-    """Only words shuffle, under a digest of their text; equal texts have equal scores."""
+    """Only words that may be listed leave their row, with their counts, under a digest of their text.
+
+    Equal texts have equal scores; a task sends one row for a word of them.
+    """
     digest = F.unhex(F.md5(F.col(text)))
-    words = df.select(digest.alias("_text"), F.explode(tokens(F.col(text))).alias("word"))
-    met = lookup_join(words, weights, "word", ["_text"], max_rows=0).where(F.col("weight").isNotNull())
-    total = F.col("weight")
+    may_be = _listed_words(weights.select("word"))
+    words = df.select(digest.alias("_text"), F.filter(tokens(F.col(text)), may_be).alias("_words"))
+    # A text counts once, whatever the number of its rows.
+    texts = words.where(F.size("_words") > 0).groupBy("_text").agg(F.first("_words").alias("_words"))
+    counts = texts.select("_text", F.explode("_words").alias("word")).groupBy("_text", "word").agg(F.count("*").alias("n"))
+    met = lookup_join(counts, weights, "word", ["_text"], max_rows=0).where(F.col("weight").isNotNull())
+    total = F.col("weight") * F.col("n")
     none = F.lit(0).cast("bigint")
     scores = met.groupBy("_text").agg(
         _ratio(F.sum(F.greatest(total, none)), F.sum(F.greatest(-total, none))).alias("sentiment")
@@ -118,7 +154,11 @@ def enrich_fast(
     reviews: DataFrame, enriched: DataFrame, score: Callable[[DataFrame], DataFrame], as_of: AsOf = None,
 ) -> DataFrame:
     """Rows to append to the fact table: new reviews with text, scored and stamped."""
-    fresh = unprocessed(enrichable(reviews), enriched)
+    return scored_facts(unprocessed(enrichable(reviews), enriched), score, as_of)
+
+
+def scored_facts(fresh: DataFrame, score: Callable[[DataFrame], DataFrame], as_of: AsOf = None) -> DataFrame:
+    """Rows of the fact table for reviews that are known to be new and to have text."""
     row_hash = F.col("row_hash") if "row_hash" in fresh.columns else F.lit(None).cast("string")
     stamp = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     return score(fresh).select(

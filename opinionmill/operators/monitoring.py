@@ -61,9 +61,12 @@ def stage_durations(logs: DataFrame, patterns: list[tuple[str, list[str]]] = STA
 
 
 def latest_per_key(df: DataFrame, key: str, time: str, tie: str | None = None) -> DataFrame:
-    """The most recent row of each key; rows without a time come last."""
-    order = [F.desc_nulls_last(time)] + ([F.desc(tie)] if tie else [])
-    return first_per_key(df, [key], order)
+    """The most recent row of each key; rows without a time come last.
+
+    Of rows of one time the one with the largest ``tie`` counts, or without one the largest, column by column.
+    """
+    ties = [tie] if tie else [c for c in df.columns if c not in (key, time)]
+    return first_per_key(df, [key], [F.desc_nulls_last(time), *[F.desc_nulls_last(c) for c in ties]])
 
 
 def task_status(

@@ -7,7 +7,7 @@ from opinionmill.plans.batch import keyword_tier
 from opinionmill.plans.store import ReviewStore
 from opinionmill.schemas import OUTCOMES, REVIEWS_STAGING, all_strings
 from opinionmill.sources.tables import read_path
-from opinionmill.streaming.incremental import enrich_stream, keyword_step, raw_stream
+from opinionmill.streaming.incremental import enrich_stream, enrich_stream_keyed, keyword_step, raw_stream
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -145,3 +145,63 @@ def test_child_step_draws_from_earlier_batches_too(job):
     job.arrive(("3", " "))
     job.run(step)
     assert {r.id: r.enrichment_status for r in job.store.enriched().collect()} == {"1": "FULLY_ENRICHED", "2": "FULLY_ENRICHED"}
+
+
+class KeyedJob(Job):
+    def run(self, then=None, **options):
+        query = enrich_stream_keyed(raw_stream(self.spark, self.raw, **options), self.store, self.checkpoint, self.score, AS_OF, then)
+        query.awaitTermination()
+        return len([p for p in query.recentProgress if p["numInputRows"] > 0])
+
+
+@pytest.fixture
+def keyed(spark, tmp_path):
+    return KeyedJob(spark, tmp_path)
+
+
+def test_state_tells_known_reviews(keyed, spark):
+    known = spark.createDataFrame([("1", "A", "good", 5, "h")], "id string, asin string, body string, stars int, row_hash string")
+    keyed.store.write_facts(enrich_fast(known, keyed.store.facts(), keyed.score, AS_OF), "seed")
+    keyed.arrive(("1", "bad"), ("2", "bad"), ("3", " "))
+    keyed.run()
+    assert keyed.rows() == [("1", 1.0), ("2", -1.0)]
+    # Another version of known reviews, a blank one that now has a text, and a new one.
+    keyed.arrive(("1", "bad bad"), ("2", "good"), ("3", "good"), ("4", "bad good"))
+    keyed.run()
+    assert keyed.rows() == [("1", 1.0), ("2", -1.0), ("3", 1.0), ("4", 0.0)]
+    keyed.run()
+    assert len(keyed.rows()) == 4
+
+
+def test_later_batches_do_not_look_into_the_store(keyed, monkeypatch):
+    for i in range(4):
+        keyed.arrive((str(i), "good"), ("same", "bad"))
+    asked = []
+    facts = ReviewStore.facts
+    monkeypatch.setattr(ReviewStore, "facts", lambda self, without=None: asked.append(without) or facts(self, without))
+    assert keyed.run(files_per_batch=1) >= 4
+    # The snapshot before the first batch, and that batch.
+    assert len(asked) == 2
+    keyed.arrive(("9", "bad"), ("0", "bad"))
+    keyed.run()
+    assert len(asked) == 2
+    monkeypatch.undo()
+    assert keyed.rows() == [*[(str(i), 1.0) for i in range(4)], ("9", -1.0), ("same", -1.0)]
+
+
+def test_a_keyed_batch_that_runs_again_gives_the_same_rows(keyed):
+    keyed.arrive(("1", "good"), ("2", "bad"))
+    calls = []
+
+    def fail_once(store, batch, load_id):
+        calls.append(load_id)
+        if len(calls) in (1, 3):
+            raise RuntimeError("lost after the write")
+
+    for more in ((), (("2", "good"), ("3", "bad"))):
+        if more:
+            keyed.arrive(*more)
+        with pytest.raises(Exception, match="lost after the write"):
+            keyed.run(fail_once)
+        keyed.run(fail_once)
+    assert keyed.rows() == [("1", 1.0), ("2", -1.0), ("3", -1.0)] and calls[0] == calls[1]
