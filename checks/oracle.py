@@ -292,7 +292,7 @@ _SQL = {
         SELECT id AS ID, asin AS ASIN, body AS BODY, stars AS STARS,
                verified_purchase AS VERIFIED_PURCHASE, found_helpful AS FOUND_HELPFUL FROM {reviews}""",
     "bulk_append": "SELECT * FROM {reviews}",
-    "clustered_read": "SELECT * FROM {reviews} WHERE asin = 'P7' AND stars = 5",
+    "clustered_read": "SELECT * FROM {reviews}",
     "first_available": "SELECT * FROM {products}",
     "mirror_views": """
         SELECT CAST(p_partkey AS BIGINT) AS key, p_name AS value FROM {part}
@@ -429,9 +429,28 @@ _SQL["stage_durations"] = f"""
            greatest(date_diff('second', min(log_timestamp), max(log_timestamp)), 1) AS duration_sec
     FROM ({_STAGED}) WHERE stage IS NOT NULL GROUP BY stage"""
 
-for _source, _suffix in (("enriched", ""), ("scored_facts", "_facts")):
-    for _name, _sql in reviews_questions(f"{{{_source}}}").items():
+for _source, _suffix in (("{enriched}", ""), ("{scored_facts}", "_facts"), (f"({_SQL['compacted_store']})", "_rollup")):
+    for _name, _sql in reviews_questions(_source).items():
         _SQL[_name + _suffix] = _sql
+for _name in ("enrichment_coverage", "null_stats"):
+    _SQL[f"{_name}_rollup"] = _SQL[_name].replace("keywords_csv", "keywords").replace("{enriched}", f"({_SQL['compacted_store']})")
+_SQL["merge_indexed"] = _SQL["merge_on_hash"]
+_SQL["enrich_stream_by_state"] = _SQL["enrich_stream_incremental"]
+_SQL["cleaned_store"] = _SQL["compacted_store"]
+# Each run of the stream weighs words by the texts that it draws.
+_SQL["keyword_step_stream"] = f"""
+    WITH texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS asin, source < 'src15' AS early, text AS body
+                   FROM {{documents}} WHERE {non_blank('text')}),
+    bag AS (SELECT id, early, unnest(regexp_split_to_array(lower(body), '[^a-z]+')) AS word FROM texts),
+    tf AS (SELECT id, early, word, count(*) AS tf FROM bag WHERE word <> '' GROUP BY ALL),
+    df AS (SELECT early, word, count(*) AS df FROM tf GROUP BY ALL),
+    n AS (SELECT early, CAST(count(*) AS DOUBLE) AS n FROM texts GROUP BY ALL),
+    placed AS (
+        SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n / df), 9) DESC, word) AS place
+        FROM tf JOIN df USING (early, word) JOIN n USING (early) QUALIFY place <= 5)
+    SELECT t.id, t.asin, 'FULLY_ENRICHED' AS enrichment_status, CAST(0 AS INTEGER) AS retry_count,
+           coalesce(string_agg(p.word, '|' ORDER BY p.place), '') AS keywords
+    FROM texts t LEFT JOIN placed p ON t.id = p.id GROUP BY t.id, t.asin"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.fixtures import table, view
 from opinionmill.functions import text
 from opinionmill.functions.typing import typed_reviews
-from opinionmill.operators import enrich, ingest, monitoring as mon, quality, reviews as rev
+from opinionmill.operators import enrich, ingest, monitoring as mon, quality, reviews as rev, rollups
 from opinionmill.plans import batch
+from opinionmill.plans.membership import KeyIndex
+from opinionmill.plans.rollups import Rollup
 from opinionmill.plans.store import ReviewStore
 from opinionmill.session import shared_folder
 from opinionmill.sources import mirror, tables
-from opinionmill.streaming.incremental import enrich_stream, raw_stream
+from opinionmill.streaming.incremental import enrich_stream, enrich_stream_keyed, keyword_step, raw_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +90,16 @@ def merge_on_hash(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.merged(batch, target, "row_hash", copies_equal=True)
 
 
+@query
+def merge_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Both tables loaded one after the other, keys told by an index of the target; then the second once more."""
+    path = folder(spark, "merge_indexed")
+    index = KeyIndex(spark, f"{path}/index", f"{path}/raw", "row_hash")
+    for name in ("merge_target", "merge_batch", "merge_batch"):
+        ingest.ingest_raw(spark, view(spark, sf, name), f"{path}/raw", index)
+    return tables.read_path(spark, f"{path}/raw")
+
+
 @query
 def merge_on_key(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.merged(view(spark, sf, "merge_batch"), view(spark, sf, "merge_target"), "id")
@@ -225,14 +237,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark, name)}/{uuid.uuid4().hex}"
 
 
-@query
-def enrich_stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream in two runs over a store that knows some reviews: what it knows stays, the rest is scored once."""
-    root = folder(spark, "enrich_stream")
-    raw = table(spark, sf, "documents").select(
+def arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw reviews as they come in files."""
+    return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("asin"), F.col("text").alias("body"),
         (F.col("n_chars") % 5 + 1).cast("string").alias("stars"), F.lit("TRUE").alias("verified_purchase"),
         F.lit("0").alias("found_helpful"))
+
+
+def streamed(spark: SparkSession, sf: str, run: Callable) -> DataFrame:
+    """A stream in two runs over a store that knows some reviews: what it knows stays, the rest is scored once."""
+    root = folder(spark, "enrich_stream")
+    raw = arriving(spark, sf)
     store = ReviewStore(spark, f"{root}/store")
     known = raw.where("asin = 'src15'").select(
         "id", "asin", "body", F.col("stars").cast("bigint").alias("stars"), F.lit("h").alias("row_hash"),
@@ -243,12 +259,37 @@ def enrich_stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
     for part in (raw.where("asin < 'src15'"), raw):
         part.write.mode("append").parquet(f"{root}/raw")
         stream = raw_stream(spark, f"{root}/raw", raw.schema)
-        enrich_stream(stream, store, f"{root}/checkpoint", scorer(spark), AS_OF).awaitTermination()
+        run(stream, store, f"{root}/checkpoint", scorer(spark), AS_OF).awaitTermination()
     return store.enriched().select("id", "asin", "body", "stars", "sentiment", "enrichment_status", "retry_count")
 
 
 @query
-def compacted_store(spark: SparkSession, sf: str) -> DataFrame:
+def enrich_stream_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Each batch meets the store."""
+    return streamed(spark, sf, enrich_stream)
+
+
+@query
+def enrich_stream_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The known ids are the state of the stream."""
+    return streamed(spark, sf, enrich_stream_keyed)
+
+
+@query
+def keyword_step_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyword tier as the child step of a stream: each run draws from all that is pending."""
+    root = folder(spark, "keyword_step")
+    raw = arriving(spark, sf)
+    store = ReviewStore(spark, f"{root}/store")
+    step = keyword_step(lambda: tables.read_path(spark, f"{root}/raw", raw.schema), n=table(spark, sf, "documents").count())
+    for part in (raw.where("asin < 'src15'"), raw.where("asin >= 'src15'")):
+        part.write.mode("append").parquet(f"{root}/raw")
+        stream = raw_stream(spark, f"{root}/raw", raw.schema)
+        enrich_stream(stream, store, f"{root}/checkpoint", scorer(spark), AS_OF, step).awaitTermination()
+    return joined(store.enriched().select("id", "asin", "enrichment_status", "retry_count", "keywords"), "keywords")
+
+
+def built_store(spark: SparkSession, sf: str) -> ReviewStore:
     """Loads and outcomes before and after a compaction; the rest of the outcomes meet the base."""
     store = ReviewStore(spark, folder(spark, "compacted_store"))
     scored = enriched(spark, sf).select(
@@ -261,9 +302,34 @@ def compacted_store(spark: SparkSession, sf: str) -> DataFrame:
     store.compact()
     store.write_facts(scored.where(~early), "b")
     store.write_outcomes(done.where(~early), "b")
+    return store
+
+
+@query
+def compacted_store(spark: SparkSession, sf: str) -> DataFrame:
+    return joined(built_store(spark, sf).enriched().drop("row_hash", "created_at"), "keywords")
+
+
+@query
+def cleaned_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A second compaction, and what it holds deleted elsewhere."""
+    store = built_store(spark, sf)
+    store.compact()
+    store.clean()
     return joined(store.enriched().drop("row_hash", "created_at"), "keywords")
 
 
+_rolled: dict[tuple[str, str], Rollup] = {}
+
+
+def partials(spark: SparkSession, sf: str) -> DataFrame:
+    """The partial sums of such a store, which one session builds once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _rolled:
+        _rolled[key] = Rollup(built_store(spark, sf))
+    return _rolled[key].table()
+
+
 # Reading and writing
 
 
@@ -289,10 +355,10 @@ def bulk_append(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clustered_read(spark: SparkSession, sf: str) -> DataFrame:
-    """One product's reviews out of the clustered layout."""
+    """All reviews out of the clustered layout."""
     path = folder(spark, "clustered_read")
     tables.write_clustered(view(spark, sf, "reviews"), path)
-    return tables.read_path(spark, path).where("asin = 'P7' and stars = 5")
+    return tables.read_path(spark, path)
 
 
 @query
@@ -350,6 +416,21 @@ for _name, _build in {
     on("enriched", _name, _build)
     on("scored_facts", f"{_name}_facts", _build)
 
+for _name, _build in {
+    "kpis": rollups.kpis,
+    "stars_distribution": rollups.stars_distribution,
+    "sentiment_by_stars": rollups.sentiment_by_stars,
+    "nps_summary": rollups.nps_summary,
+    "nps_score": rollups.nps_score,
+    "status_breakdown": rollups.status_breakdown,
+    "best_products": rollups.product_ranking,
+    "worst_products": lambda p: rollups.product_ranking(p, best=False),
+    "stars_sentiment_breakdown": rollups.stars_sentiment_breakdown,
+    "enrichment_coverage": rollups.enrichment_coverage,
+    "null_stats": rollups.null_stats,
+}.items():
+    _found[f"{_name}_rollup"] = lambda spark, sf, build=_build: build(partials(spark, sf))
+
 on("scored_facts", "ingestion_timeline", rev.ingestion_timeline)
 on("enriched", "top_reviews", rev.top_reviews)
 on("enriched", "sentiment_scatter", rev.sentiment_scatter)

@@ -20,10 +20,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` as rows held by the driver, for a broadcast, or None if it is not small enough for one."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(value)) for row in rows for value in row) > max_bytes:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    # Widths come first: a hundred thousand wide values would fill the driver.
+    few = df.limit(max_rows + 1).persist()
+    try:
+        return df.sparkSession.createDataFrame(few.collect(), df.schema) if fits_broadcast(few, max_rows, max_bytes) else None
+    finally:
+        few.unpersist()
 
 
 def lookup_join(
