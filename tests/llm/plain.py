@@ -68,3 +68,14 @@ def kept_bytes(text: bytes, gone: np.ndarray) -> bytes:
 
 def runs(hits: np.ndarray) -> int:
     return int((np.diff(np.r_[0, hits.astype(int)]) == 1).sum())
+
+
+def without_passages(text: bytes, gone: np.ndarray, words: int) -> bytes:
+    """Without the runs of whole words that lie in what repeats, as far as they are longer than ``words``."""
+    out, at = b"", 0
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        inside = [m.span() for m in re.finditer(rb"[^ \t-\r]+", text) if first <= m.start() and m.end() <= last]
+        if len(inside) > words:
+            out, at = out + text[at:inside[0][0]], inside[-1][1]
+    return out + text[at:]

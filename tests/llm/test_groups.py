@@ -91,10 +91,40 @@ def check_repeats(pairs, rows, length=repeats.LENGTH):
     wanted = []
     for (name, _), text, gone in zip(pairs, texts, plain.covered(texts, length)):
         digest = hashlib.sha256(plain.kept_bytes(text, gone)).hexdigest()
-        wanted.append((name, len(text), int(gone.sum()), plain.runs(gone), digest))
+        left = plain.kept_bytes(text, gone).decode("utf-8", "ignore")
+        wanted.append((name, len(text), int(gone.sum()), plain.runs(gone), digest, left))
     assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in rows.collect())
 
 
+def test_ids_at_the_end_of_their_range(made):
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(500))
+    rows = [(-(1 << 63), text), (None, text), (None, None), (-(1 << 63), None)]
+    check_repeats(rows, repeats.remove_repeats(made(rows)))
+
+
+def test_near_copies_bring_one_row_of_spans_each(made, monkeypatch):
+    """Places meet one row for each segment, however many of its windows repeat."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1_500))
+    rows = []
+    for i in range(400):
+        at = rng.randrange(1_500)
+        rows.append((i, base[:at] + rng.choice("xyz") + base[at + 1:]))
+    pinned, tables = repeats.pinned, []
+
+    def kept(df):
+        tables.append(pinned(df))
+        return tables[-1]
+
+    monkeypatch.setattr(repeats, "pinned", kept)
+    found = repeats.repeated_windows(repeats.keyed(made(rows)), few=5)
+    spans = {r["id"]: repeats.merged(r["spans"]) for r in found.collect()}
+    texts = [t.encode() for _, t in rows]
+    assert spans == {i: [(a, b + 1) for a, b in repeats.spans_of(g)] for (i, _), g in zip(rows, plain.covered(texts, 400)) if g.any()}
+    [marks] = [t for t in tables if "spread" in t.columns and "spans" in t.columns]
+    assert marks.where("not spread").groupBy("anchor", "content").count().where("count > 1").isEmpty()
+
+
 def test_op9(spark, sf, frame):
     docs = frame("documents")
     check_repeats(list(zip(docs["doc_id"].tolist(), docs["text"])), queries.op9_repeats(spark, sf))
@@ -148,14 +178,23 @@ def test_copies_of_a_row_are_fetched_once(made, monkeypatch):
     assert 0 < fetched.count() == fetched.select("anchor", "content").distinct().count()
 
 
-def test_what_is_left_is_text(made, odd):
-    pairs = passages(12)
-    docs = made(pairs)
+def test_whole_words_of_long_passages_go(made, odd):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    long, short, other = words(60), words(40), words(51)
+    rows = [(i, f"{words(30)} {long} {words(20)}") for i in range(6)] + [(10 + i, f"{words(30)} {short}\n{words(9)}") for i in range(4)]
+    rows += [(20 + i, f"{words(25)}\n{other}") for i in range(2)] + [(30 + i, words(200)) for i in range(9)] + [(50, long), (51, "")]
+    docs = made(rows)
     left = repeats.kept(docs)
     assert left.columns == docs.columns and left.schema == docs.schema
-    texts = [t.encode() for _, t in pairs]
-    wanted = {i: plain.kept_bytes(t, g).decode("utf-8", "ignore") for (i, _), t, g in zip(pairs, texts, plain.covered(texts, 400))}
-    assert {r.doc_id: r.text for r in left.collect()} == wanted
+    got = {r.doc_id: r.text for r in left.collect()}
+    texts = [t.encode() for _, t in rows]
+    assert got == {
+        i: plain.without_passages(t, g, repeats.PASSAGE_WORDS).decode() for (i, _), t, g in zip(rows, texts, plain.covered(texts, repeats.PASSAGE))}
+    # Passages of over 50 words are gone, the rest is as it was.
+    assert not any(long in t or other in t for t in got.values())
+    assert all(got[i] == t for i, t in rows if 10 <= i < 20 or i >= 30 and i != 50)
+    assert all(len(got[i].split()) == len(t.split()) - 60 for i, t in rows if i < 6)
     assert left.where(F.length("text") != F.col("n_chars")).count() == 0
     assert repeats.kept(odd).count() == 13
 
@@ -164,10 +203,14 @@ def test_statistics_are_the_longest_matches_elsewhere():
     rng = random.Random(4)
     for _ in range(60):
         texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(1, 6))]
-        index = repeats.RunLengthIndex(texts)
+        copies = np.array([rng.choice([1, 1, 1, 3]) for _ in texts])
+        index = repeats.RunLengthIndex(texts, copies)
+        assert index.runs[1].sum() == sum(c * (len(t) + 1) for c, t in zip(copies, texts))
         begins = index.ends - np.array([len(t) for t in texts])
         found = index.statistics()
         places = [(t, i) for t in range(len(texts)) for i in range(len(texts[t]))]
         for t, i in places:
             match = lambda u, j: next((n for n, (a, b) in enumerate(zip(texts[t][i:], texts[u][j:])) if a != b), min(len(texts[t]) - i, len(texts[u]) - j))  # noqa: E731, E501
-            assert found[begins[t] + i] == max((match(u, j) for u, j in places if (u, j) != (t, i)), default=0)
+            own = len(texts[t]) - i if copies[t] > 1 else 0
+            assert found[begins[t] + i] == max((match(u, j) for u, j in places if (u, j) != (t, i)), default=0) or found[begins[t] + i] == own
+            assert found[begins[t] + i] >= own

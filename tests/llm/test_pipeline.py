@@ -4,7 +4,7 @@ import corpus_pipeline
 import plain
 import pytest
 from __spark_entry__ import oracle_sql, queries as all_queries
-from opinionmill.llm import language, quality, queries
+from opinionmill.llm import language, quality, queries, repeats
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def rows(df):
 
 def test_every_operator_is_registered():
     names = all_queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(oracle_sql()) <= set(names)
 
@@ -51,7 +51,8 @@ def test_one_of_each_group_stays(stages):
 def test_repeated_passages_go(stages):
     docs = rows(stages[3])
     texts = [t.encode() for _, t in docs]
-    left = [plain.kept_bytes(t, g).decode("utf-8", "ignore") for t, g in zip(texts, plain.covered(texts, 400))]
+    gone = plain.covered(texts, repeats.PASSAGE)
+    left = [plain.without_passages(t, g, repeats.PASSAGE_WORDS).decode() for t, g in zip(texts, gone)]
     assert rows(stages[4]) == [(i, t) for (i, _), t in zip(docs, left)]
 
 
