@@ -3,10 +3,12 @@
 ASCII letters are lower-cased, texts are cut at ``.,;:!?`` and line breaks (U+000A to U+000D) into pieces, and pieces at
 spaces and tabs into words. Phrases are 2 to ``LONGEST`` words of a piece, counted per language; a null one is ``und``.
 
-1. Documents are dealt to ``SHARDS`` shards by a hash. Words are counted per language and shard.
+1. Documents are dealt to ``SHARDS`` shards by a hash. Each task cuts its texts into words once: a row of the pinned
+   table holds some consecutive texts of a language and a shard as numbers into a list of their words. Words are counted
+   per language and shard.
 2. Each shard is mined completely at proportionally lowered support: a phrase that occurs ``SUPPORT`` times in all has,
    in at least one shard, its share of that by the shard's words. A phrase of two words counts in a shard if both words
-   are locally frequent there, a longer one if all its pairs are. What counts goes by keys of 64 bits, so phrases that
+   are locally frequent there, a longer one if all its pairs are. What counts goes by keys of 56 bits, so phrases that
    share a key can only add candidates.
 3. The locally frequent phrases of all shards are united, and every candidate is counted over all documents: there
    phrases are compared by their words, so counts are exact.
@@ -16,7 +18,7 @@ spaces and tabs into words. Phrases are 2 to ``LONGEST`` words of a piece, count
 Shards are few, as the support is a fixed number: with more than ``SUPPORT`` of them one occurrence would be frequent. A
 shard isn't a task; its counts are summed in each task, then shuffled by key. What is locally frequent goes to the tasks
 as a Bloom filter of ``BITS`` bits, however much it is: a fuller filter prunes less and loses nothing. Texts don't
-shuffle, unless languages outgrow a broadcast. A group of copies or a frequent phrase is one row a task.
+shuffle. A group of copies or a frequent phrase is one row a task.
 
 Defined results: a null text is empty; repeated rows count each time; an empty table gives no rows; other columns are
 not read. Whole texts are counted; a text that is longer than ``AT_ONCE`` is worked on alone.
@@ -25,32 +27,40 @@ not read. Whole texts are counted; a text that is longer than ``AT_ONCE`` is wor
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opinionmill.plans.joins import lookup_join
 
-from .common import batch, kept_in_worker, pinned
+from .common import batch, pinned
 
 SUPPORT = 30
 LONGEST = 4
+#: At most 8, which is what a key has room for.
 SHARDS = 5
 TOP = 2000
 #: A phrase falls out if a longer one around it has this share of its occurrences, in hundredths.
 COVERED = 80
 SCALE = 2_000_000
 #: Bits of a filter, a power of two of at most 2^32.
-BITS = 1 << 27
+BITS = 1 << 25
 #: Bytes of text that are worked on together, and counts that a task holds before it sends them.
-AT_ONCE = 1 << 23
-HELD = 1 << 21
+AT_ONCE = 1 << 22
+HELD = 1 << 19
 
-#: Odd multipliers by place, and the seeds of the shards.
+#: Bytes that Spark hands to a task's Python at once.
+BATCH_BYTES = 1 << 24
+
+#: Odd multipliers by place.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-SEEDS = np.cumsum(np.full(64, 0xA0761D6478BD642F, np.uint64))
+#: The low bits of a local key: the shard, and the support that is needed there.
+SHARD_BIT = 5
+LOW = (1 << SHARD_BIT + 3) - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,74 +70,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Tokens:
-    """The words of some texts in order: ``codes`` into ``words``, the text ``doc`` and the ``piece`` of each."""
-
-    def __init__(self, texts: pa.Array):
-        cut = pc.replace_substring_regex(pc.ascii_lower(texts), "[.,;:!?\n-\r]", " \n ")
-        lists = pc.split_pattern_regex(cut, "[ \t]+")
-        encoded = lists.flatten().dictionary_encode()
-        codes = encoded.indices.to_numpy(zero_copy_only=False)
-        self.words: list[str] = encoded.dictionary.to_pylist()
-        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        marks = np.array([w == "\n" for w in self.words], bool)
-        word = np.array([w not in ("\n", "") for w in self.words], bool)
-        piece = np.cumsum(marks[codes]) + doc if len(codes) else doc
-        real = word[codes] if len(codes) else np.zeros(0, bool)
-        self.codes, self.doc, self.piece = codes[real].astype(np.int64), doc[real], piece[real]
-
-    def places(self, size: int) -> np.ndarray:
-        """Where phrases of so many words start: a flag for each word but the last ones."""
-        return self.piece[size - 1:] == self.piece[:len(self.piece) - size + 1] if len(self.piece) >= size else np.zeros(0, bool)
-
-    def hashes(self) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        return np.array([xxh3_64_intdigest(w.encode()) for w in self.words], np.uint64)[self.codes]
-
-
-def keys(hashes: np.ndarray, languages: np.ndarray, size: int) -> np.ndarray:
-    """A key for each phrase of ``size`` words from its words and its language."""
+def keys(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A key for each phrase of ``size`` consecutive words from their hashes; its low bits are 0."""
     count = max(0, len(hashes) - size + 1)
-    total = languages[:count] + np.uint64(size)
+    total = np.full(count, size, np.uint64)
     for j in range(size):
-        total = total + mixed(hashes[j:j + count]) * FACTORS[j]
-    return mixed(total)
+        total += hashes[j:j + count] * FACTORS[j]
+    return mixed(total) & ~np.uint64(LOW)
+
 
+def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a key in a filter."""
+    spread = mixed(key)
+    return spread & np.uint64(BITS - 1), spread >> np.uint64(32) & np.uint64(BITS - 1)
 
-def inside(bits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+
+def inside(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether each key may be in a filter."""
-    low = np.uint64(BITS - 1)
-    out = np.ones(len(wanted), bool)
-    for place in (wanted & low, (wanted >> np.uint64(32)) & low):
+    out = np.ones(len(key), bool)
+    for place in places(key):
         out &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
 
 
-def filter_of(found: DataFrame, key: Column) -> np.ndarray:
-    """A Bloom filter with two bits for each key; no more rows come to the driver than it has words."""
-    places = F.explode(F.array(key, F.shiftrightunsigned(key, 32)))
-    bits = found.select(places.alias("place")).select(F.col("place").bitwiseAND(F.lit(BITS - 1)).alias("place"))
-    words = bits.groupBy(F.shiftright("place", 6).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    rows = words.toArrow()
+def filter_of(found: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``key``; no more rows come to the driver than it has words of 64 bits."""
+    schema = pa.schema([("at", pa.int32()), ("bits", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            place = np.concatenate(places(rows.column("key").to_numpy().view(np.uint64)))
+            yield batch(schema, [(place >> np.uint64(6)).astype(np.int32), (np.uint64(1) << (place & np.uint64(63))).view(np.int64)])
+
+    rows = found.select("key").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def in_shard(key: Column, shard: Column) -> Column:
-    """The key of a phrase within a shard."""
-    seeds = F.array(*[F.lit(int(s)) for s in SEEDS[:SHARDS].view(np.int64)])
-    return key.bitwiseXOR(F.get(seeds, shard))
-
-
 def dealt(documents: DataFrame) -> DataFrame:
-    """(text, lang, shard, crowd): ``crowd`` names a language and a shard."""
+    """(text, lang, shard) of documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     shard = F.pmod(F.xxhash64("doc_id", text), F.lit(SHARDS)).cast("int")
-    return documents.select(text.alias("text"), lang.alias("lang"), shard.alias("shard"), F.concat_ws(":", shard, lang).alias("crowd"))
+    return documents.select(text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), shard.alias("shard"))
 
 
 def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -141,169 +126,254 @@ def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def summed(tables: list[pa.Table], by: list[str]) -> pa.Table:
-    return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+def in_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of some texts, the number of each of their words in order, and the piece of each."""
+    cut = pc.replace_substring_regex(pc.ascii_lower(texts), "[.,;:!?\n-\r]", " \n ")
+    lists = pc.split_pattern(pc.replace_substring(cut, "\t", " "), " ")
+    encoded = lists.flatten().dictionary_encode()
+    codes, words = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
+    marks = pc.equal(words, "\n").to_numpy(zero_copy_only=False)
+    real = ~marks & pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    number = np.cumsum(real) - 1
+    here = real[codes]
+    return words.filter(pa.array(real)), number[codes[here]], (np.cumsum(marks[codes]) + text)[here]
+
 
+TOKENS = pa.schema([
+    ("lang", pa.string()), ("shard", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
+    ("hashes", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()),
+])
+TOKENS_TYPE = "lang string, shard int, words array<string>, counts array<long>, hashes binary, codes binary, starts binary"
 
-def counting(count: Callable[[pa.RecordBatch], pa.Table], by: list[str]):
-    """A function for mapInArrow: ``count`` of each slice of a partition, summed up while it fits."""
+
+def in_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for the texts of a slice that share a language and a shard.
+
+    ``codes`` are 32-bit numbers into ``words``, ``starts`` the places in them where a piece begins, and ``hashes`` the
+    words' hashes of 64 bits, which depend on the language too.
+    """
+    for part in batches:
+        for rows in slices(part):
+            crowds = pd.DataFrame({"lang": rows.column("lang").to_pylist(), "shard": rows.column("shard").to_numpy()})
+            for (lang, shard), at in crowds.groupby(["lang", "shard"]).indices.items():
+                words, codes, piece = in_words(rows.column("text").take(pa.array(at)))
+                if not len(codes):
+                    continue
+                seed = pd.util.hash_array(np.array([lang], object), categorize=False)
+                hashes = mixed(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) ^ seed)
+                starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                yield batch(TOKENS, [
+                    [lang], [int(shard)], [words], [np.bincount(codes, minlength=len(words))], [hashes.tobytes()],
+                    [codes.astype(np.int32).tobytes()], [starts.astype(np.int32).tobytes()],
+                ])
+
+
+class Slice:
+    """A row of tokens: the hash and the code of each of its words in order."""
+
+    def __init__(self, row: dict):
+        self.lang, self.shard, self.need = row["lang"], row["shard"], row.get("need")
+        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)[self.codes]
+        starts = np.zeros(len(self.codes), np.int32)
+        starts[np.frombuffer(row["starts"], np.int32)] = 1
+        self.piece = np.cumsum(starts)
+
+    def whole(self, size: int) -> np.ndarray:
+        """Where phrases of so many words lie in one piece: a flag for each word but the last ones."""
+        count = max(0, len(self.piece) - size + 1)
+        return self.piece[len(self.piece) - count:] == self.piece[:count]
+
+    def local(self, size: int) -> np.ndarray:
+        """Keys that tell the shard and the support needed there, in their low bits."""
+        return keys(self.hashes, size) | np.uint64(self.shard << SHARD_BIT | self.need)
+
+    def pairs(self, bits: np.ndarray) -> list[np.ndarray]:
+        """Local keys of the pairs of words that are both frequent in the shard."""
+        good = inside(bits, self.local(1))
+        return [self.local(2)[self.whole(2) & good[:-1] & good[1:]]]
+
+    def longer(self, bits: np.ndarray) -> list[np.ndarray]:
+        """Local keys of longer phrases all of whose pairs are frequent in the shard."""
+        good = pair = self.whole(2) & inside(bits, self.local(2))
+        out = []
+        for size in range(3, LONGEST + 1):
+            good = good[:-1] & pair[size - 2:]
+            out.append(self.local(size)[good])
+        return out
+
+
+def each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for rows in batches:
+        for i in range(rows.num_rows):
+            yield {name: rows.column(name)[i].as_py() for name in rows.schema.names if name not in ("words", "counts")} | {
+                name: rows.column(name)[i].values for name in ("words", "counts") if name in rows.schema.names}
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their counts."""
+    key, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[start], np.add.reduceat(n, start) if len(key) else n
+
+
+LOCAL = pa.schema([("local", pa.int64()), ("n", pa.int64())])
+
+
+def locally_frequent(tokens: DataFrame, of: Callable[[Slice, np.ndarray], list[np.ndarray]], bits: np.ndarray) -> DataFrame:
+    """(key) of the phrases that ``of`` offers and that are frequent in a shard, by their local keys."""
+    shared = tokens.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for part in batches:
-            for rows in slices(part):
-                held.append(count(rows))
-                if sum(t.num_rows for t in held) > HELD:
-                    held = [summed(held, by)]
-                    if held[0].num_rows > HELD // 2:
-                        yield from held.pop().to_batches(1 << 16)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for row in each_slice(batches):
+            for found in of(Slice(row), shared.value):
+                held.append(np.unique(found, return_counts=True))
+                size += len(held[-1][0])
+            if size > HELD:
+                held = [added(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from sent(held.pop())
+                    size = 0
         if held:
-            yield from summed(held, by).to_batches(1 << 16)
+            yield from sent(added(held))
 
-    return run
+    def sent(counts: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(counts[0]), 1 << 16):
+            yield batch(LOCAL, [counts[0][i:i + (1 << 16)].view(np.int64), counts[1][i:i + (1 << 16)]])
 
+    rows = tokens.select("lang", "shard", "need", "hashes", "codes", "starts")
+    counts = rows.mapInArrow(run, "local long, n long").groupBy("local").agg(F.sum("n").alias("n"))
+    need = F.col("local").bitwiseAND(F.lit((1 << SHARD_BIT) - 1))
+    return counts.where(F.col("n") >= need).select(F.col("local").alias("key"))
 
-def language_hashes(rows: pa.RecordBatch) -> np.ndarray:
-    """A hash of each row's language."""
-    from xxhash import xxh3_64_intdigest
 
-    encoded = rows.column("lang").dictionary_encode()
-    values = np.array([xxh3_64_intdigest(w.encode(), 1) for w in encoded.dictionary.to_pylist()], np.uint64)
-    return values[encoded.indices.to_numpy()]
+def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of strings, added up while they fit."""
+    held: list[pa.Table] = []
 
+    def one() -> pa.Table:
+        return pa.concat_tables(held).group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
 
-def counted_words(rows: pa.RecordBatch) -> pa.Table:
-    """(crowd, lang, shard, word, key, n) of a slice."""
-    tokens = Tokens(rows.column("text"))
-    crowds = rows.column("crowd").dictionary_encode()
-    crowd = crowds.indices.to_numpy().astype(np.int64)[tokens.doc]
-    pairs, first, n = np.unique(crowd * max(1, len(tokens.words)) + tokens.codes, return_index=True, return_counts=True)
-    at = tokens.doc[first]
-    key = keys(tokens.hashes()[first], language_hashes(rows)[at], 1)
-    words = pa.array(tokens.words, pa.string())
-    return pa.table({
-        "crowd": rows.column("crowd").take(at), "lang": rows.column("lang").take(at), "shard": rows.column("shard").take(at),
-        "word": words.take(pa.array(tokens.codes[first])), "key": key.view(np.int64), "n": n.astype(np.int64),
-    })
+    for table in counts:
+        held.append(table)
+        if sum(t.num_rows for t in held) > HELD:
+            held = [one()]
+            if held[0].num_rows > HELD // 2:
+                yield from held.pop().to_batches(1 << 16)
+    if held:
+        yield from one().to_batches(1 << 16)
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(crowd, lang, shard, word, key, n): how often a shard holds each word."""
-    by = ["crowd", "lang", "shard", "word", "key"]
-    parts = rows.mapInArrow(counting(counted_words, by), "crowd string, lang string, shard int, word string, key long, n long")
+def count_words(tokens: DataFrame) -> DataFrame:
+    """(lang, shard, word, n): how often a shard holds each word."""
+    by = ["lang", "shard", "word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed((pa.table({
+            "lang": pa.array([row["lang"]] * len(row["words"]), pa.string()), "shard": pa.array([row["shard"]] * len(row["words"]), pa.int32()),
+            "word": row["words"], "n": row["counts"],
+        }) for row in each_slice(batches)), by)
+
+    parts = tokens.select("lang", "shard", "words", "counts").mapInArrow(run, "lang string, shard int, word string, n long")
     return parts.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def supports(words: DataFrame) -> DataFrame:
     """(crowd, need): the least count that is frequent in a shard of a language, SUPPORT x its share of the words."""
-    sizes = words.groupBy("lang", "crowd").agg(F.sum("n").alias("own"))
+    sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
     total = sizes.groupBy("lang").agg(F.sum("own").cast("decimal(20,0)").alias("whole"))
     # A quotient of whole numbers, rounded up.
     need = F.call_function("div", F.col("own").cast("decimal(20,0)") * SUPPORT + F.col("whole") - 1, F.col("whole"))
-    return lookup_join(sizes, total, "lang", ["crowd"]).select("crowd", need.cast("int").alias("need"))
-
-
-LOCAL = ["key", "shard", "need"]
-LOCAL_TYPE = "key long, shard int, need int, n long"
-
-
-def local_table(key: np.ndarray, at: np.ndarray, rows: pa.RecordBatch) -> pa.Table:
-    """Counts of keys by shard; ``at`` is the row of each."""
-    shard, need = (rows.column(c).to_numpy()[at].astype(np.int64) for c in ("shard", "need"))
-    order = np.lexsort((shard, key))
-    key, shard, need = key[order], shard[order], need[order]
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[start, len(key)])
-    return pa.table({
-        "key": key[start].view(np.int64), "shard": shard[start].astype(np.int32), "need": need[start].astype(np.int32),
-        "n": n.astype(np.int64),
-    })
+    return lookup_join(sizes, total, "lang", ["shard"]).select(crowd().alias("crowd"), need.cast("int").alias("need"))
 
 
-def shard_seeds(rows: pa.RecordBatch) -> np.ndarray:
-    return SEEDS[rows.column("shard").to_numpy()]
+def crowd() -> Column:
+    """The name of a language's shard."""
+    return F.concat_ws(":", "shard", "lang")
 
 
-def locally_frequent(rows: DataFrame, of: Callable[[Tokens, np.ndarray, pa.RecordBatch, np.ndarray], list], bits: np.ndarray) -> DataFrame:
-    """(key, shard) of the phrases that ``of`` offers and that are frequent in a shard.
+def known_words(words: DataFrame, needs: DataFrame) -> DataFrame:
+    """(key) of the words that are frequent in a shard, by their local keys."""
 
-    ``of`` gives pairs of keys and the texts they are from.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def count(part: pa.RecordBatch) -> pa.Table:
-        tokens = Tokens(part.column("text"))
-        found = of(tokens, tokens.hashes(), part, shared.value)
-        return local_table(np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found]), part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            langs = rows.column("lang").dictionary_encode()
+            seeds = pd.util.hash_array(langs.dictionary.to_numpy(zero_copy_only=False), categorize=False)[langs.indices.to_numpy()]
+            hashes = mixed(pd.util.hash_array(rows.column("word").to_numpy(zero_copy_only=False), categorize=False) ^ seeds)
+            low = rows.column("shard").to_numpy().astype(np.uint64) << np.uint64(SHARD_BIT) | rows.column("need").to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((keys(hashes, 1) | low).view(np.int64))], ["key"])
 
-    counts = rows.mapInArrow(counting(count, LOCAL), LOCAL_TYPE).groupBy(*LOCAL).agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= F.col("need")).select("key", "shard")
+    met = lookup_join(words.withColumn("crowd", crowd()), needs, "crowd", ["word"]).where(F.col("n") >= F.col("need"))
+    return met.select("lang", "shard", "word", "need").mapInArrow(run, "key long")
 
 
-def pairs_of(tokens: Tokens, hashes: np.ndarray, rows: pa.RecordBatch, bits: np.ndarray) -> list:
-    """Pairs of words that are both frequent in the shard."""
-    languages, seeds = language_hashes(rows)[tokens.doc], shard_seeds(rows)[tokens.doc]
-    good = inside(bits, keys(hashes, languages, 1) ^ seeds)
-    at = np.flatnonzero(tokens.places(2) & good[:-1] & good[1:]) if len(good) > 1 else np.zeros(0, np.int64)
-    return [(keys(hashes, languages, 2)[at], tokens.doc[at])]
+CANDIDATES = "lang string, phrase string, size int, n long"
 
 
-def longer_of(tokens: Tokens, hashes: np.ndarray, rows: pa.RecordBatch, bits: np.ndarray) -> list:
-    """Phrases of three words and more all of whose pairs are frequent in the shard."""
-    languages, seeds = language_hashes(rows)[tokens.doc], shard_seeds(rows)[tokens.doc]
-    pair = inside(bits, keys(hashes, languages, 2) ^ seeds[:max(0, len(hashes) - 1)]) & tokens.places(2)
-    out = []
-    good = pair
-    for size in range(3, LONGEST + 1):
-        good = good[:-1] & pair[size - 2:] if len(pair) >= size - 1 else np.zeros(0, bool)
-        at = np.flatnonzero(good)
-        out.append((keys(hashes, languages, size)[at], tokens.doc[at]))
-    return out
-
-
-def candidates_of(rows: pa.RecordBatch, bits: np.ndarray) -> pa.Table:
+def candidates_of(row: dict, bits: np.ndarray) -> pa.Table:
     """(lang, phrase, size, n) of a slice's phrases that may be locally frequent somewhere, compared by their words."""
-    tokens = Tokens(rows.column("text"))
-    hashes, languages = tokens.hashes(), language_hashes(rows)[tokens.doc]
-    lang = rows.column("lang").dictionary_encode().indices.to_numpy().astype(np.int64)[tokens.doc]
-    radix = max(1, len(tokens.words))
+    part_, words = Slice(row), row["words"]
     out = []
     for size in range(2, LONGEST + 1):
-        at = np.flatnonzero(tokens.places(size) & inside(bits, keys(hashes, languages, size)))
-        # A number for each different row of language and words, built up word by word.
-        number = lang[at]
+        at = np.flatnonzero(part_.whole(size) & inside(bits, keys(part_.hashes, size)))
+        # A number for each different row of words, built up word by word.
+        number = np.zeros(len(at), np.int64)
         for j in range(size):
-            _, number = np.unique(number * radix + tokens.codes[at + j], return_inverse=True)
+            _, number = np.unique(number * len(words) + part_.codes[at + j], return_inverse=True)
         _, first, n = np.unique(number, return_index=True, return_counts=True)
-        first = at[first]
-        phrases = [" ".join([tokens.words[c] for c in tokens.codes[i:i + size].tolist()]) for i in first.tolist()]
+        columns = [words.take(pa.array(part_.codes[at[first] + j])) for j in range(size)]
         out.append(pa.table({
-            "lang": rows.column("lang").take(pa.array(tokens.doc[first])), "phrase": pa.array(phrases, pa.string()),
-            "size": pa.array(np.full(len(first), size, np.int32)), "n": n.astype(np.int64),
+            "lang": pa.array([row["lang"]] * len(n), pa.string()), "phrase": pc.binary_join_element_wise(*columns, " "),
+            "size": pa.array(np.full(len(n), size, np.int32)), "n": n.astype(np.int64),
         }))
     return pa.concat_tables(out)
 
 
-def count_candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def count_candidates(tokens: DataFrame, bits: np.ndarray) -> DataFrame:
     """(lang, phrase, size, n) over all documents."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = tokens.sparkSession.sparkContext.broadcast(bits)
     by = ["lang", "phrase", "size"]
-    counts = rows.mapInArrow(counting(lambda part: candidates_of(part, shared.value), by), "lang string, phrase string, size int, n long")
-    return counts.groupBy(*by).agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed((candidates_of(row, shared.value) for row in each_slice(batches)), by)
+
+    rows = tokens.select("lang", "shard", "words", "hashes", "codes", "starts")
+    return rows.mapInArrow(run, CANDIDATES).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows of tokens are large: both sides hold a batch, and Spark twice that while it grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, n) of all phrases of 1 to ``LONGEST`` words with ``SUPPORT`` occurrences, and (lang, n) of all words."""
-    rows = dealt(documents)
-    words = pinned(count_words(rows))
+    """(lang, phrase, size, n) of all phrases of 1 to ``LONGEST`` words with ``SUPPORT`` occurrences, and (lang, total) of all words."""
+    with small_batches(documents.sparkSession):
+        return _frequent(documents)
+
+
+def _frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    tokens = pinned(dealt(documents).mapInArrow(in_tokens, TOKENS_TYPE))
+    words = pinned(count_words(tokens))
     needs = pinned(supports(words))
-    rows = lookup_join(rows, needs, "crowd", ["text"]).where(F.col("need").isNotNull())
-    known = lookup_join(words, needs, "crowd", ["word"]).where(F.col("n") >= F.col("need"))
-    bits = filter_of(known, in_shard(F.col("key"), F.col("shard")))
-    pairs = pinned(locally_frequent(rows, pairs_of, bits))
-    longer = pinned(locally_frequent(rows, longer_of, filter_of(pairs, in_shard(F.col("key"), F.col("shard")))))
-    united = filter_of(pairs.union(longer), F.col("key"))
-    phrases = count_candidates(rows, united)
+    ready = lookup_join(tokens.withColumn("crowd", crowd()), needs, "crowd", ["codes"])
+    pairs = pinned(locally_frequent(ready, Slice.pairs, filter_of(known_words(words, needs))))
+    longer = pinned(locally_frequent(ready, Slice.longer, filter_of(pairs)))
+    united = pairs.union(longer).select(F.col("key").bitwiseAND(F.lit(~LOW)).alias("key"))
+    phrases = count_candidates(tokens, filter_of(united))
     single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")).select(
         "lang", "phrase", F.lit(1).alias("size"), "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))

@@ -113,10 +113,10 @@ def counted(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """The features of counted rows that passed the base rules, as whole steps."""
+    """The features of counted rows as whole steps; null where there are no words."""
     words = F.col("n_words")
-    share = lambda n, of: F.ln(1 + 10 * F.col(n) / of)
-    values = (F.ln(F.col("word_chars") / words), share("n_symbols", words), share("n_dup_lines", F.col("n_lines")),
+    share = lambda n, of: F.ln(1 + F.try_divide(10 * F.col(n), of))
+    values = (F.ln(F.try_divide(F.col("word_chars"), words)), share("n_symbols", words), share("n_dup_lines", F.col("n_lines")),
               share("n_repeat_words", words))
     return [F.round(v * STEPS).cast("long").alias(name) for v, name in zip(values, FEATURES)]
 

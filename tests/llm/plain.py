@@ -79,3 +79,98 @@ def without_passages(text: bytes, gone: np.ndarray, words: int) -> bytes:
         if len(inside) > words:
             out, at = out + text[at:inside[0][0]], inside[-1][1]
     return out + text[at:]
+
+
+def rule_counts(text: str) -> tuple[int, int, int, int, int]:
+    """(words, characters in words, symbols, repeated lines, words in repeated windows)."""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    inside = set()
+    for i, w in enumerate(zip(words, words[1:], words[2:])):
+        if windows[w] > 1:
+            inside |= {i, i + 1, i + 2}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return (
+        len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
+
+
+def collocations(rows, support: int, top: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", lowered):
+            words = re.findall("[^ \t]+", piece)
+            totals[lang] += len(words)
+            for k in range(1, 5):
+                counts[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        many = {p: a for p, a in f.items() if len(p) > 1 and a >= support}
+        rows_ = []
+        for p, a in many.items():
+            inside = [b for q, b in many.items() if len(q) > len(p) and any(q[i:i + len(p)] == p for i in range(len(q)))]
+            if any(100 * b >= 80 * a for b in inside):
+                continue
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            rows_.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, l, r) in enumerate(sorted(rows_)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, l, r, totals[lang], -score))
+    return sorted(out)
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired rows) of (turn, role, text) rows in order."""
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        visible = re.findall("[^\x20\x09-\x0d]", text)
+        kinds.append("blank" if not visible else "duplicate" if (role, text) in seen else "truncated" if visible[-1] not in ".!?" else "")
+        seen.add((role, text))
+    initials = [role[:1] for _, role, _ in rows]
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+    # For each state the best (cost, audit) of what is left, from the end on; whole audits are compared.
+    best = {"": (0, ""), "a": (0, "")}
+
+    def inserted(found):
+        for _ in range(4):
+            for last, nexts in follow.items():
+                options = [found[last]] if last in found else []
+                options += [(found[r][0] + 5, "I" + found[r][1]) for r in nexts if r in full and r in found]
+                if options:
+                    found[last] = min(options)
+        return found
+
+    best = inserted(best)
+    for (_, role, _), kind, initial in reversed(list(zip(rows, kinds, initials))):
+        now = {}
+        for last in follow:
+            options = [(best[last][0] + 2, "D" + best[last][1])]
+            if kind not in ("blank", "duplicate"):
+                more = 5 * (kind == "truncated")
+                if initial and initial in follow[last]:
+                    options.append((best[initial][0] + more, "K" + best[initial][1]))
+                options += [(best[r][0] + more + 1, "R" + best[r][1]) for r in follow[last] if r in full]
+            now[last] = min(options)
+        best = inserted(now)
+    cost, audit = best[""]
+    out, last, at = [], "", 0
+    for edit in audit:
+        new = follow[last][-1]
+        if edit == "I":
+            out.append((full[new], ""))
+            last = new
+            continue
+        if edit == "K":
+            out.append(rows[at][1:])
+            last = initials[at]
+        elif edit == "R":
+            out.append((full[new], rows[at][2]))
+            last = new
+        at += 1
+    count = Counter(kinds)
+    wrong = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return gaps, count["blank"], count["duplicate"], count["truncated"], wrong, cost, audit, out
