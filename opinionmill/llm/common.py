@@ -45,6 +45,23 @@ def sampled(df: DataFrame, key: str, expected: int, total: int, seed: int) -> Da
     return df if rate >= 1 else df.where(draw(key, seed=seed) < int(rate * DRAWS))
 
 
+def distinct_sample(rows: DataFrame, text: str, expected: int, seed: int, by: str | None = None) -> DataFrame:
+    """About ``expected`` different rows, for each value of ``by`` where it is named.
+
+    A row is drawn by the hash of all its columns, so repeated rows, null ids or many rows of an id don't add to it.
+    Copies are put together in each task before they shuffle.
+    """
+    others = [c for c in rows.columns if c != text]
+    row = F.xxhash64(*(F.col(c) for c in rows.columns))
+    counted = rows.groupBy(*[by] if by else []).agg(F.approx_count_distinct(row, 0.02).alias("n")).collect()
+    rate = F.lit(0)
+    for found in counted:
+        own = int(min(1.0, expected / max(found["n"], 1)) * DRAWS)
+        rate = F.when(F.col(by) == found[by], own).otherwise(rate) if by else F.lit(own)
+    chosen = rows.where(draw(*rows.columns, seed=seed) < rate)
+    return chosen.groupBy(*others, F.xxhash64(text).alias(fresh(rows, "_print"))).agg(F.min(text).alias(text)).select(rows.columns)
+
+
 def text_size(text: Column) -> Column:
     """UTF-8 bytes; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

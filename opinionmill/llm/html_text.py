@@ -10,9 +10,12 @@ pages carry, elements and class names that say what a block is; pages without an
 the training pages the steps that teach are hidden, so that the network learns to judge by words, shape and
 neighbours too. Extraction is a narrow step over all pages.
 
-Defined results: null and empty pages give the empty text, as do pages without main text; broken markup is read like
-browsers do, tags left open end with their parent; repeated rows repeat; an empty table gives no rows; other columns are
-not read.
+Defined results: null and empty pages give the empty text, as do pages without main text; broken markup is read much
+like browsers do: tags left open end with their parent, and a head without an end tag ends before the first thing that
+it can't hold. An element whose text isn't shown hides it up to its end tag; one that has none hides up to the next tag
+of a block only, but a script, style or the like hides the rest of the page. Nested elements share their paths, so work
+grows with the page however deep it is. Repeated rows repeat, and teach once; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import draw, sampled
+from .common import distinct_sample
 
 #: Pages that the network may learn from, and characters of each.
 PAGES = 600
@@ -56,6 +61,13 @@ NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 SPACE = re.compile(r"\s+")
 RAW = ("script", "style", "textarea", "iframe", "noembed", "noframes", "xmp")
 HIDDEN = frozenset(("head", "title", "noscript", "template", "svg", "math", "object", "select", "button", *RAW))
+#: What a head can hold, hidden elements with end tags, and the tags that end a hidden element without one.
+HEAD_HOLDS = frozenset(("base", "basefont", "bgsound", "link", "meta", "title", "noscript", "template", "html", *RAW))
+PAIRED = re.compile(r"<(/?)(title|noscript|template|svg|math|object|select|button)(?=[\s/>])", re.I)
+BREAKS = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
@@ -74,78 +86,122 @@ ASIDE_NAMES = re.compile(
 )
 
 
+@lru_cache(1 << 14)
+def aside(step: str) -> bool:
+    """Whether a step of a path says that what lies below is not main text."""
+    return step in ASIDE_TAGS or step[:1] == "=" and bool(ASIDE_NAMES.search(step[1:]))
+
+
+class Path:
+    """An element: its own steps, those of its parents by reference, and whether any step is a mark."""
+
+    __slots__ = ("parent", "steps", "main", "aside")
+
+    def __init__(self, parent: Path | None = None, steps: tuple[str, ...] = ()):
+        self.parent, self.steps = parent, steps
+        self.main = any(s in MAIN for s in steps) or parent is not None and parent.main
+        self.aside = any(map(aside, steps)) or parent is not None and parent.aside
+
+
 @dataclass
 class Block:
-    """A run of text with the steps of its path, the share of it in links, and whether it was marked."""
+    """A run of text with the path of its element, and the share of it in links."""
 
     text: str
-    path: tuple[str, ...]
+    path: Path
     linked: float
 
 
+def unclosed(page: str) -> set[int]:
+    """Where hidden elements start that have no end tag."""
+    waiting: dict[str, list[int]] = {}
+    for match in PAIRED.finditer(page):
+        of = waiting.setdefault(match[2].lower(), [])
+        if not match[1]:
+            of.append(match.start())
+        elif of:
+            of.pop()
+    return {at for of in waiting.values() for at in of}
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, character references decoded, white space collapsed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Path()
+    stack: list[tuple[str, Path, bool]] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
-    links = 0
+    loose = unclosed(page)
+    links = hidden = ending = at = 0
 
     def flush() -> None:
         nonlocal links
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            path = tuple(step for tag, steps in stack if tag not in INLINE for step in steps)
-            out.append(Block(text, path, min(1.0, links / len(text))))
+            out.append(Block(text, stack[-1][1] if stack else root, min(1.0, links / len(text))))
         pieces.clear()
         links = 0
 
-    hidden = open_links = at = 0
+    def drop(place: int) -> None:
+        """End the elements from this place of the stack on."""
+        nonlocal hidden, ending
+        for name, _, ends in stack[place:]:
+            opened[name] -= 1
+            hidden -= name in HIDDEN
+            ending -= ends
+        del stack[place:]
+
+    def first(matches) -> int:
+        return next(i for i, element in enumerate(stack) if matches(element))
+
     while at < len(page):
         match = TOKEN.match(page, at)
-        at = match.end()
+        start, at = at, match.end()
         text = match["text"]
         if text is not None:
+            if hidden and stack[-1][0] == "head" and not text.isspace():
+                drop(len(stack) - 1)
             if not hidden:
                 pieces.append(text)
-                links += len(text) if open_links else 0
+                links += len(text) if opened["a"] else 0
             continue
         tag = (match["tag"] or match["tag2"] or "").lower()
         if not tag:
             continue
         if match["end"] or match["end2"]:
-            if any(tag == name for name, _ in stack):
+            if opened[tag]:
                 if tag not in INLINE:
                     flush()
-                while stack:
-                    name, _ = stack.pop()
-                    hidden -= name in HIDDEN
-                    open_links -= name == "a"
-                    if name == tag:
-                        break
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                drop(place)
             elif tag == "p":
                 flush()
             continue
+        if opened["head"] and tag not in HEAD_HOLDS and not opened["noscript"] and not opened["template"]:
+            drop(first(lambda element: element[0] == "head"))
+        if tag == "head" and any(name != "html" for name in opened if opened[name]):
+            continue
         if tag == "br":
             pieces.append(" ")
             continue
         if tag not in INLINE:
             flush()
+            if ending and tag in BREAKS:
+                drop(first(lambda element: element[2]))
             ends = ENDS.get(tag)
             if ends:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ends:
-                        for name, _ in stack[i:]:
-                            hidden -= name in HIDDEN
-                            open_links -= name == "a"
-                        del stack[i:]
+                        drop(i)
                         break
                     if stack[i][0] in HOLDS:
                         break
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and any(n == "p" for n, _ in stack)):
-                open_links -= stack.pop()[0] == "a"
+            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and opened["p"]):
+                drop(len(stack) - 1)
             if tag == "body":
-                hidden = 0
-                stack.clear()
+                drop(0)
         if tag in VOID:
             continue
         rest = match["rest"] if match["rest"] is not None else match["rest2"] or ""
@@ -158,53 +214,107 @@ def blocks(page: str) -> list[Block]:
             continue
         if rest.rstrip().endswith("/") and tag not in INLINE and tag in ("path", "use", "circle", "rect"):
             continue
-        stack.append((tag, (tag, *(f"={n}" for n in names))))
+        above = stack[-1][1] if stack else root
+        stack.append((tag, above if tag in INLINE else Path(above, (tag, *(f"={n}" for n in names))), start in loose))
+        opened[tag] += 1
         hidden += tag in HIDDEN
-        open_links += tag == "a"
+        ending += start in loose
     flush()
     return out
 
 
-def aside(step: str) -> bool:
-    """Whether a step of a path says that what lies below is not main text."""
-    return step in ASIDE_TAGS or step[:1] == "=" and bool(ASIDE_NAMES.search(step[1:]))
-
-
 def taught(page: list[Block]) -> list[int]:
     """Labels by marks; by shape where a page marks no main text."""
-    marked = any(step in MAIN for block in page for step in block.path)
+    marked = any(block.path.main for block in page)
     out = []
     for block in page:
         if marked:
-            inside = max((i for i, step in enumerate(block.path) if step in MAIN), default=-1)
-            out.append(int(inside >= 0 and not any(map(aside, block.path))))
+            out.append(int(block.path.main and not block.path.aside))
         else:
-            long = len(block.text) >= 80 or block.path[-1:] and block.path[-1] in ("h1", "p", "blockquote", "pre")
-            out.append(int(bool(long) and block.linked < 0.5 and not any(map(aside, block.path))))
+            long = len(block.text) >= 80 or block.path.steps[-1:] and block.path.steps[-1] in ("h1", "p", "blockquote", "pre")
+            out.append(int(bool(long) and block.linked < 0.5 and not block.path.aside))
     return out
 
 
+@lru_cache(1 << 14)
 def hashed(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
 
 
-def features(page: list[Block], hide: bool = False) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """For each block its hashed path steps, its hashed words, and its measures; ``hide`` leaves out marks."""
-    paths, words = [], []
+@dataclass
+class Steps:
+    """The hashed steps of a page's elements: each one's own, the number of its parent or -1, and for each block the
+    number of its element and its last step."""
+
+    own: list[list[int]]
+    parents: list[int]
+    element: list[int]
+    last: list[list[int]]
+
+    def rows(self, part: slice) -> list[list[int]]:
+        """All steps of some blocks, written out."""
+        out = []
+        for at, last in zip(self.element[part], self.last[part]):
+            row = list(last)
+            while at >= 0:
+                row += self.own[at]
+                at = self.parents[at]
+            out.append(row or [0])
+        return out
+
+    def pooled(self, table: np.ndarray) -> np.ndarray:
+        """The mean vector of each block's steps; sums go from parents to children."""
+        sums = np.zeros((len(self.own) + 1, table.shape[1]), np.float32)
+        sizes = np.zeros(len(self.own) + 1, np.float32)
+        for i, (own, parent) in enumerate(zip(self.own, self.parents)):
+            sums[i] = sums[parent] + table[own].sum(0) if own else sums[parent]
+            sizes[i] = sizes[parent] + len(own)
+        out, size = sums[self.element], sizes[self.element]
+        for i, last in enumerate(self.last):
+            out[i] += table[last or [0]].sum(0) if last or not size[i] else 0
+            size[i] += len(last)
+        return out / np.maximum(size, 1)[:, None]
+
+
+def steps_of(page: list[Block], hide: bool) -> Steps:
+    """The steps of a page's blocks; ``hide`` leaves out marks."""
+    out = Steps([], [], [], [])
+    number: dict[int, int] = {}
+    tail: list[str | None] = [None]
+
+    def shown(path: Path) -> list[str]:
+        return [s for s in path.steps if not (hide and (s in MAIN or aside(s)))]
+
+    for block in page:
+        new, path = [], block.path
+        while path.parent is not None and id(path) not in number:
+            new.append(path)
+            path = path.parent
+        for path in reversed(new):
+            parent = number.get(id(path.parent), -1)
+            before, steps = tail[parent + 1], shown(path)
+            chain = [before, *steps] if before is not None else steps
+            out.own.append([hashed(s) for s in steps] + [hashed(f"{a}>{b}") for a, b in zip(chain, chain[1:])])
+            out.parents.append(parent)
+            number[id(path)] = len(out.own) - 1
+            tail.append(steps[-1] if steps else before)
+        at = number.get(id(block.path), -1)
+        out.element.append(at)
+        out.last.append([hashed(f"last {tail[at + 1]}")] if tail[at + 1] is not None else [])
+    return out
+
+
+def features(page: list[Block], hide: bool = False) -> tuple[Steps, list[list[int]], np.ndarray]:
+    """The hashed path steps of the blocks, each one's hashed words, and its measures; ``hide`` leaves out marks."""
+    words = []
     measures = np.zeros((len(page), MEASURES), np.float32)
     known: dict[str, int] = {}
     for i, block in enumerate(page):
-        marks = [] if hide else [
-            *["mark main"] * any(s in MAIN for s in block.path), *["mark aside"] * any(map(aside, block.path)),
-        ]
-        steps = [s for s in block.path if not (hide and (s in MAIN or aside(s)))]
-        steps += [f"{a}>{b}" for a, b in zip(steps, steps[1:])] + [f"last {s}" for s in steps[-1:]] + marks
-        paths.append([hashed(s) for s in steps] or [0])
         own = []
         for word in block.text.split():
             number = known.get(word)
             if number is None:
-                number = known[word] = hashed("word " + word.lower())
+                number = known[word] = zlib.crc32(f"word {word.lower()}".encode("utf-8", "replace")) % BUCKETS
             own.append(number)
         words.append(own or [0])
         size = len(block.text)
@@ -212,7 +322,7 @@ def features(page: list[Block], hide: bool = False) -> tuple[list[list[int]], li
             np.log1p(size) / 5, np.log1p(len(own)) / 4, block.linked, block.text[-1:] in ".!?:;\"",
             i / len(page), (len(page) - 1 - i) / len(page),
         )
-    return paths, words, measures
+    return steps_of(page, hide), words, measures
 
 
 @dataclass
@@ -267,8 +377,14 @@ def pooled(table: np.ndarray, rows: list[list[int]], chunk: int = 100_000) -> np
     return out / lengths[:, None]
 
 
-def vectors(net: Labeller, paths, words, measures: np.ndarray) -> np.ndarray:
-    return pooled(net.steps, paths) * 4 + pooled(net.words, words) + measures @ net.measures
+def vectors(net: Labeller, paths: np.ndarray, words, measures: np.ndarray) -> np.ndarray:
+    """The network's inputs from the mean vectors of the paths."""
+    return paths * 4 + pooled(net.words, words) + measures @ net.measures
+
+
+def page_vectors(net: Labeller, page: list[Block]) -> np.ndarray:
+    steps, words, measures = features(page)
+    return vectors(net, steps.pooled(net.steps), words, measures)
 
 
 def run(layer, inputs: np.ndarray, there: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -340,11 +456,11 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 7) -> Labell
     for step in range(steps):
         part = [(int(i), int(h)) for i, h in zip(rng.integers(0, len(pages), PAGES_PER_STEP), rng.integers(0, 2, PAGES_PER_STEP))]
         cut = [slice(s, s + STRETCH) for s in (int(rng.integers(0, max(1, len(pages[i]) - STRETCH + 1))) for i, _ in part)]
-        paths = [r for (i, h), c in zip(part, cut) for r in inputs[i][h][0][c]]
+        paths = [r for (i, h), c in zip(part, cut) for r in inputs[i][h][0].rows(c)]
         words = [r for (i, h), c in zip(part, cut) for r in inputs[i][h][1][c]]
         measures = [inputs[i][h][2][c] for (i, h), c in zip(part, cut)]
         lengths = [len(m) for m in measures]
-        flat = vectors(net, paths, words, np.concatenate(measures))
+        flat = vectors(net, pooled(net.steps, paths), words, np.concatenate(measures))
         x, there, back = stacked(np.split(flat, np.cumsum(lengths)[:-1]))
         columns = np.arange(x.shape[1])[None, :]
         keep_a: list = []
@@ -388,7 +504,7 @@ def label(net: Labeller, pages: list[list[Block]], size: int = SIDE_BY_SIDE, pla
     """For each page the chance of each block to be main text."""
     out = [np.zeros(0, np.float32)] * len(pages)
     for part in chunks([len(p) for p in pages], size, places):
-        x, there, back = stacked([vectors(net, *features(pages[i])) for i in part])
+        x, there, back = stacked([page_vectors(net, pages[i]) for i in part])
         columns = np.arange(len(part))[None, :]
         ahead, behind = run(net.forward, x, there), run(net.backward, x[back, columns], there)
         p = sigmoid(np.concatenate([ahead, behind[back, columns]], -1) @ net.out + net.bias)
@@ -399,10 +515,8 @@ def label(net: Labeller, pages: list[list[Block]], size: int = SIDE_BY_SIDE, pla
 
 def fit(pages: DataFrame, most: int = PAGES) -> Labeller | None:
     """Train on a bounded sample of pages."""
-    there = pages.where(F.col("html").isNotNull())
-    chosen = sampled(there, "page_id", most, there.count(), seed=31).select(
-        "page_id", F.left(F.col("html").cast("string"), F.lit(LESSON)).alias("html")
-    ).toPandas()
+    there = pages.where(F.col("html").isNotNull()).select("page_id", F.col("html").cast("string").alias("html"))
+    chosen = distinct_sample(there, "html", most, seed=31).select("page_id", F.left("html", F.lit(LESSON)).alias("html")).toPandas()
     chosen = chosen.sort_values(["page_id", "html"])
     lessons = [page for page in map(blocks, chosen["html"]) if page]
     return train(lessons) if lessons else None

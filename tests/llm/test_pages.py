@@ -1,11 +1,13 @@
 """HTML extraction beside a plain reader of pages."""
 
+import time
 import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from opinionmill.llm import html_text, queries
+from opinionmill.llm.common import distinct_sample
 
 BLOCKS = {"p", "h1", "h2", "h3", "li", "div", "article", "nav", "ul", "footer", "header", "section", "body", "aside", "form"}
 
@@ -60,6 +62,52 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in html_text.blocks("x <script>never closed <p>no")] == ["x"]
 
 
+def read(page):
+    return [b.text for b in html_text.blocks(page)]
+
+
+def test_omitted_tags_of_head_and_body_lose_no_text():
+    assert read("<html><head><title>t</title><p>First paragraph<p>Second") == ["First paragraph", "Second"]
+    assert read("<head><meta charset=x><link rel=y><style>a{}</style>Bare text<p>more") == ["Bare text", "more"]
+    assert read("<head><noscript><img src=x><p>no</noscript><title>t</title></head><p>yes") == ["yes"]
+    assert read("<head><title>never closed<body><p>yes") == ["yes"] == read("<title>never closed<p>yes")
+    assert read("<p>one<head><p>two") == ["one", "two"]
+
+
+def test_hidden_elements_without_an_end_hide_their_own_text_only():
+    assert read("<body><article><button>Go<p>Para one</p><p>Para two</p></article>") == ["Para one", "Para two"]
+    assert read("<article><button>Go<p>one</p><button>x</button><p>two</article><p>three") == ["one", "two", "three"]
+    assert read("<article><svg><g><path d='x'><p>one</article><div>two</div>") == ["one", "two"]
+    assert read("<p>a</p><button><div>Go</div></button><p>b</p><select><option>x<option>y</select><p>c") == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("element", ["<div>x", "<span><p>x", "<ul><li>x", "<b>x<i>"])
+def test_deep_nesting_takes_time_by_the_page(element):
+    """50,000 levels: every path is shared with the parent's."""
+    net = html_text.new_labeller(3)
+    started = time.process_time()
+    page = html_text.blocks("<article>" + element * 50_000)
+    found = html_text.label(net, [page])[0]
+    assert time.process_time() - started < 30 and len(found) == len(page)
+    assert "".join(b.text for b in page).count("x") == 50_000
+
+
+def test_shared_paths_give_the_means_of_written_ones():
+    net = html_text.new_labeller(5)
+    page = html_text.blocks("top<main><div class='a nav'><p>x<ul><li>y<li>z</ul></div><p>w</main><footer>f")
+    for hide in (False, True):
+        steps = html_text.steps_of(page, hide)
+        assert np.allclose(steps.pooled(net.steps), html_text.pooled(net.steps, steps.rows(slice(None))), atol=1e-6)
+
+
+def test_repeated_pages_teach_once(spark):
+    """One row in most of the table, and null ids, don't fill the sample."""
+    rows = [(1, f"<p>same {0}")] * 4_000 + [(None, f"<p>{i}") for i in range(2_000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(7)
+    drawn = [r.html for r in distinct_sample(pages, "html", 200, seed=3).collect()]
+    assert 120 < len(drawn) < 300 and len(set(drawn)) == len(drawn)
+
+
 def test_marks_teach():
     page = html_text.blocks(
         "<header>h</header><nav>n</nav><article><h1>t</h1><p>text</p><div class='share-bar'>s</div><section class=comments><p>c</p></section>"
@@ -104,7 +152,8 @@ def test_gradients_of_the_blocks_network():
 
 def test_a_very_long_page_is_labelled_alone():
     net = html_text.new_labeller(3)
-    pages = [[html_text.Block(f"cell {i}", ("ul", "li"), 0.0) for i in range(n)] for n in [50_000, 0] + [20] * 127]
+    cell = html_text.Path(html_text.Path(html_text.Path(), ("ul",)), ("li",))
+    pages = [[html_text.Block(f"cell {i}", cell, 0.0) for i in range(n)] for n in [50_000, 0] + [20] * 127]
     tracemalloc.start()
     found = html_text.label(net, pages)
     peak = tracemalloc.get_traced_memory()[1]
