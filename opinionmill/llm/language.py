@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import DRAWS, batch, draw, fresh, spaced, texts_of
+from .common import batch, distinct_sample, fresh, spaced, texts_of
 
 #: Documents of each language that the network may learn from.
 PER_LANGUAGE = 500
@@ -203,12 +203,6 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """Train on a bounded sample of the documents outside the held-out fold."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    rate = F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * DRAWS)).otherwise(rate)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("part", pa.string())])
@@ -220,9 +214,12 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | Non
             ]
             yield batch(schema, list(zip(*out)) if out else [[]] * 3)
 
-    chosen = known.where(draw("doc_id", seed=21) < rate).select(F.col("doc_id").cast("long"), "lang", "text")
+    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    chosen = distinct_sample(rows, "text", per_language, seed=21, by="lang")
     parts = chosen.mapInArrow(sample, "doc_id long, lang string, part string").toPandas().sort_values(["doc_id", "part"])
-    names = sorted(counts)
+    if parts.empty:
+        return None
+    names = sorted(set(parts["lang"]))
     words, labels = [], []
     for name in names:
         own = [w for part in parts["part"][parts["lang"] == name] for w in units(part)]

@@ -6,13 +6,13 @@ compressed in blocks, as else a long text would teach the compressor more than t
 counts. A logistic model, fitted on measurements with dictionaries that a text is not in, turns them into a calibrated
 score.
 
-Fitting uses a bounded sample, ``PER_CLASS`` labelled documents of each class chosen by the hash of their id. Each gives
-at most ``BLOCKS_PER_TEXT`` blocks to the dictionaries. For the calibration the sample is halved, and the whole texts of
+Fitting uses a bounded sample, about ``PER_CLASS`` labelled rows of each class chosen by the hash of their id and, where
+ids have many texts, of the text too; repeated rows are one. Each gives at most ``BLOCKS_PER_TEXT`` blocks to the dictionaries. For the calibration the sample is halved, and the whole texts of
 either half are measured with dictionaries of the other; only the measurements come to the driver. Scoring is a narrow
 step over all documents.
 
 Defined results: null text counts as empty, and empty texts are scored as such; a label other than 0 and 1 is no label;
-of differing labels for an id the larger counts; where a class has no labelled text the score is the share of label 1,
+of differing labels for an id the larger counts; repeated rows teach once and are scored each; where a class has no labelled text the score is the share of label 1,
 or 0.5 without any; an empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import DRAWS, batch, draw, fresh, spaced, texts_of
+from .common import DRAWS, batch, distinct_sample, draw, fresh, pinned, spaced, texts_of
 
 #: Labelled documents of each class that the model may learn from.
 PER_CLASS = 4_000
@@ -133,7 +133,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     chosen = known.where(draw("doc_id", seed=11) < rate).select(
         F.col("doc_id").alias("_id"), "quality", (draw("doc_id", seed=12) < DRAWS // 2).cast("int").alias("half")
     )
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    met = documents.select("doc_id", whole).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    some = met.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "half", "text")
+    # Ids were chosen by their number, so more than twice as many rows come only from ids with many texts.
+    rows = pinned(distinct_sample(some, "text", 2 * per_class, seed=13, by="quality"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("half", pa.int32()), ("part", pa.binary())])
@@ -146,7 +150,6 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
             ]
             yield batch(schema, list(zip(*out)) if out else [[]] * 4)
 
-    rows = texts.select(F.col("doc_id").cast("long"), "quality", "half", F.col("text").cast("string"))
     parts = rows.mapInArrow(sample, "doc_id long, quality int, half int, part binary").toPandas()
     parts = parts.sort_values(["doc_id", "part"])
     if not {0, 1} <= set(parts["quality"]):
