@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, kept_in_worker, pinned, texts_of
@@ -35,7 +36,7 @@ RUNS = re.compile(r"\s+|\S+")
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-    ("doc_tokens", pa.int64()), ("copy", pa.int64()),
+    ("doc_tokens", pa.int64()), ("task", pa.int64()), ("copy", pa.int64()),
 ])
 
 
@@ -119,11 +120,12 @@ def balance(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def piece_rows(documents: DataFrame, path: str, window: int, end_id: int, piece: int) -> DataFrame:
-    """A light row for each piece of each document; ``copy`` counts the rows of an id that a task has met before."""
+    """A light row for each piece of each document; ``task`` and ``copy`` tell the rows of an id apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept_in_worker(("encoder", path), lambda: encoder(path))
         seen: Counter = Counter()
+        task = TaskContext.get().partitionId()
         for rows in batches:
             out: list[tuple] = []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts_of(rows.column("text"))):
@@ -132,12 +134,12 @@ def piece_rows(documents: DataFrame, path: str, window: int, end_id: int, piece:
                 copy = seen[doc_id]
                 seen[doc_id] += 1
                 out += [
-                    (doc_id, start, length, zlib.crc32(raw[4 * start:4 * (start + length)]), len(ids), copy)
+                    (doc_id, start, length, zlib.crc32(raw[4 * start:4 * (start + length)]), len(ids), task, copy)
                     for start, length in cuts(len(ids), window, piece)
                 ]
             yield batch(PIECES, list(zip(*out)) if out else [[]] * len(PIECES))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, copy long"
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
@@ -152,7 +154,7 @@ def pack(
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         group = int(rows["group"].iloc[0])
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "copy"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "task", "copy"], kind="stable").reset_index(drop=True)
         full = (rows["length"] >= window).to_numpy()
         names = np.zeros(len(rows), np.int64)
         names[~full], windows = balance(rows["length"][~full].tolist(), window)
@@ -160,9 +162,9 @@ def pack(
         rows["sequence_id"] = names + (group << 32)
         lengths = rows.groupby("sequence_id")["length"]
         rows["offset"] = lengths.cumsum() - rows["length"]
-        return rows.drop(columns=["group", "copy"])
+        return rows.drop(columns=["group", "task", "copy"])
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "task", "copy"), F.lit(groups)))
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

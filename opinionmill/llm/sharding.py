@@ -1,9 +1,10 @@
 """Operator 3, sharding: sampled splitters.
 
-Every row has a size and a place in one order: the hash of its text, then its id, so equal texts lie together. Keys are
+Every row has a size and a place in one order: the hash of its text, then one of its id and its own number, so equal
+texts lie together and no two rows, not even repeated ones, have one key. Keys are
 drawn with a chance that is proportional to their size; quantiles of the draws split the order into ranges of near equal
 bytes. Ranges are measured, and those over ``overfull`` times their share are split again by draws from inside them; a
-text that fills a range by its copies is split by id. With the exact bytes before each range, a running sum inside it
+text that fills a range by its copies is split by rows. With the exact bytes before each range, a running sum inside it
 gives the exact bytes before each row, and these decide the shard. Law: ``bytes``.
 
 A group of equal texts stays whole if it is light, at most ``whole`` of a shard; heavier groups are cut by rows. A shard
@@ -12,8 +13,8 @@ therefore differs from an equal share by about half of the largest unit at each
 Texts never shuffle, only ids, sizes and checksums. Draws and ranges come to the driver: their number follows from
 ``rows_per_range`` and the row count, 16 draws of 16 bytes for each range.
 
-Defined results: null texts have size 8 and checksum 0, as empty ones do; null ids come first; repeated rows, of one id
-and one text, are placed side by side, in one range; fewer rows than shards leave shards empty; an empty table gives no rows.
+Defined results: null texts have size 8 and checksum 0, as empty ones do; repeated rows, of one id and one text, are copies
+like any other; fewer rows than shards leave shards empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ LOWEST = -(1 << 63)
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """A light row per document: id, size, checksum, and its two-part key."""
+    """A light row per document: id, size, checksum, and its two-part key. To be written once, as rows are numbered."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (text_size(text) + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("minor"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("minor"),
     )
 
 

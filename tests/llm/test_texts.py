@@ -9,6 +9,8 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from opinionmill.llm import bpe, language, packing, quality, queries, sharding
+from opinionmill.llm.common import distinct_sample, pinned
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -211,3 +213,27 @@ def test_gradients_of_the_bytes_network():
             down = loss()
             weight[at] = before
             assert grad[at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+
+
+def test_a_row_in_most_of_the_table_is_dealt_to_all_groups(spark, made):
+    """Copies of a row that lie in many tasks: no group of pieces or range of rows has much over its share."""
+    docs = made([(1, "one text of some words that comes again and again")] * 6_400 + [(i, f"text {i}") for i in range(2, 500)]).repartition(64)
+    pieces = packing.piece_rows(docs, queries.tokenizer("byte_bpe_50k.json"), 2048, 1, 512).toPandas()
+    assert not pieces.duplicated(["doc_id", "start", "task", "copy"]).any()
+    rows = pinned(sharding.sized(docs))
+    total = rows.agg({"size": "sum"}).first()[0]
+    ranges = sharding.measured(sharding.ranged(rows, sharding.splitters(rows, total, 100, 2.0)))
+    assert ranges["size"].max() <= 2 * total / 100 and ranges["n"].sum() == len(pieces) == 6_898
+
+
+def test_repeated_rows_and_ids_do_not_fill_the_samples(spark, made, monkeypatch):
+    """An id with thousands of rows, equal ones and different ones, brings no more to the driver than the sample allows."""
+    docs = made([(1, "good words all over")] * 3_000 + [(3, f"bad {i} $$$") for i in range(3_000)] + [(None, f"x {i}") for i in range(500)])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "held_out", lambda c: F.lit(False))
+    met = []
+    monkeypatch.setattr(quality, "calibration", lambda x, y: met.append(len(x)) or (np.zeros(0), np.zeros(0), np.ones(0)))
+    quality.fit(docs, labels, 100)
+    assert not met or max(met) < 320
+    rows = docs.select("doc_id", "text", F.lit("en").alias("lang"))
+    assert 60 < distinct_sample(rows, "text", 100, seed=21, by="lang").count() < 160
