@@ -55,6 +55,8 @@ HELD = 1 << 19
 
 #: Bytes that Spark hands to a task's Python at once.
 BATCH_BYTES = 1 << 24
+#: Rows of tokens have some 300 KB. Tasks write and read a row group as a whole, and a large one is a single task's.
+LARGE_ROWS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 2, "parquet.page.size.row.check.max": 20}
 
 #: Odd multipliers by place.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -271,16 +273,16 @@ def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch
 
 
 def count_words(tokens: DataFrame) -> DataFrame:
-    """(lang, shard, word, n): how often a shard holds each word."""
-    by = ["lang", "shard", "word"]
+    """(lang, shard, word, key, n): how often a shard holds each word, and the word's own key."""
+    by = ["lang", "shard", "word", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return summed((pa.table({
             "lang": pa.array([row["lang"]] * len(row["words"]), pa.string()), "shard": pa.array([row["shard"]] * len(row["words"]), pa.int32()),
-            "word": row["words"], "n": row["counts"],
+            "word": row["words"], "key": keys(np.frombuffer(row["hashes"], np.uint64), 1).view(np.int64), "n": row["counts"],
         }) for row in each_slice(batches)), by)
 
-    parts = tokens.select("lang", "shard", "words", "counts").mapInArrow(run, "lang string, shard int, word string, n long")
+    parts = tokens.select("lang", "shard", "words", "counts", "hashes").mapInArrow(run, "lang string, shard int, word string, key long, n long")
     return parts.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
@@ -299,18 +301,13 @@ def crowd() -> Column:
 
 
 def known_words(words: DataFrame, needs: DataFrame) -> DataFrame:
-    """(key) of the words that are frequent in a shard, by their local keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            langs = rows.column("lang").dictionary_encode()
-            seeds = pd.util.hash_array(langs.dictionary.to_numpy(zero_copy_only=False), categorize=False)[langs.indices.to_numpy()]
-            hashes = mixed(pd.util.hash_array(rows.column("word").to_numpy(zero_copy_only=False), categorize=False) ^ seeds)
-            low = rows.column("shard").to_numpy().astype(np.uint64) << np.uint64(SHARD_BIT) | rows.column("need").to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((keys(hashes, 1) | low).view(np.int64))], ["key"])
+    """(key) of the words that are frequent in a shard, by their local keys.
 
+    No Python here: its workers would stand beside those of the filter in each task, and stay for the next stage.
+    """
     met = lookup_join(words.withColumn("crowd", crowd()), needs, "crowd", ["word"]).where(F.col("n") >= F.col("need"))
-    return met.select("lang", "shard", "word", "need").mapInArrow(run, "key long")
+    low = F.shiftleft("shard", SHARD_BIT).bitwiseOR(F.col("need")).cast("long")
+    return met.select(F.col("key").bitwiseOR(low).alias("key"))
 
 
 CANDIDATES = "lang string, phrase string, size int, n long"
@@ -366,7 +363,7 @@ def frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tokens = pinned(dealt(documents).mapInArrow(in_tokens, TOKENS_TYPE))
+    tokens = pinned(dealt(documents).mapInArrow(in_tokens, TOKENS_TYPE), **LARGE_ROWS)
     words = pinned(count_words(tokens))
     needs = pinned(supports(words))
     ready = lookup_join(tokens.withColumn("crowd", crowd()), needs, "crowd", ["codes"])

@@ -22,15 +22,15 @@ def own_folder(spark: SparkSession) -> str:
     return posixpath.join(shared_folder(spark, "llm"), spark.sparkContext.applicationId, uuid.uuid4().hex)
 
 
-def pinned(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame, **options) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     It cuts the lineage, keeps what several later steps read from being computed again, and outlives lost executors.
-    The tables of a run lie under the application's id, to be deleted when it has ended.
+    Options are those of the writer. The tables of a run lie under the application's id, to be deleted when it has ended.
     """
     spark = df.sparkSession
     path = own_folder(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
