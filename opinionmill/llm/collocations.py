@@ -53,8 +53,10 @@ BITS = 1 << 25
 AT_ONCE = 1 << 22
 HELD = 1 << 19
 
-#: Bytes that Spark hands to a task's Python at once.
-BATCH_BYTES = 1 << 24
+#: Bytes that Spark hands to a task's Python at once; tasks have them twice outside of their heap, in powers of two.
+BATCH_BYTES = 1 << 22
+#: Rows that a task decodes at once. Its default, 4,096, is a row group of tokens or more.
+READ_ROWS = 16
 #: Rows of tokens have some 300 KB. Tasks write and read a row group as a whole, and a large one is a single task's.
 LARGE_ROWS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 2, "parquet.page.size.row.check.max": 20}
 
@@ -347,13 +349,15 @@ def count_candidates(tokens: DataFrame, bits: np.ndarray) -> DataFrame:
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Rows of tokens are large: both sides hold a batch, and Spark twice that while it grows."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_BYTES))
+    sizes = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    before = {name: spark.conf.get(name) for name in sizes}
+    for name, size in sizes.items():
+        spark.conf.set(name, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, size in before.items():
+            spark.conf.set(name, size)
 
 
 def frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
