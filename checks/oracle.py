@@ -437,6 +437,10 @@ for _name in ("enrichment_coverage", "null_stats"):
 _SQL["merge_indexed"] = _SQL["merge_on_hash"]
 _SQL["enrich_stream_by_state"] = _SQL["enrich_stream_incremental"]
 _SQL["cleaned_store"] = _SQL["compacted_store"]
+_SQL["sample_of_store"] = f"""
+    SELECT id, stars, body, enrichment_status, retry_count FROM ({_SQL['compacted_store']})
+    WHERE id IS NOT NULL AND stars IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY stars ORDER BY md5(id), id) <= 50"""
 # Each run of the stream weighs words by the texts that it draws.
 _SQL["keyword_step_stream"] = f"""
     WITH texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS asin, source < 'src15' AS early, text AS body

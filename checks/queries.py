@@ -14,6 +14,7 @@ from opinionmill.operators import enrich, ingest, monitoring as mon, quality, re
 from opinionmill.plans import batch
 from opinionmill.plans.membership import KeyIndex
 from opinionmill.plans.rollups import Rollup
+from opinionmill.plans.sample import StoreSample
 from opinionmill.plans.store import ReviewStore
 from opinionmill.session import shared_folder
 from opinionmill.sources import mirror, tables
@@ -330,6 +331,13 @@ def partials(spark: SparkSession, sf: str) -> DataFrame:
     return _rolled[key].table()
 
 
+@query
+def sample_of_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The stratified sample of a store from the sketches of its loads and its base."""
+    rows = StoreSample(built_store(spark, sf), 50).table()
+    return rows.select("id", "stars", "body", "enrichment_status", "retry_count")
+
+
 # Reading and writing
 
 

@@ -21,7 +21,7 @@ from opinionmill.operators import rollups
 from opinionmill.operators.enrich import apply_outcomes, with_outcome_columns
 from opinionmill.plans.joins import fits_broadcast
 from opinionmill.plans.store import ReviewStore
-from opinionmill.sources.tables import exists
+from opinionmill.sources.tables import complete
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,7 @@ class Rollup:
 
     def _ensured(self, name: str, make) -> str:
         path = self._path(name)
-        # Spark writes the mark of success last.
-        if not exists(self.store.spark, posixpath.join(path, "_SUCCESS").removesuffix("/_SUCCESS")):
+        if not complete(self.store.spark, path):
             make().write.mode("overwrite").parquet(path)
         return path
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opinionmill.operators.enrich import apply_outcomes, with_outcome_columns
 from opinionmill.schemas import BASE_VERSIONS, OUTCOMES, REVIEWS_ENRICHED, REVIEWS_FAST
-from opinionmill.sources.tables import append, exists, folders, read_path, remove_folder, write_clustered
+from opinionmill.sources.tables import append, complete, exists, folders, read_path, remove_folder, write_clustered
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ class ReviewStore:
         return self._read("outcomes", OUTCOMES, self._young("outcomes", {}, without))
 
     def has_outcomes(self, load_id: str) -> bool:
-        return exists(self.spark, self._path("outcomes", f"load_id={load_id}", "_SUCCESS").removesuffix("/_SUCCESS"))
+        return complete(self.spark, self._path("outcomes", f"load_id={load_id}"))
 
     def outcomes_of(self, load_id: str) -> DataFrame:
         return read_path(self.spark, self._path("outcomes", f"load_id={load_id}"), OUTCOMES)

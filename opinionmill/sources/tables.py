@@ -72,6 +72,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote ``path`` has ended; files of a job that broke off may lie there without its mark."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``, which may lie on any file system of the cluster."""
     jvm = spark.sparkContext._jvm
