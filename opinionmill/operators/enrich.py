@@ -6,7 +6,9 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.functions.text import keyword_prompt, non_blank, tokens
@@ -30,6 +32,8 @@ CALLS = 16
 WEIGHT_PLACES = 9
 # Words of the list that one lookup passes over, on average.
 WORDS_PER_SLOT = 2
+# Bytes of the longest list that becomes a constant of the plan, which the driver holds and writes out several times.
+CONSTANT_BYTES = 4 * 1024 * 1024
 # Bits of the filter that a list beyond a broadcast is told by, a power of two: 2 MB.
 FILTER_BITS = 1 << 24
 
@@ -63,7 +67,7 @@ def sentiment_score(df: DataFrame, lexicon: DataFrame, text: str = "body", max_r
     """
     places = F.col("weight").cast(f"decimal(28,{WEIGHT_PLACES})") * 10**WEIGHT_PLACES
     weights = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum(places).cast("bigint").alias("weight"))
-    small = local_copy(weights, max_rows)
+    small = local_copy(weights, max_rows, CONSTANT_BYTES)
     return _scored_in_row(df, small, text) if small is not None else _scored_by_join(df, weights, text)
 
 
@@ -93,28 +97,31 @@ def _scored_in_row(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
 
 
 def _listed_words(words: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """Whether a word may be among ``words``: a Bloom filter with two bits a word, as a constant in the query.
+    """For an array of hashes of words, whether each word may be among ``words``: a Bloom filter with two bits a word.
 
-    It has ``bits`` bits at most, fewer for a short list, whatever the list holds; a full one keeps every word.
+    It has ``bits`` bits at most, fewer for a short list, whatever the list holds; a full one keeps every word. Tasks
+    get it as a broadcast value: a constant of the plan is written out in the driver with each text of the plan.
     """
     bits = max(64, min(bits, 1 << (16 * max(1, words.count())).bit_length()))
-
-    def places(word: Column) -> list[Column]:
-        spread = F.xxhash64(word)
-        return [spread.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(spread, 32).bitwiseAND(F.lit(bits - 1))]
-
-    def bit(place: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
-
-    each = words.select(F.explode(F.array(*places(F.col("word")))).alias("place"))
-    held = [0] * (bits // 64)
-    for row in each.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit(F.col("place"))).alias("bits")).collect():
-        held[row["at"]] = row["bits"]
-    array = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
-
-    def may_be(word: Column) -> Column:
-        kept = [F.get(array, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in places(word)]
-        return kept[0] & kept[1]
+    spread = F.xxhash64("word")
+    places = [spread.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(spread, 32).bitwiseAND(F.lit(bits - 1))]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    found = words.select(F.explode(F.array(*places)).alias("place")).groupBy(
+        F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = words.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("array<boolean>")
+    def may_be(hashes: pa.Array) -> pa.Array:
+        spread = hashes.flatten().to_numpy().view(np.uint64)
+        kept = np.ones(len(spread), bool)
+        for place in (spread, spread >> np.uint64(32)):
+            place = place & np.uint64(bits - 1)
+            kept &= (shared.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        # Null arrays have no values, and come back empty.
+        ends = np.cumsum(hashes.value_lengths().fill_null(0).to_numpy())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(kept))
 
     return may_be
 
@@ -126,7 +133,9 @@ def _scored_by_join(df: DataFrame, weights: DataFrame, text: str) -> DataFrame:
     """
     digest = F.unhex(F.md5(F.col(text)))
     may_be = _listed_words(weights.select("word"))
-    words = df.select(digest.alias("_text"), F.filter(tokens(F.col(text)), may_be).alias("_words"))
+    words = df.select(digest.alias("_text"), tokens(F.col(text)).alias("_words")).withColumn(
+        "_listed", may_be(F.transform("_words", lambda w: F.xxhash64(w))))
+    words = words.select("_text", F.filter("_words", lambda w, i: F.get("_listed", i)).alias("_words"))
     # A text counts once, whatever the number of its rows.
     texts = words.where(F.size("_words") > 0).groupBy("_text").agg(F.first("_words").alias("_words"))
     counts = texts.select("_text", F.explode("_words").alias("word")).groupBy("_text", "word").agg(F.count("*").alias("n"))

@@ -45,6 +45,22 @@ def test_five_thousand_weights(spark):
     assert small.orderBy("id").collect() == large.orderBy("id").collect() and small.where("id = '2'").first().sentiment == 1.0
 
 
+def test_a_long_word_list_stays_out_of_the_plan(spark, plan, texts):
+    words = spark.range(300_000).selectExpr("concat('w', translate(cast(id as string), '0123456789', 'abcdefghij')) word", "id / 7 weight")
+    words = words.union(spark.createDataFrame(LEXICON, "word string, weight double"))
+    scored = enrich.sentiment_score(texts, words)
+    assert {r.id: r.sentiment for r in scored.collect()} == pytest.approx(SCORES)
+    assert len(plan(scored)) < 100_000
+
+
+def test_wide_words_are_no_constant(spark, plan):
+    words = spark.range(2000).select(F.repeat(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(1000)).alias("word"), F.lit(1.0).alias("weight"))
+    texts = spark.createDataFrame([("1", "b" * 1000), ("2", "b"), ("3", None)], "id string, body string")
+    scored = enrich.sentiment_score(texts, words)
+    assert {r.id: r.sentiment for r in scored.collect()} == {"1": 1.0, "2": 0.0, "3": 0.0}
+    assert len(plan(scored)) < 100_000
+
+
 def test_sentiment_without_words(spark, texts):
     empty = spark.createDataFrame([], "word string, weight double")
     assert {r.sentiment for r in enrich.sentiment_score(texts, empty).collect()} == {0.0}
