@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.functions.text import keyword_prompt, non_blank, tokens
@@ -41,6 +44,8 @@ FILTER_BITS = 1 << 24
 # as far as they are no more than this.
 HOT_WORD_SHARE = 0.0005
 HOT_WORDS = 100_000
+# Weights that are nearer than this may be equal once they are rounded.
+WEIGHT_MARGIN = 1e-8
 
 Completer = Callable[[str], str | None]
 
@@ -225,32 +230,102 @@ def strategic_batch(
 def keywords_tfidf(df: DataFrame, id: str = "id", text: str = "body", k: int = KEYWORDS_PER_REVIEW) -> DataFrame:
     """The ``k`` words of each text with the largest count x ln(texts / texts with the word).
 
-    ``id`` names a text, once. Weights are compared at nine places, equal ones by word. Texts without
-    a word get an empty list. Each task counts its words before they shuffle; no text does. Frequent
-    words meet their count by broadcast, and only the best ``k`` of each text go on; the others
-    shuffle, and none of them is in more than a small share of the texts.
+    ``id`` names a text; rows that share one, or have none, are one text. Weights are compared at nine
+    places, equal ones by word. Texts without a word get an empty list. Texts stay where they lie, and the
+    words of a row are counted there. Frequent words meet their count by broadcast. Of a row only words
+    go on that may be among its best ``k``; the rare ones of them shuffle to meet their count.
     """
+    counts = df.groupBy(id).agg(F.count("*").alias("n"))
+    shared = local_copy(counts.where((F.col("n") > 1) | F.col(id).isNull()).select(F.col(id).alias("_shared")))
+    if shared is None:
+        alone, several = None, df
+    elif shared.isEmpty():
+        alone, several = df, None
+    else:
+        same = F.col(id).eqNullSafe(F.col("_shared"))
+        alone, several = (df.join(F.broadcast(shared), same, how) for how in ("left_anti", "left_semi"))
     total = df.select(F.count("*").alias("n"))
-    each = df.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
-    words = each.groupBy(id, "word").agg(F.count("*").alias("tf")).withColumn("digest", F.unhex(F.md5("word")))
-    texts_with = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("having"))
+    each = several and several.select(F.col(id), F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = each and each.groupBy(id, "word").agg(F.count("*").alias("tf")).withColumn("digest", F.unhex(F.md5("word")))
+    parts = [words.select("word")] if words else []
+    if alone:
+        parts.append(alone.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")))
+    texts_with = reduce(DataFrame.union, parts).where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("having"))
     common = texts_with.where(F.col("having") >= total.scalar() * HOT_WORD_SHARE)
-    hot = common.orderBy(F.desc("having"), "word").limit(HOT_WORDS).select(F.unhex(F.md5("word")).alias("digest"), "having")
+    hot = local_copy(common.orderBy(F.desc("having"), "word").limit(HOT_WORDS).select(F.unhex(F.md5("word")).alias("digest"), "having"), HOT_WORDS)
 
     weight = F.round(F.col("tf") * F.ln(total.scalar() / F.col("having")), 9)
     place = F.row_number().over(Window.partitionBy(id).orderBy(F.desc_nulls_last("weight"), "word"))
-    met = words.join(F.broadcast(hot), "digest", "left")
-    # A row without a word stands for a text without any.
-    frequent = met.where(F.col("having").isNotNull() | F.col("word").isNull()).select(id, "word", weight.alias("weight"))
-    best = frequent.withColumn("place", place).where(F.col("place") <= k).drop("place")
-    rest = met.where(F.col("having").isNull() & F.col("word").isNotNull()).drop("having").join(texts_with, "word").select(
-        id, "word", weight.alias("weight")
-    )
-    ranked = best.union(rest).withColumn("place", place).where(F.col("place") <= k)
+    found = []
+    if words:
+        met = words.join(F.broadcast(hot), "digest", "left").drop("digest")
+        # A row without a word stands for a text without any.
+        best = met.where(F.col("having").isNotNull() | F.col("word").isNull()).withColumn("weight", weight).withColumn("place", place)
+        found += [best.where(F.col("place") <= k).select(id, "word", "tf", "having"), met.where(F.col("having").isNull() & F.col("word").isNotNull())]
+    if alone:
+        likely = alone.select(id, F.explode_outer(_likely_words(hot, df.count(), k)(tokens(F.col(text)))).alias("w"))
+        found.append(likely.select(id, "w.word", "w.tf", "w.having"))
+    each = reduce(DataFrame.union, (f.select(id, "word", "tf", "having") for f in found))
+    # A rare word's key is the word; the other rows meet nothing and are spread.
+    rare = F.col("having").isNull() & F.col("word").isNotNull()
+    key = F.when(rare, F.col("word")).otherwise(F.concat(F.lit("+"), F.xxhash64(id).cast("string")))
+    met = each.withColumn("_key", key).join(texts_with.toDF("_key", "_rare"), "_key", "left").withColumn("having", F.coalesce("having", "_rare"))
+    ranked = met.select(id, "word", weight.alias("weight")).withColumn("place", place).where(F.col("place") <= k)
     chosen = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word")))
     return ranked.groupBy(id).agg(F.transform(F.array_sort(chosen), lambda r: r["word"]).alias("keywords"))
 
 
+def _likely_words(hot: DataFrame, texts: int, k: int) -> Callable[[Column], Column]:
+    """From the words of a text, those that may be among its ``k`` of most weight: (word, tf, having), the last null for a rare one.
+
+    Between no text but its own and the most texts that a word outside of ``hot`` can have, a rare word has bounds of its
+    weight. A word goes if ``k`` others surely have more, or ``k`` have as much by the same counts and come before it.
+    """
+    held = hot.toArrow()
+    having = held.column("having").to_numpy()
+    most = having.min() if len(having) == HOT_WORDS > 0 else texts if not HOT_WORDS else max(1.0, texts * HOT_WORD_SHARE)
+    bounds = np.log(texts / most), np.log(max(texts, 1))
+    shared = hot.sparkSession.sparkContext.broadcast((held.column("digest").combine_chunks().cast(pa.binary()), having))
+
+    def likely(words: pa.Array) -> pa.Array:
+        digests, having = shared.value
+        encoded = words.flatten().dictionary_encode()
+        kinds, codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        digest = pa.array([hashlib.md5(w.encode()).digest() for w in kinds.to_pylist()], pa.binary())
+        at = pc.index_in(digest, value_set=digests).fill_null(-1).to_numpy()
+        # One row for each text and word, by text.
+        owner = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
+        pair, tf = np.unique(owner * len(kinds) + codes, return_counts=True)
+        owner, code = np.divmod(pair, max(1, len(kinds)))
+        rare = at[code] < 0
+        texts_with = np.where(rare, 0, np.r_[having, 0][at[code]])
+        exact = np.log(texts / np.maximum(texts_with, 1))
+        low, high = (tf * np.where(rare, bound, exact) for bound in bounds)
+        # The k-th largest lower bound of each text; a text of fewer words keeps all.
+        order = np.lexsort((-low, owner))
+        first = np.searchsorted(owner, np.arange(len(words)))
+        count = np.diff(np.r_[first, len(owner)])
+        least = np.full(len(words), -np.inf)
+        full = np.flatnonzero(count >= k)
+        least[full] = low[order[first[full] + k - 1]]
+        keep = high >= least[owner] - WEIGHT_MARGIN
+        # Words of equal counts have equal weights, so their order decides.
+        by_word = np.empty(len(kinds), np.int64)
+        by_word[pc.sort_indices(kinds).to_numpy()] = np.arange(len(kinds))
+        order = np.lexsort((by_word[code], texts_with, tf, owner))
+        group = np.r_[True, np.any([np.diff(x[order]) != 0 for x in (owner, tf, texts_with)], axis=0)][:len(order)]
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
+        keep[order] &= rare[order] | (rank < k)
+        ends = np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=len(words)))]
+        out = pa.StructArray.from_arrays([
+            kinds.take(pa.array(code[keep])).cast(pa.string()), pa.array(tf[keep], pa.int64()),
+            pa.array(texts_with[keep], pa.int64(), mask=rare[keep]),
+        ], ["word", "tf", "having"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out)
+
+    return F.arrow_udf(likely, "array<struct<word: string, tf: bigint, having: bigint>>")
+
+
 def tfidf_outcomes(batch: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Outcomes of the keyword tier where no completion client is at hand."""
     return keywords_tfidf(batch).select(

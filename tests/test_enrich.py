@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +149,34 @@ def test_tfidf_whatever_is_broadcast(spark, monkeypatch, hot_words):
     assert expected["7"] == ["wwwwwww", "all"]
 
 
+def plain_tfidf(rows, k):
+    """Keywords by plain counting; rows that share an id are one text."""
+    counts = {}
+    for name, body in rows:
+        counts.setdefault(name, Counter()).update(re.findall("[a-z]+", (body or "").lower()))
+    having = Counter(w for c in counts.values() for w in c)
+    order = lambda c: sorted(c, key=lambda w: (-round(c[w] * math.log(len(rows) / having[w]), 9), w))
+    return {name: order(c)[:k] for name, c in counts.items()}
+
+
+@pytest.mark.parametrize("share, hot_words, shared", [(0.0005, 100_000, False), (0.05, 100_000, True), (0.05, 7, True), (0.3, 0, False)])
+def test_tfidf_beside_plain_counting(spark, monkeypatch, plan, share, hot_words, shared):
+    """Rare words, frequent ones and ties; repeated and null ids; no count of each word of a row shuffles."""
+    monkeypatch.setattr(enrich, "HOT_WORD_SHARE", share)
+    monkeypatch.setattr(enrich, "HOT_WORDS", hot_words)
+    rng = random.Random(hot_words)
+    word = lambda: "abcdefgh"[rng.randrange(8)] * rng.randrange(1, 1 + int(rng.paretovariate(0.7)) % 12 + 1)
+    rows = [(str(i), " ".join(word() for _ in range(rng.choice([0, 1, 3, 30, 80])))) for i in range(150)]
+    if shared:
+        rows += [("3", "a bb ccc"), ("3", None), (None, "a a dd"), (None, "eee"), ("149", rows[149][1])]
+    df = spark.createDataFrame(rows, "id string, body string").repartition(3)
+    made = enrich.keywords_tfidf(df, k=3)
+    got = made.collect()
+    assert {r.id: r.keywords for r in got} == plain_tfidf(rows, 3) and len(got) == len({r[0] for r in rows})
+    if not shared:
+        assert not re.search(r"hashpartitioning\(id#\d+, word", plan(made))
+
+
 def flaky(failures):
     """A client that fails ``failures`` times for each prompt, then answers."""
     def make():
