@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opinionmill.functions.text import keyword_prompt, non_blank, tokens
 from opinionmill.functions.times import AsOf, moment
 from opinionmill.operators.ingest import add_missing_columns
-from opinionmill.plans.joins import BROADCAST_ROWS, first_per_key, fits_broadcast, local_copy, lookup_join, without_known
+from opinionmill.plans.joins import BROADCAST_ROWS, first_per_key, first_rows, fits_broadcast, local_copy, lookup_join, without_known
 
 # Fixed values.
 FAST_ONLY, FULLY_ENRICHED, FAILED = "FAST_ONLY", "FULLY_ENRICHED", "FAILED"
@@ -214,9 +214,12 @@ def strategic_batch(
 
     ``texts`` names the table to read the texts from, if not ``enriched``.
     """
-    chosen = strategic_pool(enriched, reviews).orderBy(
-        F.desc_nulls_last("found_helpful"), F.asc_nulls_last("stars"), "id"
-    ).limit(n)
+    pool = strategic_pool(enriched, reviews)
+    votes = F.col("found_helpful")
+    # Whole numbers in descending order; the negative of the least one would overflow.
+    falling = F.bitwise_not(votes) if dict(pool.dtypes)["found_helpful"] in ("int", "bigint") else F.negative(votes)
+    key = [votes.isNull().alias("no_votes"), falling.alias("votes"), F.col("stars").isNull().alias("no_stars"), "stars", "id"]
+    chosen = first_rows(pool, n, F.struct(*key))
     texts = (enriched if texts is None else texts).select("id", "body")
     # n bounds the chosen side.
     return texts.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "id").select(

@@ -90,8 +90,12 @@ def keyword_tier(
         else:
             # Every stored review has text, so the choice need not read the texts.
             states = store.enriched().drop("body")
-            batch = strategic_batch(states, typed_reviews(raw_reviews), n, texts=store.facts())
-            outcomes = store.write_outcomes(extract(batch), load_id)
+            # The extraction reads the batch several times, and a large one shuffles its texts.
+            batch = strategic_batch(states, typed_reviews(raw_reviews), n, texts=store.facts()).persist()
+            try:
+                outcomes = store.write_outcomes(extract(batch), load_id)
+            finally:
+                batch.unpersist()
         summary = run_summary(outcomes)
         if log_path:
             done = summary.first().asDict()

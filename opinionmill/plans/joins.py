@@ -79,6 +79,31 @@ def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def first_rows(df: DataFrame, n: int, key: Column) -> DataFrame:
+    """The ``n`` rows with the smallest ``key``, a struct; of rows with the last key any, as by a limit.
+
+    Above ``BROADCAST_ROWS`` no task takes them all: keys are counted by ranges, whole ranges are taken, and only
+    the range where the ``n`` rows end is sorted.
+    """
+    name = "_key"
+    keyed = df.withColumn(name, key)
+    if n <= BROADCAST_ROWS:
+        return keyed.orderBy(name).limit(n).drop(name)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = keyed.select(name).repartitionByRange(parts, name).groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count("*").alias("n"), F.max(name).alias("last")).orderBy("part").collect()
+    fields = keyed.schema[name].dataType.fields
+    bound = lambda r: F.struct(*[F.lit(r["last"][f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    before, taken = 0, None
+    for found in ranges:
+        if before + found["n"] > n:
+            whole = F.lit(False) if taken is None else F.col(name) <= bound(taken)
+            last = keyed.where(~whole & (F.col(name) <= bound(found))).orderBy(name).limit(n - before)
+            return keyed.where(whole).unionByName(last).drop(name)
+        before, taken = before + found["n"], found
+    return df
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``; of a hot key each task sends one row."""
     return first_n(df, 1, keys, order)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinionmill.functions.text import KEYWORD_INSTRUCTION, keyword_prompt
 from opinionmill.operators import enrich
+from opinionmill.plans import joins
 
 LEXICON = [("good", 1.0), ("great", 2.0), ("bad", -1.0)]
 TEXTS = [
@@ -125,6 +126,23 @@ def test_strategic_batch(spark):
     assert best.columns == ["id", "stars", "found_helpful", "body"]
 
 
+@pytest.mark.parametrize("n", [1, 60, 150, 199, 200, 500])
+def test_a_large_batch_passes_no_single_task(spark, monkeypatch, n):
+    """The same rows as by a sort and a limit, with null votes, null stars and ties."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(enrich, "BROADCAST_ROWS", 0)
+    facts = spark.range(200).selectExpr(
+        "cast(id as string) id", "'A' asin", "'text' body", "cast(if(id % 7 = 0, null, 1) as int) stars", "cast(null as array<string>) keywords",
+        "'FAST_ONLY' enrichment_status").repartition(4)
+    reviews = facts.selectExpr("id", "true verified_purchase", "if(id % 11 = 0, null, cast(id % 5 - 2 as bigint)) found_helpful")
+    pool = enrich.strategic_pool(facts, reviews).collect()
+    order = lambda r: (r.found_helpful is None, -(r.found_helpful or 0), r.stars is None, r.stars or 0, r.id)
+    batch = enrich.strategic_batch(facts, reviews, n)
+    assert sorted(r.id for r in batch.collect()) == sorted(r.id for r in sorted(pool, key=order)[:n])
+    limits = re.findall(r"TakeOrderedAndProject\(limit=(\d+)", batch._jdf.queryExecution().executedPlan().toString())
+    assert all(int(x) < 150 for x in limits)
+
+
 def test_prompt(spark):
     assert spark.range(1).select(keyword_prompt(F.lit("Nice"))).first()[0] == KEYWORD_INSTRUCTION + "Nice"
 
