@@ -178,6 +178,28 @@ def test_copies_of_a_row_are_fetched_once(made, monkeypatch):
     assert 0 < fetched.count() == fetched.select("anchor", "content").distinct().count()
 
 
+def test_texts_are_cut_into_segments_once(spark, made, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+    find = repeats.occurrences
+
+    def counted(rows, length):
+        found = find(rows, length)
+
+        def seen(batches):
+            for part in batches:
+                cut.add(part.num_rows)
+                yield part
+
+        return found.mapInArrow(seen, found.schema)
+
+    monkeypatch.setattr(repeats, "occurrences", counted)
+    words = " ".join(f"word{i}" for i in range(200))
+    pairs = [(1, words), (2, "a " + words + " b"), (3, " ".join(f"other{i}" for i in range(300)))]
+    docs = made(pairs)
+    check_repeats(pairs, repeats.remove_repeats(docs))
+    assert cut.value == find(repeats.keyed(docs), repeats.LENGTH).count() > 0
+
+
 def test_whole_words_of_long_passages_go(made, odd):
     rng = random.Random(8)
     words = lambda n: " ".join("".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 9))) for _ in range(n))
