@@ -51,7 +51,7 @@ SCALE = 2_000_000
 BITS = 1 << 25
 #: Bytes of text that are worked on together, and counts that a task holds before it sends them.
 AT_ONCE = 1 << 22
-HELD = 1 << 19
+HELD = 1 << 20
 
 #: Bytes that Spark hands to a task's Python at once; tasks have them twice outside of their heap, in powers of two.
 BATCH_BYTES = 1 << 22
@@ -91,12 +91,18 @@ def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def inside(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether each key may be in a filter."""
-    out = np.ones(len(key), bool)
-    for place in places(key):
-        out &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    first, second = places(key)
+    out = set_at(bits, first)
+    # Few keys have their first bit.
+    left = np.flatnonzero(out)
+    out[left] = set_at(bits, second[left])
     return out
 
 
+def set_at(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def filter_of(found: DataFrame) -> np.ndarray:
     """A Bloom filter of the column ``key``; no more rows come to the driver than it has words of 64 bits."""
     schema = pa.schema([("at", pa.int32()), ("bits", pa.int64())])
@@ -145,17 +151,18 @@ def in_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 TOKENS = pa.schema([
-    ("lang", pa.string()), ("shard", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
-    ("hashes", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()),
+    ("lang", pa.string()), ("shard", pa.int32()), ("words", pa.string()), ("counts", pa.binary()), ("hashes", pa.binary()),
+    ("codes", pa.binary()), ("starts", pa.binary()),
 ])
-TOKENS_TYPE = "lang string, shard int, words array<string>, counts array<long>, hashes binary, codes binary, starts binary"
+TOKENS_TYPE = "lang string, shard int, words string, counts binary, hashes binary, codes binary, starts binary"
 
 
 def in_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for the texts of a slice that share a language and a shard.
 
-    ``codes`` are 32-bit numbers into ``words``, ``starts`` the places in them where a piece begins, and ``hashes`` the
-    words' hashes of 64 bits, which depend on the language too.
+    ``words`` are the different words between line breaks, ``counts`` how often each occurs and ``hashes`` their hashes of
+    64 bits, which depend on the language too. ``codes`` are numbers into ``words``, and ``starts`` the places in them where
+    a piece begins; like the counts they have 32 bits.
     """
     for part in batches:
         for rows in slices(part):
@@ -167,12 +174,18 @@ def in_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seed = pd.util.hash_array(np.array([lang], object), categorize=False)
                 hashes = mixed(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) ^ seed)
                 starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                counts = np.bincount(codes, minlength=len(words))
                 yield batch(TOKENS, [
-                    [lang], [int(shard)], [words], [np.bincount(codes, minlength=len(words))], [hashes.tobytes()],
+                    [lang], [int(shard)], in_lines(words), [counts.astype(np.int32).tobytes()], [hashes.tobytes()],
                     [codes.astype(np.int32).tobytes()], [starts.astype(np.int32).tobytes()],
                 ])
 
 
+def in_lines(words: pa.Array) -> pa.Array:
+    """One text of words, none of which has a line break; neither Python nor Spark takes them apart."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+
+
 class Slice:
     """A row of tokens: the hash and the code of each of its words in order."""
 
@@ -207,12 +220,28 @@ class Slice:
             out.append(self.local(size)[good])
         return out
 
+    def candidates(self, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Where phrases of each size may be locally frequent somewhere.
+
+        The pairs of a phrase are frequent wherever it is, so they are in the filter too.
+        """
+        good = pair = self.whole(2) & inside(bits, keys(self.hashes, 2))
+        yield 2, good
+        for size in range(3, LONGEST + 1):
+            good = good[:-1] & pair[size - 2:]
+            left = np.flatnonzero(good)
+            found = np.zeros(len(good), bool)
+            found[left] = inside(bits, keys(self.hashes, size)[left])
+            yield size, found
+
 
 def each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for rows in batches:
         for i in range(rows.num_rows):
-            yield {name: rows.column(name)[i].as_py() for name in rows.schema.names if name not in ("words", "counts")} | {
-                name: rows.column(name)[i].values for name in ("words", "counts") if name in rows.schema.names}
+            row = {name: rows.column(name)[i].as_py() for name in rows.schema.names if name != "words"}
+            if "words" in rows.schema.names:
+                row["words"] = pc.split_pattern(rows.column("words").slice(i, 1), "\n").flatten()
+            yield row
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,17 +281,27 @@ def locally_frequent(tokens: DataFrame, of: Callable[[Slice, np.ndarray], list[n
             yield batch(LOCAL, [counts[0][i:i + (1 << 16)].view(np.int64), counts[1][i:i + (1 << 16)]])
 
     rows = tokens.select("lang", "shard", "need", "hashes", "codes", "starts")
-    counts = rows.mapInArrow(run, "local long, n long").groupBy("local").agg(F.sum("n").alias("n"))
+    counts = gathered(rows.mapInArrow(run, "local long, n long"), ["local"])
     need = F.col("local").bitwiseAND(F.lit((1 << SHARD_BIT) - 1))
     return counts.where(F.col("n") >= need).select(F.col("local").alias("key"))
 
 
+def gathered(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of the other columns.
+
+    Tasks have added up what they hold, so a second sum before the shuffle would find next to nothing to add.
+    """
+    return parts.repartition(*by).groupBy(*by).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in by])
+
+
 def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch]:
     """Counts of strings, added up while they fit."""
     held: list[pa.Table] = []
 
     def one() -> pa.Table:
-        return pa.concat_tables(held).group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+        of = [c for c in held[0].column_names if c not in by]
+        found = pa.concat_tables(held).group_by(by, use_threads=False).aggregate([(c, "sum") for c in of])
+        return found.rename_columns([*by, *of])
 
     for table in counts:
         held.append(table)
@@ -274,27 +313,49 @@ def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch
         yield from one().to_batches(1 << 16)
 
 
+#: A column for each shard.
+IN_SHARDS = [f"n{i}" for i in range(SHARDS)]
+
+
 def count_words(tokens: DataFrame) -> DataFrame:
-    """(lang, shard, word, key, n): how often a shard holds each word, and the word's own key."""
-    by = ["lang", "shard", "word", "key"]
+    """(lang, word, key, n0, n1, ...): how often each shard holds a word, and the word's own key.
+
+    A word that all shards have is one row of a task.
+    """
+    by = ["lang", "word", "key"]
+
+    def table(row: dict) -> pa.Table:
+        own = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+        none = np.zeros(len(own), np.int64)
+        return pa.table({
+            "lang": pa.array([row["lang"]] * len(own), pa.string()), "word": row["words"],
+            "key": keys(np.frombuffer(row["hashes"], np.uint64), 1).view(np.int64),
+        } | {name: own if i == row["shard"] else none for i, name in enumerate(IN_SHARDS)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return summed((pa.table({
-            "lang": pa.array([row["lang"]] * len(row["words"]), pa.string()), "shard": pa.array([row["shard"]] * len(row["words"]), pa.int32()),
-            "word": row["words"], "key": keys(np.frombuffer(row["hashes"], np.uint64), 1).view(np.int64), "n": row["counts"],
-        }) for row in each_slice(batches)), by)
+        return summed((table(row) for row in each_slice(batches)), by)
+
+    schema = ", ".join(["lang string, word string, key long", *(f"{name} long" for name in IN_SHARDS)])
+    return gathered(tokens.select("lang", "shard", "words", "counts", "hashes").mapInArrow(run, schema), by)
+
+
+def by_shard(rows: DataFrame) -> DataFrame:
+    """A row with ``shard`` and ``n`` for each shard that has any."""
+    each = F.array(*[F.struct(F.lit(i).alias("shard"), F.col(name).alias("n")) for i, name in enumerate(IN_SHARDS)])
+    others = [c for c in rows.columns if c not in IN_SHARDS]
+    return rows.select(*others, F.inline(F.filter(each, lambda x: x["n"] > 0)))
+
 
-    parts = tokens.select("lang", "shard", "words", "counts", "hashes").mapInArrow(run, "lang string, shard int, word string, key long, n long")
-    return parts.groupBy(*by).agg(F.sum("n").alias("n"))
+def in_all() -> Column:
+    return sum((F.col(name) for name in IN_SHARDS[1:]), F.col(IN_SHARDS[0]))
 
 
 def supports(words: DataFrame) -> DataFrame:
     """(crowd, need): the least count that is frequent in a shard of a language, SUPPORT x its share of the words."""
-    sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
-    total = sizes.groupBy("lang").agg(F.sum("own").cast("decimal(20,0)").alias("whole"))
+    sizes = words.groupBy("lang").agg(*[F.sum(name).alias(name) for name in IN_SHARDS])
     # A quotient of whole numbers, rounded up.
-    need = F.call_function("div", F.col("own").cast("decimal(20,0)") * SUPPORT + F.col("whole") - 1, F.col("whole"))
-    return lookup_join(sizes, total, "lang", ["shard"]).select(crowd().alias("crowd"), need.cast("int").alias("need"))
+    need = F.call_function("div", F.col("n").cast("decimal(20,0)") * SUPPORT + F.col("whole") - 1, F.col("whole"))
+    return by_shard(sizes.withColumn("whole", in_all().cast("decimal(20,0)"))).select(crowd().alias("crowd"), need.cast("int").alias("need"))
 
 
 def crowd() -> Column:
@@ -307,7 +368,7 @@ def known_words(words: DataFrame, needs: DataFrame) -> DataFrame:
 
     No Python here: its workers would stand beside those of the filter in each task, and stay for the next stage.
     """
-    met = lookup_join(words.withColumn("crowd", crowd()), needs, "crowd", ["word"]).where(F.col("n") >= F.col("need"))
+    met = lookup_join(by_shard(words).withColumn("crowd", crowd()), needs, "crowd", ["word"]).where(F.col("n") >= F.col("need"))
     low = F.shiftleft("shard", SHARD_BIT).bitwiseOR(F.col("need")).cast("long")
     return met.select(F.col("key").bitwiseOR(low).alias("key"))
 
@@ -319,8 +380,8 @@ def candidates_of(row: dict, bits: np.ndarray) -> pa.Table:
     """(lang, phrase, size, n) of a slice's phrases that may be locally frequent somewhere, compared by their words."""
     part_, words = Slice(row), row["words"]
     out = []
-    for size in range(2, LONGEST + 1):
-        at = np.flatnonzero(part_.whole(size) & inside(bits, keys(part_.hashes, size)))
+    for size, good in part_.candidates(bits):
+        at = np.flatnonzero(good)
         # A number for each different row of words, built up word by word.
         number = np.zeros(len(at), np.int64)
         for j in range(size):
@@ -343,7 +404,7 @@ def count_candidates(tokens: DataFrame, bits: np.ndarray) -> DataFrame:
         return summed((candidates_of(row, shared.value) for row in each_slice(batches)), by)
 
     rows = tokens.select("lang", "shard", "words", "hashes", "codes", "starts")
-    return rows.mapInArrow(run, CANDIDATES).groupBy(*by).agg(F.sum("n").alias("n"))
+    return gathered(rows.mapInArrow(run, CANDIDATES), by)
 
 
 @contextmanager
@@ -375,9 +436,8 @@ def _frequent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     longer = pinned(locally_frequent(ready, Slice.longer, filter_of(pairs)))
     united = pairs.union(longer).select(F.col("key").bitwiseAND(F.lit(~LOW)).alias("key"))
     phrases = count_candidates(tokens, filter_of(united))
-    single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")).select(
-        "lang", "phrase", F.lit(1).alias("size"), "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    single = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), in_all().alias("n"))
+    totals = words.groupBy("lang").agg(F.sum(in_all()).alias("total"))
     return pinned(phrases.unionByName(single).where(F.col("n") >= SUPPORT)), pinned(totals)
 
 

@@ -49,3 +49,26 @@ def test_every_locally_frequent_phrase_is_frequent_somewhere(spark, made):
     words = collocations.count_words(tokens)
     needs = [r.need for r in collocations.supports(words).collect()]
     assert sum(n - 1 for n in needs) < collocations.SUPPORT <= sum(needs) and len(needs) <= collocations.SHARDS
+
+
+def test_a_word_of_all_shards_is_counted_as_one_row_and_added_up_once_a_side(spark):
+    """Neither a row for each shard of a word, nor a second sum in the tasks that have just added up."""
+    rows = [(i, "one two, two", "en") for i in range(50)]
+    tokens = spark.createDataFrame(rows, "doc_id long, text string, lang string").transform(collocations.dealt).mapInArrow(
+        collocations.in_tokens, collocations.TOKENS_TYPE)
+    words = collocations.count_words(tokens)
+    assert sorted((r.word, sum(r[c] for c in collocations.IN_SHARDS)) for r in words.collect()) == [("one", 50), ("two", 100)]
+    plan = words._jdf.queryExecution().sparkPlan().toString().splitlines()
+    below = plan[next(i for i, line in enumerate(plan) if "MapInArrow" in line) - 1]
+    assert "Aggregate" not in below, plan
+
+
+def test_a_phrase_is_counted_where_its_pairs_are_in_the_filter():
+    """The filter holds each part of two words of a frequent phrase, so no frequent phrase is lost."""
+    batches = collocations.in_tokens(iter([collocations.pa.record_batch({"text": ["a b c d. b c d a", "a b, c"], "lang": ["en"] * 2, "shard": [0, 0]})]))
+    row = next(collocations.each_slice(batches))
+    assert sorted(row["words"].to_pylist()) == ["a", "b", "c", "d"]
+    full = collocations.np.full(collocations.BITS // 64, (1 << 64) - 1, collocations.np.uint64)
+    found = {r["phrase"]: r["n"] for r in collocations.candidates_of(row, full).to_pylist()}
+    assert found == {"a b": 2, "b c": 2, "c d": 2, "d a": 1, "a b c": 1, "b c d": 2, "c d a": 1, "a b c d": 1, "b c d a": 1}
+    assert not collocations.candidates_of(row, collocations.np.zeros_like(full)).num_rows
