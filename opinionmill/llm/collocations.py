@@ -4,7 +4,7 @@ ASCII letters are lower-cased, texts are cut at ``.,;:!?`` and line breaks (U+00
 spaces and tabs into words. Phrases are 2 to ``LONGEST`` words of a piece, counted per language; a null one is ``und``.
 
 1. Documents are dealt to ``SHARDS`` shards by a hash. Each task cuts its texts into words once: a row of the pinned
-   table holds some consecutive texts of a language and a shard as numbers into a list of their words. Words are counted
+   table holds some consecutive texts of a language and a shard as numbers into their words. Words are counted
    per language and shard.
 2. Each shard is mined completely at proportionally lowered support: a phrase that occurs ``SUPPORT`` times in all has,
    in at least one shard, its share of that by the shard's words. A phrase of two words counts in a shard if both words
@@ -294,8 +294,11 @@ def gathered(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.repartition(*by).groupBy(*by).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in by])
 
 
-def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts of strings, added up while they fit."""
+def summed(counts: Iterator[pa.Table], by: list[str], ordered: bool = False) -> Iterator[pa.RecordBatch]:
+    """Counts of strings, added up while they fit.
+
+    Strings in order share what they begin with, so they pack well in a shuffle.
+    """
     held: list[pa.Table] = []
 
     def one() -> pa.Table:
@@ -303,14 +306,17 @@ def summed(counts: Iterator[pa.Table], by: list[str]) -> Iterator[pa.RecordBatch
         found = pa.concat_tables(held).group_by(by, use_threads=False).aggregate([(c, "sum") for c in of])
         return found.rename_columns([*by, *of])
 
+    def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from (table.sort_by(by[0]).combine_chunks() if ordered else table).to_batches(1 << 16)
+
     for table in counts:
         held.append(table)
         if sum(t.num_rows for t in held) > HELD:
             held = [one()]
             if held[0].num_rows > HELD // 2:
-                yield from held.pop().to_batches(1 << 16)
+                yield from sent(held.pop())
     if held:
-        yield from one().to_batches(1 << 16)
+        yield from sent(one())
 
 
 #: A column for each shard.
@@ -373,11 +379,11 @@ def known_words(words: DataFrame, needs: DataFrame) -> DataFrame:
     return met.select(F.col("key").bitwiseOR(low).alias("key"))
 
 
-CANDIDATES = "lang string, phrase string, size int, n long"
-
-
 def candidates_of(row: dict, bits: np.ndarray) -> pa.Table:
-    """(lang, phrase, size, n) of a slice's phrases that may be locally frequent somewhere, compared by their words."""
+    """(name, n) of a slice's phrases that may be locally frequent somewhere, compared by their words.
+
+    A name is ``lang:phrase``, one string to shuffle; no phrase has a colon.
+    """
     part_, words = Slice(row), row["words"]
     out = []
     for size, good in part_.candidates(bits):
@@ -388,23 +394,23 @@ def candidates_of(row: dict, bits: np.ndarray) -> pa.Table:
             _, number = np.unique(number * len(words) + part_.codes[at + j], return_inverse=True)
         _, first, n = np.unique(number, return_index=True, return_counts=True)
         columns = [words.take(pa.array(part_.codes[at[first] + j])) for j in range(size)]
-        out.append(pa.table({
-            "lang": pa.array([row["lang"]] * len(n), pa.string()), "phrase": pc.binary_join_element_wise(*columns, " "),
-            "size": pa.array(np.full(len(n), size, np.int32)), "n": n.astype(np.int64),
-        }))
+        phrases = pc.binary_join_element_wise(*columns, " ")
+        out.append(pa.table({"name": pc.binary_join_element_wise(row["lang"], phrases, ":"), "n": n.astype(np.int64)}))
     return pa.concat_tables(out)
 
 
 def count_candidates(tokens: DataFrame, bits: np.ndarray) -> DataFrame:
     """(lang, phrase, size, n) over all documents."""
     shared = tokens.sparkSession.sparkContext.broadcast(bits)
-    by = ["lang", "phrase", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return summed((candidates_of(row, shared.value) for row in each_slice(batches)), by)
+        return summed((candidates_of(row, shared.value) for row in each_slice(batches)), ["name"], ordered=True)
 
     rows = tokens.select("lang", "shard", "words", "hashes", "codes", "starts")
-    return gathered(rows.mapInArrow(run, CANDIDATES), by)
+    counts = gathered(rows.mapInArrow(run, "name string, n long"), ["name"])
+    phrase = F.substring_index("name", ":", -1)
+    lang = F.expr("left(name, length(name) - length(substring_index(name, ':', -1)) - 1)")
+    return counts.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "n")
 
 
 @contextmanager

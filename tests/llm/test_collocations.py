@@ -69,6 +69,6 @@ def test_a_phrase_is_counted_where_its_pairs_are_in_the_filter():
     row = next(collocations.each_slice(batches))
     assert sorted(row["words"].to_pylist()) == ["a", "b", "c", "d"]
     full = collocations.np.full(collocations.BITS // 64, (1 << 64) - 1, collocations.np.uint64)
-    found = {r["phrase"]: r["n"] for r in collocations.candidates_of(row, full).to_pylist()}
+    found = {r["name"].removeprefix("en:"): r["n"] for r in collocations.candidates_of(row, full).to_pylist()}
     assert found == {"a b": 2, "b c": 2, "c d": 2, "d a": 1, "a b c": 1, "b c d": 2, "c d a": 1, "a b c d": 1, "b c d a": 1}
     assert not collocations.candidates_of(row, collocations.np.zeros_like(full)).num_rows
